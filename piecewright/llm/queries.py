@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import common
 
@@ -15,6 +16,32 @@ def op1_simhash_pigeonring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(common.documents(spark, sf_dir))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_simhash_pigeonring": op1_simhash_pigeonring}
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .lines import line_dedup
 
-ORACLE_SQL: dict[str, str] = {}
+    kept = line_dedup(common.documents(spark, sf_dir).select("doc_id", "text"))
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_simhash_pigeonring": op1_simhash_pigeonring,
+    "op9_line_dedup": op9_line_dedup,
+}
+
+#: A-Z lower-cased, and the white space that the operators strip or split at, in DuckDB's SQL.
+LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+STRIP = r"regexp_replace({}, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g')"
+
+LINE_DEDUP_SQL = f"""
+WITH split AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM {{docs}}),
+line AS (SELECT doc_id, unnest(lines) AS line, generate_subscripts(lines, 1) AS pos FROM split),
+keyed AS (SELECT *, {LOWER.format(STRIP.format('line'))} AS key FROM line),
+repeated AS (SELECT key, max(doc_id) AS last FROM keyed WHERE length(key) >= 20 GROUP BY key HAVING count(DISTINCT doc_id) >= 3),
+marked AS (SELECT k.*, r.key IS NOT NULL AND k.doc_id <> r.last AS gone FROM keyed k LEFT JOIN repeated r ON k.key = r.key)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,
+       coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '') AS text
+FROM marked GROUP BY doc_id"""
+
+ORACLE_SQL: dict[str, str] = {
+    "op9_line_dedup": f"SELECT doc_id, n_lines, n_dropped, sha256(text) AS kept_sha256 FROM ({LINE_DEDUP_SQL.format(docs='documents')})",
+}
