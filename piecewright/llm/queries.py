@@ -16,6 +16,12 @@ def op1_simhash_pigeonring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(common.documents(spark, sf_dir))
 
 
+def op5_benchmark_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontaminate import contamination
+
+    return contamination(common.documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet")).drop("match")
+
+
 def op7_toxicity_grammar(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .toxicity import toxicity
 
@@ -31,6 +37,7 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_pigeonring": op1_simhash_pigeonring,
+    "op5_benchmark_edits": op5_benchmark_edits,
     "op7_toxicity_grammar": op7_toxicity_grammar,
     "op9_line_dedup": op9_line_dedup,
 }

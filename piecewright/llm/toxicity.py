@@ -25,7 +25,7 @@ STEMS = (3, 4, 5, 6)
 #: Labelled rows that are learned from, at most, of either label; chosen by a hash of the id.
 SAMPLE = 15_000
 #: An entry needs so many different surroundings in toxic rows, so high a log odds ratio and log likelihood ratio.
-SURROUNDINGS, LOG_ODDS, EVIDENCE = 3, 2.0, 19.0
+SURROUNDINGS, LOG_ODDS, EVIDENCE = 3, 2.0, 15.0
 #: Entries of the lexicon, at most: the heaviest.
 ENTRIES = 20_000
 #: Words whose class a worker remembers.
