@@ -16,6 +16,14 @@ def op1_simhash_pigeonring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(common.documents(spark, sf_dir))
 
 
+def op2_warc_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .warc import read_archives, write_archives
+
+    path = common.new_folder(spark, "warc")
+    write_archives(spark.read.parquet(f"{sf_dir}/pages.parquet"), path)
+    return read_archives(spark, path, payloads=False).drop("url")
+
+
 def op5_benchmark_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .decontaminate import contamination
 
@@ -37,6 +45,7 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_pigeonring": op1_simhash_pigeonring,
+    "op2_warc_dictionary": op2_warc_dictionary,
     "op5_benchmark_edits": op5_benchmark_edits,
     "op7_toxicity_grammar": op7_toxicity_grammar,
     "op9_line_dedup": op9_line_dedup,
@@ -57,5 +66,12 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,
 FROM marked GROUP BY doc_id"""
 
 ORACLE_SQL: dict[str, str] = {
+    "op2_warc_dictionary": """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+f AS (SELECT html, min(page_id) AS first FROM p WHERE strlen(html) >= 100 GROUP BY html)
+SELECT page_id, CAST(strlen(p.html) AS BIGINT) AS payload_bytes, sha256(p.html) AS payload_digest,
+       CASE WHEN first IS NOT NULL AND first <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN first <> page_id THEN first END AS refers_to
+FROM p LEFT JOIN f ON p.html = f.html""",
     "op9_line_dedup": f"SELECT doc_id, n_lines, n_dropped, sha256(text) AS kept_sha256 FROM ({LINE_DEDUP_SQL.format(docs='documents')})",
 }
