@@ -36,6 +36,12 @@ def op7_toxicity_grammar(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(common.documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")).select("doc_id", "held_out", "score", "predicted", "matched_clauses")
 
 
+def op8_weighted_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .cws import fingerprint_neighbours
+
+    return fingerprint_neighbours(common.documents(spark, sf_dir))
+
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .lines import line_dedup
 
@@ -48,6 +54,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_warc_dictionary": op2_warc_dictionary,
     "op5_benchmark_edits": op5_benchmark_edits,
     "op7_toxicity_grammar": op7_toxicity_grammar,
+    "op8_weighted_sampling": op8_weighted_sampling,
     "op9_line_dedup": op9_line_dedup,
 }
 
