@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 
 from . import common
 
+#: A public vocabulary file, as all executors and the driver have it; a parameter of the operators.
+VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
+
 
 def op1_simhash_pigeonring(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .simhash import simhash_components
@@ -49,6 +52,14 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op10_sentencepiece_lattice(spark: SparkSession, sf_dir: str, model_path: str = VOCABULARY) -> DataFrame:
+    from ..sources.model import load
+    from .lattice import lattice_encode
+
+    done = lattice_encode(common.documents(spark, sf_dir), load(model_path))
+    return done.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join("ids", " "), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_pigeonring": op1_simhash_pigeonring,
     "op2_warc_dictionary": op2_warc_dictionary,
@@ -56,6 +67,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_toxicity_grammar": op7_toxicity_grammar,
     "op8_weighted_sampling": op8_weighted_sampling,
     "op9_line_dedup": op9_line_dedup,
+    "op10_sentencepiece_lattice": op10_sentencepiece_lattice,
 }
 
 #: A-Z lower-cased, and the white space that the operators strip or split at, in DuckDB's SQL.
