@@ -33,6 +33,12 @@ def op5_benchmark_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(common.documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet")).drop("match")
 
 
+def op6_maxent_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .maxent import maxent_scores
+
+    return maxent_scores(common.documents(spark, sf_dir))
+
+
 def op7_toxicity_grammar(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .toxicity import toxicity
 
@@ -64,6 +70,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_pigeonring": op1_simhash_pigeonring,
     "op2_warc_dictionary": op2_warc_dictionary,
     "op5_benchmark_edits": op5_benchmark_edits,
+    "op6_maxent_scores": op6_maxent_scores,
     "op7_toxicity_grammar": op7_toxicity_grammar,
     "op8_weighted_sampling": op8_weighted_sampling,
     "op9_line_dedup": op9_line_dedup,
