@@ -27,6 +27,12 @@ def op2_warc_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_archives(spark, path, payloads=False).drop("url")
 
 
+def op3_passage_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .passages import repeated_passages
+
+    return repeated_passages(common.documents(spark, sf_dir))
+
+
 def op5_benchmark_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .decontaminate import contamination
 
@@ -69,6 +75,7 @@ def op10_sentencepiece_lattice(spark: SparkSession, sf_dir: str, model_path: str
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_pigeonring": op1_simhash_pigeonring,
     "op2_warc_dictionary": op2_warc_dictionary,
+    "op3_passage_bands": op3_passage_bands,
     "op5_benchmark_edits": op5_benchmark_edits,
     "op6_maxent_scores": op6_maxent_scores,
     "op7_toxicity_grammar": op7_toxicity_grammar,
