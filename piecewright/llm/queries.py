@@ -33,6 +33,12 @@ def op3_passage_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_passages(common.documents(spark, sf_dir))
 
 
+def op4_license_compression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .licenses import license_scan
+
+    return license_scan(common.documents(spark, sf_dir))
+
+
 def op5_benchmark_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .decontaminate import contamination
 
@@ -76,6 +82,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_pigeonring": op1_simhash_pigeonring,
     "op2_warc_dictionary": op2_warc_dictionary,
     "op3_passage_bands": op3_passage_bands,
+    "op4_license_compression": op4_license_compression,
     "op5_benchmark_edits": op5_benchmark_edits,
     "op6_maxent_scores": op6_maxent_scores,
     "op7_toxicity_grammar": op7_toxicity_grammar,
