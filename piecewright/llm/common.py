@@ -70,3 +70,12 @@ def map_arrow(df: DataFrame, each: Callable[[pa.RecordBatch], pa.RecordBatch | N
                 yield out
 
     return df.mapInArrow(run, schema)
+
+
+def without_ids(docs: DataFrame, gone: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """docs without the rows whose id is in gone (one column, named gone). The ids are counted: few are broadcast, for
+    many both sides are shuffled. Rows with a null id stay."""
+    gone = gone.distinct().checkpoint()
+    if gone.count() * 16 <= BROADCAST_BYTES:
+        gone = F.broadcast(gone)
+    return docs.join(gone, docs[id_col] == gone["gone"], "left_anti")

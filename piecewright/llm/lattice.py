@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..functions.normalize import Normalizer
 from ..sources.model import BPE, META, NORMAL, USER_DEFINED, Model, byte_piece
 from . import common
-from .chunks import chunked, unpack
+from .chunks import chunked, is_scan, unpack
 
 #: What an uncovered character costs below the least likely piece.
 UNKNOWN_PENALTY = 10.0
@@ -113,7 +113,7 @@ def lattice_encode(docs: DataFrame, model: Model, id_col: str = "doc_id", text_c
     """
     spark = docs.sparkSession
     common.prepare(spark)
-    if not docs.inputFiles():
+    if not is_scan(docs):
         docs, _ = common.written(docs.select(id_col, text_col), "texts")
     normalizer, split = Normalizer(model), word_splitter(model)
     rows = chunked(docs, id_col, text_col, lambda text: split(normalizer(text)))

@@ -220,3 +220,20 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     common.prepare(docs.sparkSession)
     scored = score(docs, train(docs, labels, id_col, text_col, held_mod, sample), id_col, text_col)
     return scored.withColumn("held_out", F.coalesce(_held(id_col, held_mod), F.lit(False)))
+
+
+def without_toxic(docs: DataFrame, model: ToxicityModel, text_col: str = "text") -> DataFrame:
+    """docs without the rows whose whole text scores 0.5 or more; all columns stay as they are."""
+    common.prepare(docs.sparkSession)
+    at, machine = docs.columns.index(text_col), grammar()
+    insults, weights, bias = model.insults, model.weights, model.bias
+
+    def run(batches):
+        lexicon = Lexicon(insults)
+        for batch in batches:
+            x = np.array([clause_scores(t or "", lexicon, machine)[0] for t in batch.column(at).to_pylist()]).reshape(-1, len(FEATURES))
+            kept = batch.filter(pa.array(x @ weights + bias < 0))
+            if kept.num_rows:
+                yield kept
+
+    return docs.mapInArrow(run, docs.schema)
