@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.normalize import Normalizer
@@ -19,6 +19,8 @@ from .chunks import chunked, is_scan, unpack
 UNKNOWN_PENALTY = 10.0
 #: Characters of a word whose substrings are cut at a time, so that very long words take linear time.
 BLOCK = 256
+#: Words of a partition whose edges an aggregation holds in memory, at about 0.5 KB a word; beyond, it sorts and spills.
+IN_MEMORY = 1 << 18
 
 
 def piece_scores(model: Model) -> dict[int, float]:
@@ -37,12 +39,40 @@ def piece_scores(model: Model) -> dict[int, float]:
 
 
 def word_splitter(model: Model) -> Callable[[str], list[str]]:
-    """Cuts a normalized text where no piece can cross: before a run of ▁, and around line ends."""
-    known = [p for p in model.matchable if len(p) > 1]
+    """Normalizes a text and cuts it where no piece can cross: before a run of ▁, and before line ends.
+
+    Words come as keys, from which whole_word makes the word: most are words without their ▁, as these can be had by
+    cutting a text at its spaces.
+    """
+    known, normalizer = [p for p in model.matchable if len(p) > 1], Normalizer(model)
     if any(META in p.lstrip(META) for p in known):
-        return lambda text: [text] if text else []
-    lines = "" if any("\n" in p for p in known) else "\n"
-    return re.compile(f"{META}*[^{META}{lines}]+|{META}+" + (f"|{lines}" if lines else "")).findall
+        return lambda text: [JOINED + x] if (x := normalizer(text)) else []
+    if any("\n" in p for p in known):
+        find = re.compile(f"{META}*[^{META}]+|{META}+").findall
+        return lambda text: [JOINED + w for w in find(normalizer(text))]
+    find = re.compile(f"(?:{META}+|\n|^)[^{META}\n]*").findall
+    simple = model.add_dummy_prefix and model.escape_whitespaces and not (model.remove_extra_whitespaces or model.charsmap)
+
+    def key(word: str) -> str:
+        if word[0] == "\n":
+            return word
+        return word[1:] if word[0] == META and word[1:2] not in (META, JOINED) else JOINED + word
+
+    def cut(text: str) -> list[str]:
+        if simple and text and "  " not in text and text[0] != " " and META not in text and JOINED not in text:
+            return text.replace("\n", " \n").split(" ")
+        return [key(w) for w in find(normalizer(text)) if w]
+
+    return cut
+
+
+#: Begins the keys of words that are to be taken as they are; keys without it that don't begin with a line end lack ▁.
+JOINED = "\x00"
+
+
+def whole_word(word: Column) -> Column:
+    """The word of a key."""
+    return F.when(F.startswith(word, F.lit(JOINED)), F.expr("substring(word, 2)")).when(F.startswith(word, F.lit("\n")), word).otherwise(F.concat(F.lit(META), word))
 
 
 def pieces_table(spark: SparkSession, model: Model) -> DataFrame:
@@ -50,13 +80,20 @@ def pieces_table(spark: SparkSession, model: Model) -> DataFrame:
     return spark.createDataFrame([(model.pieces[i], i, s) for i, s in piece_scores(model).items()], "piece string, id int, score double")
 
 
-# The fold over a word's edges in order of their ends. State: p the position reached, c the best way to it (x score,
-# s where its last edge starts, i that edge's piece), b the best ways to all positions before. The first of equal ways
-# stays, which is the one whose last piece is longest.
-_FOLD = """aggregate(edges,
+# An edge is one long, so that lists of edges are small and sort by end and then by start: its end, 255 less its
+# length, and a code, which is the piece's id or, from UNCOVERED on, a character's code point.
+UNCOVERED = 1 << 21
+_EDGE = f"shiftleft(cast(s + n as long), 30) + shiftleft(cast(255 - n as long), 22) + coalesce(id, {UNCOVERED} + ascii(piece))"
+
+# The fold over a word's edges. State: p the position reached, c the best way to it (x score, s where its last edge
+# starts, i that edge's code), b the best ways to all positions before. The first of equal ways stays, which is the one
+# whose last piece is longest.
+_OPEN = """transform(edges, e -> named_struct('p', cast(shiftright(e, 30) as int),
+  's', cast(shiftright(e, 30) - 255 + (shiftright(e, 22) & 255) as int), 'i', cast(e & 4194303 as int)))"""
+_FOLD = """aggregate(open,
   named_struct('p', 0, 'c', named_struct('x', 0D, 's', -1, 'i', 0), 'b', cast(array() as array<struct<x:double,s:int,i:int>>)),
-  (a, e) -> CASE WHEN e.p > a.p THEN named_struct('p', e.p, 'c', named_struct('x', IF(e.s = a.p, a.c.x, a.b[e.s].x) + e.x, 's', e.s, 'i', e.i), 'b', concat(a.b, array(a.c)))
-                 WHEN a.b[e.s].x + e.x > a.c.x THEN named_struct('p', a.p, 'c', named_struct('x', a.b[e.s].x + e.x, 's', e.s, 'i', e.i), 'b', a.b)
+  (a, e) -> CASE WHEN e.p > a.p THEN named_struct('p', e.p, 'c', named_struct('x', IF(e.s = a.p, a.c.x, a.b[e.s].x) + coalesce(get(scores, e.i), {unknown}D), 's', e.s, 'i', e.i), 'b', concat(a.b, array(a.c)))
+                 WHEN a.b[e.s].x + coalesce(get(scores, e.i), {unknown}D) > a.c.x THEN named_struct('p', a.p, 'c', named_struct('x', a.b[e.s].x + coalesce(get(scores, e.i), {unknown}D), 's', e.s, 'i', e.i), 'b', a.b)
                  ELSE a END,
   a -> concat(a.b, array(a.c)))"""
 
@@ -66,25 +103,32 @@ _BACK = """aggregate(sequence(size(best) - 1, 1, -1), named_struct('w', size(bes
   a -> a.o)"""
 
 
-def encode_words(words: DataFrame, model: Model) -> DataFrame:
+def encode_words(words: DataFrame, model: Model, text: Column | None = None) -> DataFrame:
     """(word, ids): the best segmentation of each distinct, non-empty word; -codepoint stands for an uncovered character.
 
     Relational lattice: substrings of at most the longest piece's length are exploded and equi-joined to the piece
     table (a vocabulary file, broadcast as its size is that of the file); the matches are the lattice's edges, grouped
-    by word, and a higher-order aggregate folds Viterbi over them. A word already partitioned by `word` isn't shuffled.
+    by word, and a higher-order aggregate folds Viterbi over them. Words already partitioned by `word` aren't shuffled.
+    text: an expression of what to segment, if `word` only names it.
     """
     spark, longest = words.sparkSession, max(model.longest, 1)
+    if longest > 255 or len(model.pieces) > UNCOVERED:
+        raise ValueError("pieces of over 255 characters, or over 2^21 pieces")
     scores = piece_scores(model)
     unknown = (min(scores.values()) if scores else 0.0) - UNKNOWN_PENALTY
-    blocks = F.explode(F.sequence(F.lit(0), F.floor((F.length("word") - 1) / BLOCK).cast("int")))
-    cut = words.select("word", blocks.alias("k")).select("word", "k", F.expr(f"substring(word, k * {BLOCK} + 1, {BLOCK + longest - 1})").alias("part"))
+    # Words of a partition whose edges are gathered in memory before the aggregation goes over to sorting.
+    spark.conf.set("spark.sql.objectHashAggregate.sortBased.fallbackThreshold", str(IN_MEMORY))
+    blocks = F.explode(F.sequence(F.lit(0), F.floor((F.length("w") - 1) / BLOCK).cast("int")))
+    whole = words.select("word", (F.col("word") if text is None else text).alias("w"))
+    cut = whole.select("word", "w", blocks.alias("k")).select("word", "k", F.expr(f"substring(w, k * {BLOCK} + 1, {BLOCK + longest - 1})").alias("part"))
     starts = cut.select("word", "k", "part", F.explode(F.sequence(F.lit(1), F.least(F.lit(BLOCK), F.length("part")))).alias("s"))
     spans = starts.select("word", "k", "part", "s", F.explode(F.sequence(F.lit(1), F.least(F.lit(longest), F.length("part") - F.col("s") + 1))).alias("n"))
     subs = spans.select("word", (F.col("k") * BLOCK + F.col("s") - 1).alias("s"), "n", F.expr("substring(part, s, n)").alias("piece"))
-    met = subs.join(F.broadcast(pieces_table(spark, model)), "piece", "left").where("id is not null or n = 1")
-    edge = F.struct((F.col("s") + F.col("n")).alias("p"), F.col("s").alias("s"), F.coalesce("score", F.lit(unknown)).alias("x"), F.coalesce(F.col("id"), -F.ascii("piece")).alias("i"))
-    grouped = met.groupBy("word").agg(F.sort_array(F.collect_list(edge)).alias("edges"))
-    return grouped.select("word", F.expr(_FOLD).alias("best")).select("word", F.expr(_BACK).alias("ids"))
+    met = subs.join(F.broadcast(pieces_table(spark, model)), "piece", "left").where("id is not null or n = 1").select("word", F.expr(_EDGE).alias("e"))
+    grouped = met.groupBy("word").agg(F.sort_array(F.collect_list("e")).alias("edges"))
+    table = F.from_json(F.lit("[" + ",".join(repr(scores[i]) if i in scores else "null" for i in range(len(model.pieces))) + "]"), "array<double>")
+    best = grouped.select("word", F.expr(_OPEN).alias("open")).select("word", "open", table.alias("scores")).select("word", F.expr(_FOLD.replace("{unknown}", repr(unknown))).alias("best"))
+    return best.select("word", F.expr(_BACK).alias("codes")).select("word", F.transform("codes", lambda c: F.when(c >= UNCOVERED, UNCOVERED - c).otherwise(c)).alias("ids"))
 
 
 def unknown_ids(model: Model, code: int) -> list[int]:
@@ -115,12 +159,11 @@ def lattice_encode(docs: DataFrame, model: Model, id_col: str = "doc_id", text_c
     common.prepare(spark)
     if not is_scan(docs):
         docs, _ = common.written(docs.select(id_col, text_col), "texts")
-    normalizer, split = Normalizer(model), word_splitter(model)
-    rows = chunked(docs, id_col, text_col, lambda text: split(normalizer(text)))
+    rows = chunked(docs, id_col, text_col, word_splitter(model))
     own = rows.where("word is not null").select("chunk", "idx", "word").repartition("word")
     # Both uses need all columns, so that they share the one exchange.
     distinct = own.groupBy("word").agg(F.min("chunk").alias("c"), F.min("idx").alias("i")).where("c is not null and i is not null")
-    encoded = encode_words(distinct.select("word"), model)
+    encoded = encode_words(distinct.select("word"), model, whole_word(F.col("word")))
     results = own.hint("merge").join(encoded, "word").select("chunk", "idx", "ids")
     blobs = rows.where("blob is not null").select(F.col("chunk").alias("of"), "n", "blob")
     codes = [bytes(model.bytes_of(i)) for i in range(len(model.pieces))]
