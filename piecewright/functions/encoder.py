@@ -118,6 +118,14 @@ def encode_arrow(encoder: Encoder, texts: pa.Array, pieces: bool = True) -> pa.S
     return pa.StructArray.from_arrays(columns, ["ids", "pieces"], mask=pa.array(~known))
 
 
+def _encoder(token: str, sent, cut: bool) -> Encoder:
+    if token not in _ENCODERS:
+        if len(_ENCODERS) >= 4:
+            _ENCODERS.clear()
+        _ENCODERS[token] = Encoder(sent.value, cut)
+    return _ENCODERS[token]
+
+
 def encoder_function(spark: SparkSession, model: Model, cut: bool = False, pieces: bool = True):
     """A function from a text column to struct<ids, pieces>. One call gives both, so that no text is encoded twice.
 
@@ -129,15 +137,25 @@ def encoder_function(spark: SparkSession, model: Model, cut: bool = False, piece
 
     @F.arrow_udf(TYPE)
     def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        if token not in _ENCODERS:
-            if len(_ENCODERS) >= 4:
-                _ENCODERS.clear()
-            _ENCODERS[token] = Encoder(sent.value, cut)
+        encoder = _encoder(token, sent, cut)
         for texts in batches:
-            yield encode_arrow(_ENCODERS[token], texts, pieces)
+            yield encode_arrow(encoder, texts, pieces)
 
     return encode
 
 
-def encode_column(spark: SparkSession, model: Model, text: Column, cut: bool = False) -> Column:
-    return encoder_function(spark, model, cut)(text)
+def batch_function(spark: SparkSession, model: Model, cut: bool = False):
+    """The same for arrays of texts: array<array<int>>."""
+    sent, token = spark.sparkContext.broadcast(model), uuid.uuid4().hex
+
+    @F.arrow_udf("array<array<int>>")
+    def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        encoder = _encoder(token, sent, cut)
+        for rows in batches:
+            made = encode_arrow(encoder, rows.flatten(), pieces=False)
+            inner = made.field(0)
+            inner = pa.ListArray.from_arrays(inner.offsets, inner.values, mask=made.is_null())
+            sizes = np.array([0 if r is None else len(r) for r in rows.to_pylist()], np.int32)
+            yield pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)), inner, mask=rows.is_null())
+
+    return encode
