@@ -54,7 +54,7 @@ def unpack(blob: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray, np.nd
 
 def chunked(docs: DataFrame, id_col: str, text_col: str, words_of: Callable[[str], list], mark_of: Callable[[int | None], int] = lambda _: 0, chunk_chars: int = CHUNK_CHARS) -> DataFrame:
     """Rows (chunk, idx, word, n, null) for each distinct word of a chunk, n counting it in documents with mark 0, and
-    one row (chunk, null, null, number of words, blob) for each chunk.
+    one row (chunk, null, null, number of words, blob) for each chunk. words_of may give bytes of UTF-8.
 
     The rows are made anew for each use, so docs must be a scan of files or another source that gives equal partitions
     each time; pin_scans sees to that for files. Those who join words and blobs compare the number of words.
@@ -73,7 +73,7 @@ def chunked(docs: DataFrame, id_col: str, text_col: str, words_of: Callable[[str
             for at in range(0, n, 50_000):
                 part = words[at : at + 50_000]
                 k = len(part)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(k, chunk)), pa.array(np.arange(at, at + k, dtype=np.int32)), pa.array(part, pa.string()), pa.array(counts[at : at + k]), pa.nulls(k, pa.binary())], ["chunk", "idx", "word", "n", "blob"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(k, chunk)), pa.array(np.arange(at, at + k, dtype=np.int32)), pa.array(part, pa.binary()).cast(pa.string()) if part and isinstance(part[0], bytes) else pa.array(part, pa.string()), pa.array(counts[at : at + k]), pa.nulls(k, pa.binary())], ["chunk", "idx", "word", "n", "blob"])
             yield pa.RecordBatch.from_arrays([pa.array([chunk]), pa.nulls(1, pa.int32()), pa.nulls(1, pa.string()), pa.array([n], pa.int64()), pa.array([pack(ids, numbers, marks)], pa.binary())], ["chunk", "idx", "word", "n", "blob"])
 
         for batch in batches:

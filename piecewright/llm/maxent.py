@@ -9,8 +9,9 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import common
@@ -21,40 +22,32 @@ CONTEXTS, TOP_CONTEXTS = 384, 320
 #: Classes: the end, one for each of the most frequent words, and shapes of the others.
 CLASSES, TOP_CLASSES = 128, 72
 #: Rows of weights. The first 2 * CONTEXTS are for single and skipped words; pairs are hashed into the others.
-BUCKETS = 1 << 14
+BUCKETS = 1 << 13
 #: Rounds of gradient updates, and tasks that share the contexts of a round.
-ROUNDS, SHARES = 14, 6
+ROUNDS, SHARES = 12, 4
 #: Groups that the tasks' counts of a context are merged in first.
 SALTS = 32
 _FEATURES = 4
 
 
-def words_of(text: str) -> list[str]:
-    return [w.decode("utf-8", "replace") for w in text.encode("utf-8", "surrogatepass").lower().split()]
+def words_of(text: str) -> list[bytes]:
+    return text.encode("utf-8", "surrogatepass").lower().split()
 
 
 def held(doc_id: int | None, mod: int = 7, rest: int = 2) -> bool:
     return doc_id is not None and zlib.crc32(str(doc_id).encode()) % mod == rest
 
 
-class Kinds(dict):
-    """word -> context * CLASSES + class; by rank for frequent words, else by the word's ending and length."""
+def _shape(word: Column) -> Column:
+    """A number for a word's ending and length."""
+    return (F.crc32(F.concat(F.right(word, F.lit(2)), F.lit(" "), F.floor(F.least(F.length(word), F.lit(11)) / 3).cast("string")).cast("binary")) % 3465).cast("int")
 
-    LIMIT = 400_000
 
-    def __init__(self, top: list[str]):
-        super().__init__()
-        self.rank = {w: i for i, w in enumerate(top)}
-
-    def __missing__(self, word: str) -> int:
-        rank = self.rank.get(word, 1 << 30)
-        shape = zlib.crc32(f"{word[-2:]} {min(len(word), 11) // 3}".encode("utf-8", "replace"))
-        context = 1 + rank if rank < TOP_CONTEXTS else 1 + TOP_CONTEXTS + shape % (CONTEXTS - 1 - TOP_CONTEXTS)
-        own = 1 + rank if rank < TOP_CLASSES else 1 + TOP_CLASSES + shape % (CLASSES - 1 - TOP_CLASSES)
-        if len(self) >= self.LIMIT:
-            self.clear()
-        self[word] = made = context * CLASSES + own
-        return made
+def _kind(rank: Column, shape: Column) -> Column:
+    """context * CLASSES + class of a word: by rank for frequent words, else by shape."""
+    context = F.coalesce(1 + rank, 1 + TOP_CONTEXTS + shape % (CONTEXTS - 1 - TOP_CONTEXTS))
+    own = F.when(rank < TOP_CLASSES, 1 + rank).otherwise(1 + TOP_CLASSES + shape % (CLASSES - 1 - TOP_CLASSES))
+    return (context * CLASSES + own).cast("int")
 
 
 def _rows_of(c1: np.ndarray, c2: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -93,14 +86,12 @@ def _unpacked(blobs) -> tuple[np.ndarray, np.ndarray]:
     return keys, np.bincount(back, np.concatenate([p[len(p) // 2 :] for p in parts])).astype(np.int64)
 
 
-def context_counts(docs: DataFrame, top: list[str], id_col: str, text_col: str) -> DataFrame:
+def context_counts(prepared: DataFrame) -> DataFrame:
     """(c1, blob): for each word before, how often which word stands before it and which class follows, over all
     training documents. Tasks count locally, their counts are merged in SALTS groups for each c1 and then at c1."""
-    sent = docs.sparkSession.sparkContext.broadcast(top)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds, salt = Kinds(sent.value), TaskContext.get().partitionId() % SALTS
-        held_keys, held_counts, open_, size = np.zeros(0, np.int64), np.zeros(0, np.int64), [], 0
+        salt, held_keys, held_counts, open_, size = TaskContext.get().partitionId() % SALTS, np.zeros(0, np.int64), np.zeros(0, np.int64), [], 0
 
         def fold() -> None:
             nonlocal held_keys, held_counts, open_, size
@@ -110,15 +101,15 @@ def context_counts(docs: DataFrame, top: list[str], id_col: str, text_col: str)
             held_keys, open_, size = both, [], 0
 
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                if held(doc_id):
+            for blob in batch.column(0):
+                part = Part.from_bytes(blob.as_py())
+                if not len(part.marks):
                     continue
-                words = words_of(text or "")
-                both = np.fromiter(map(kinds.__getitem__, words), np.int64, len(words))
-                one, two = _contexts(np.append(both // CLASSES, 0), np.zeros(1, np.int64))
-                open_.append((one * CONTEXTS + two) * CLASSES + np.append(both % CLASSES, 0))
-                size += len(words) + 1
-                if size > 1_000_000:
+                one, two = _contexts(part.kinds // CLASSES, part.starts)
+                learned = np.repeat(part.marks == 0, part.lengths)
+                open_.append(((one * CONTEXTS + two) * CLASSES + part.kinds % CLASSES)[learned])
+                size += len(open_[-1])
+                if size > 2_000_000:
                     fold()
         fold()
         c1 = held_keys // (CONTEXTS * CLASSES)
@@ -129,7 +120,7 @@ def context_counts(docs: DataFrame, top: list[str], id_col: str, text_col: str)
     def merge(pdf: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame({"c1": pdf["c1"].iloc[:1], "blob": [_packed(*_unpacked(pdf["blob"]))]})
 
-    tasks = docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(run, "c1 int, salt int, blob binary")
+    tasks = prepared.select("part").mapInArrow(run, "c1 int, salt int, blob binary")
     return tasks.groupBy("c1", "salt").applyInPandas(merge, "c1 int, blob binary").groupBy("c1").applyInPandas(merge, "c1 int, blob binary")
 
 
@@ -170,7 +161,7 @@ def train(counts: DataFrame, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarr
             yield pa.RecordBatch.from_arrays([pa.array([out.tobytes()], pa.binary()), pa.array([prior.tobytes()], pa.binary())], ["sums", "prior"])
 
         total, prior = np.zeros((BUCKETS, CLASSES), np.float32), np.zeros(CLASSES)
-        for row in blocks.mapInArrow(run, "sums binary, prior binary").toLocalIterator():
+        for row in blocks.mapInArrow(run, "sums binary, prior binary").collect():
             total += np.frombuffer(row["sums"], np.float32).reshape(total.shape)
             prior += np.frombuffer(row["prior"])
         sent.destroy()
@@ -185,32 +176,81 @@ def train(counts: DataFrame, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarr
 
 
 @dataclass(frozen=True)
-class Model:
-    """All that scoring needs; its size is fixed."""
-
-    top: list[str]
-    weights: np.ndarray
-    bias: np.ndarray
-    within: np.ndarray  # for each class: tokens, types, discount
-    tokens: int
-    types: int
-    docs: int
+class Part:
+    """Some documents of a chunk as scoring needs them: the kinds of all their tokens in a row, an end after each
+    document's words, and what doesn't depend on contexts."""
+
+    ids: list[int | None]
+    marks: np.ndarray
+    lengths: np.ndarray
+    known: np.ndarray
+    base: np.ndarray
+    within: np.ndarray
+    kinds: np.ndarray
+
+    @property
+    def starts(self) -> np.ndarray:
+        return np.cumsum(self.lengths) - self.lengths
+
+    def to_bytes(self) -> bytes:
+        numbers = [np.array([i or 0 for i in self.ids], "<i8"), np.array([i is not None for i in self.ids], "<i8"), *(x.astype("<i8") for x in (self.marks, self.lengths, self.known)), self.base.astype("<f8"), self.within.astype("<f8")]
+        return zstandard.ZstdCompressor(level=3).compress(np.array([len(self.ids)], "<i8").tobytes() + b"".join(x.tobytes() for x in numbers) + self.kinds.astype("<u2").tobytes())
+
+    @classmethod
+    def from_bytes(cls, blob: bytes) -> Part:
+        raw = zstandard.ZstdDecompressor().decompress(blob)
+        n = int(np.frombuffer(raw, "<i8", 1)[0])
+        ids, there, marks, lengths, known = (np.frombuffer(raw, "<i8", n, 8 + 8 * n * k) for k in range(5))
+        base, within = (np.frombuffer(raw, "<f8", n, 8 + 8 * n * k) for k in (5, 6))
+        kinds = np.frombuffer(raw, "<u2", -1, 8 + 56 * n).astype(np.int64)
+        return cls([i if t else None for i, t in zip(ids.tolist(), there.tolist())], marks, lengths, known, base, within, kinds)
+
+
+def prepare_chunk(idx: np.ndarray, c: np.ndarray, kind: np.ndarray, inside: np.ndarray, tokens: int, types: int, docs: int, packed: tuple) -> Iterator[Part]:
+    """A chunk's documents in Parts. idx, c, kind: number, training count and kind of each of its words; inside: for
+    each class its training tokens and types, and the discount."""
+    n = len(idx)
+    count, kinds = np.zeros(n + 1, np.int64), np.zeros(n + 1, np.int64)
+    count[idx], kinds[idx], count[n] = c, kind, docs  # number n is the end, of class 0
+    own = kinds % CLASSES
+    total, kept, discount = inside.T
+    rest = np.maximum(total[own], 1)
+    share = np.where(count > 0, (count - discount[own]) / rest, np.where(total[own] > 0, discount[own] * kept[own] / rest, 1.0))
+    within = np.log10(np.maximum(np.where(own <= TOP_CLASSES, 1.0, share), 1e-300))
+    base = np.log10((count + 1.0) / (tokens + types + 1.0))
+    ids, marks, lengths, numbers = packed
+    at = 0
+    for lo in range(0, len(ids), 2048):
+        sizes = lengths[lo : lo + 2048]
+        mine = numbers[at : at + int(sizes.sum())]
+        at += len(mine)
+        ends = np.cumsum(sizes + 1)
+        row, last = np.full(int(ends[-1]), n, np.int64), np.zeros(int(ends[-1]), bool)
+        last[ends - 1] = True
+        row[~last] = mine
+        starts = ends - sizes - 1
+        yield Part(ids[lo : lo + 2048], marks[lo : lo + 2048], sizes + 1, np.add.reduceat((count[row] > 0).astype(np.int64), starts), np.add.reduceat(base[row], starts), np.add.reduceat(within[row], starts), kinds[row])
+
+
+def class_scores(part: Part, weights: np.ndarray, bias: np.ndarray) -> np.ndarray:
+    """log10 P(classes of a document's tokens | the words before them) of each document, context by context."""
+    one, two = _contexts(part.kinds // CLASSES, part.starts)
+    context, back = np.unique(one * CONTEXTS + two, return_inverse=True)
+    order = np.argsort(back, kind="stable")
+    bounds = np.searchsorted(back[order], np.arange(len(context) + 1))
+    classes, picked = part.kinds % CLASSES, np.empty(len(back), np.float64)
+    for at in range(0, len(context), 4096):
+        some = context[at : at + 4096]
+        logs = log_softmax(weights, bias, some // CONTEXTS, some % CONTEXTS)
+        those = order[bounds[at] : bounds[min(at + 4096, len(context))]]
+        picked[those] = logs[back[those] - at, classes[those]]
+    return np.add.reduceat(picked, part.starts) / np.log(10)
 
 
-def _within(counts: DataFrame, top: list[str]) -> np.ndarray:
+def _within(counts: DataFrame) -> np.ndarray:
     """For each class its training tokens and types, and the discount n1 / (n1 + 2 n2) that unknown words get."""
-    sent = counts.sparkSession.sparkContext.broadcast(top)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds, out = Kinds(sent.value), np.zeros((CLASSES, 4), np.int64)
-        for batch in batches:
-            own = np.fromiter(map(kinds.__getitem__, batch.column(0).to_pylist()), np.int64, batch.num_rows) % CLASSES
-            c = batch.column(1).to_numpy()
-            for k, value in enumerate((c, c > 0, c == 1, c == 2)):
-                out[:, k] += np.bincount(own, value, minlength=CLASSES).astype(np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(CLASSES, dtype=np.int32)), *(pa.array(out[:, k]) for k in range(4))], ["k", "n", "v", "n1", "n2"])
-
-    rows = counts.select("word", "c").mapInArrow(run, "k int, n long, v long, n1 long, n2 long").groupBy("k").agg(*(F.sum(x).alias(x) for x in ("n", "v", "n1", "n2"))).collect()
+    own = counts.groupBy((F.col("kind") % CLASSES).alias("k"))
+    rows = own.agg(F.sum("c").alias("n"), *(F.sum(x.cast("long")).alias(name) for name, x in (("v", F.col("c") > 0), ("n1", F.col("c") == 1), ("n2", F.col("c") == 2)))).collect()
     out = np.zeros((CLASSES, 3))
     out[:, 2] = 0.5
     for r in rows:
@@ -227,76 +267,42 @@ def maxent_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     discount that goes to the class's unknown words. It is learned from all rows whose crc32(id as text) mod 7 isn't 2.
     base_score is the add-one unigram score. Scores are log10 of probabilities of the text.
 
-    Word counts are gathered over all training texts by a shuffle that has each word once per chunk of documents
-    (see chunks.chunked), and return to the documents the same way, for any number of words. Null text is empty: one
-    token. Null ids count as training rows. Rows that repeat an id each give a row. No rows: none; no training rows:
-    every token is unknown.
+    Words are counted over all training texts by a shuffle that has each word, by a 64-bit hash, once per chunk of
+    documents (see chunks.chunked); counts and kinds return to the documents the same way, for any number of words.
+    Null text is empty: one token. Null ids count as training rows. Rows that repeat an id each give a row. No rows:
+    none; no training rows: every token is unknown.
     """
     spark = docs.sparkSession
     common.prepare(spark)
-    rows, _ = common.written(chunked(docs, id_col, text_col, words_of, lambda i: int(held(i))), "chunks")
-    own = rows.where("word is not null").select("chunk", "idx", "word", "n")
-    counts, _ = common.written(own.groupBy("word").agg(F.sum("n").alias("c")), "word-counts")
+    rows, chunks = common.written(chunked(docs, id_col, text_col, words_of, lambda i: int(held(i))), "chunks")
+    own = rows.where("word is not null").select("chunk", "idx", F.xxhash64("word").alias("key"), "n", _shape(F.col("word")).alias("shape"))
+    counted, place = common.written(own.groupBy("key").agg(F.sum("n").alias("c"), F.min("shape").alias("shape")), "word-counts")
+    top = [(r["key"], k) for k, r in enumerate(counted.where("c > 0").orderBy(F.desc("c"), "key").limit(TOP_CONTEXTS).collect())]
+    ranks = spark.createDataFrame(top, "top long, rank int")
+    counts = counted.join(F.broadcast(ranks), F.col("key") == F.col("top"), "left").select("key", "c", _kind(F.col("rank"), F.col("shape")).alias("kind"))
     n_docs = docs.where(~F.coalesce(F.crc32(F.col(id_col).cast("long").cast("string")) % 7 == 2, F.lit(False))).count()
-    whole = counts.agg(F.sum("c").alias("n"), F.sum((F.col("c") > 0).cast("long")).alias("v")).first()
-    top = [r["word"] for r in counts.where("c > 0").orderBy(F.desc("c"), "word").limit(TOP_CONTEXTS).collect()]
-    contexts, _ = common.written(context_counts(docs, top, id_col, text_col), "contexts")
-    weights, bias = train(contexts) if n_docs else (np.zeros((BUCKETS, CLASSES), np.float32), np.zeros(CLASSES, np.float32))
-    model = Model(top, weights, bias, _within(counts, top), (whole["n"] or 0) + n_docs, (whole["v"] or 0) + bool(n_docs), n_docs)
-    sent = spark.sparkContext.broadcast(model)
-    results = own.select("chunk", "idx", "word").hint("merge").join(counts, "word").select("chunk", "idx", "word", "c")
+    whole = counted.agg(F.sum("c").alias("n"), F.sum((F.col("c") > 0).cast("long")).alias("v")).first()
+    tokens, types, inside = (whole["n"] or 0) + n_docs, (whole["v"] or 0) + bool(n_docs), _within(counts)
+    results = own.select("chunk", "idx", "key").hint("merge").join(counts, "key").select("chunk", "idx", "c", "kind")
     blobs = rows.where("blob is not null").select(F.col("chunk").alias("of"), F.col("n").alias("words"), "blob")
 
-    def finish(words: pa.Table, chunk: pa.Table) -> pa.Table:
-        schema = pa.schema([(id_col, pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
-        if words.num_rows != chunk["words"][0].as_py():
+    def join(words: pa.Table, chunk: pa.Table) -> pa.Table:
+        if not chunk.num_rows or words.num_rows != chunk["words"][0].as_py():
             raise ValueError("a chunk lacks words")
-        packed = unpack(chunk["blob"][0].as_py())
-        ids, out = packed[0], score_chunk(sent.value, words["idx"].to_numpy(), words["word"].to_pylist(), words["c"].to_numpy(), *packed)
-        n = len(ids)
-        arrays = [pa.array(ids, pa.int64()), pa.array(out[0]), pa.array(out[1]), pa.array(out[2]), pa.array(np.full(n, sent.value.tokens)), pa.array(out[3]), pa.array(out[4])]
-        return pa.Table.from_arrays(arrays, schema=schema)
-
-    schema = f"`{id_col}` long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return results.groupBy("chunk").cogroup(blobs.groupBy("of")).applyInArrow(finish, schema)
-
-
-def score_chunk(model: Model, idx: np.ndarray, words: list[str], c: np.ndarray, ids: list, marks: np.ndarray, lengths: np.ndarray, numbers: np.ndarray) -> tuple:
-    """(held_out, n_tokens, n_known, base_score, score) of a chunk's documents."""
-    n, kinds = len(words), Kinds(model.top)
-    both, count = np.zeros(n + 1, np.int64), np.zeros(n + 1, np.int64)
-    both[idx], count[idx] = np.fromiter(map(kinds.__getitem__, words), np.int64, n), c
-    count[n] = model.docs  # the end; its class is 0 and it is no context
-    tokens, types, discount = model.within.T
-    own = both % CLASSES
-    alone = (own >= 1) & (own <= min(TOP_CLASSES, len(model.top)))
-    with np.errstate(divide="ignore", invalid="ignore"):
-        rest = np.maximum(tokens[own], 1)
-        inside = np.where(count > 0, (count - discount[own]) / rest, np.where(tokens[own] > 0, discount[own] * types[own] / rest, 1.0))
-    inside = np.where(alone | (np.arange(n + 1) == n), 1.0, inside)
-    within = np.log10(np.maximum(inside, 1e-300))
-    base = np.log10((count + 1.0) / (model.tokens + model.types + 1.0))
-    # All documents' tokens in a row, an end after each.
-    ends = np.cumsum(lengths + 1)
-    row = np.full(int(ends[-1]) if len(ends) else 0, n, np.int64)
-    last = np.zeros(len(row), bool)
-    last[ends - 1] = True
-    row[~last] = numbers
-    starts = ends - lengths - 1
-    one, two = _contexts(both[row] // CLASSES, starts)
-    context, back = np.unique(one * CONTEXTS + two, return_inverse=True)
-    order = np.argsort(back, kind="stable")
-    classes = own[row]
-    bounds = np.searchsorted(back[order], np.arange(len(context) + 1))
-    picked = np.empty(len(row), np.float64)
-    for at in range(0, len(context), 4096):
-        part = context[at : at + 4096]
-        logs = log_softmax(model.weights, model.bias, part // CONTEXTS, part % CONTEXTS)
-        those = order[bounds[at] : bounds[min(at + 4096, len(context))]]
-        picked[those] = logs[back[those] - at, classes[those]]
-    score = picked / np.log(10) + within[row]
+        made = prepare_chunk(words["idx"].to_numpy(), words["c"].to_numpy(), words["kind"].to_numpy(), inside, tokens, types, n_docs, unpack(chunk["blob"][0].as_py()))
+        return pa.Table.from_batches([pa.RecordBatch.from_arrays([pa.array([p.to_bytes()], pa.binary())], ["part"]) for p in made], schema=pa.schema([("part", pa.binary())]))
 
-    def total(x: np.ndarray) -> np.ndarray:
-        return np.add.reduceat(x, starts) if len(starts) else x
+    prepared, _ = common.written(results.groupBy("chunk").cogroup(blobs.groupBy("of")).applyInArrow(join, "part binary"), "prepared")
+    for path in (chunks, place):
+        common.drop_folder(spark, path)
+    weights, bias = train(context_counts(prepared).checkpoint()) if n_docs else (np.zeros((BUCKETS, CLASSES), np.float32), np.zeros(CLASSES, np.float32))
+    sent = spark.sparkContext.broadcast((weights, bias))
+
+    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for blob in batch.column(0):
+                p = Part.from_bytes(blob.as_py())
+                arrays = [pa.array(p.ids, pa.int64()), pa.array(p.marks == 1), pa.array(p.lengths), pa.array(p.known), pa.array(np.full(len(p.ids), tokens, np.int64)), pa.array(p.base), pa.array(p.within + class_scores(p, *sent.value))]
+                yield pa.RecordBatch.from_arrays(arrays, [id_col, "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
-    return marks.astype(bool), lengths + 1, total((count[row] > 0).astype(np.int64)), total(base[row]), total(score)
+    return prepared.mapInArrow(finish, f"`{id_col}` long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
