@@ -104,7 +104,7 @@ _BACK = """aggregate(sequence(size(best) - 1, 1, -1), named_struct('w', size(bes
 
 
 def encode_words(words: DataFrame, model: Model, text: Column | None = None) -> DataFrame:
-    """(word, ids): the best segmentation of each distinct, non-empty word; -codepoint stands for an uncovered character.
+    """(word, ids): the best segmentation of each distinct, non-empty word; -1 - codepoint is an uncovered character.
 
     Relational lattice: substrings of at most the longest piece's length are exploded and equi-joined to the piece
     table (a vocabulary file, broadcast as its size is that of the file); the matches are the lattice's edges, grouped
@@ -128,7 +128,7 @@ def encode_words(words: DataFrame, model: Model, text: Column | None = None) ->
     grouped = met.groupBy("word").agg(F.sort_array(F.collect_list("e")).alias("edges"))
     table = F.from_json(F.lit("[" + ",".join(repr(scores[i]) if i in scores else "null" for i in range(len(model.pieces))) + "]"), "array<double>")
     best = grouped.select("word", F.expr(_OPEN).alias("open")).select("word", "open", table.alias("scores")).select("word", F.expr(_FOLD.replace("{unknown}", repr(unknown))).alias("best"))
-    return best.select("word", F.expr(_BACK).alias("codes")).select("word", F.transform("codes", lambda c: F.when(c >= UNCOVERED, UNCOVERED - c).otherwise(c)).alias("ids"))
+    return best.select("word", F.expr(_BACK).alias("codes")).select("word", F.transform("codes", lambda c: F.when(c >= UNCOVERED, UNCOVERED - 1 - c).otherwise(c)).alias("ids"))
 
 
 def unknown_ids(model: Model, code: int) -> list[int]:
@@ -217,14 +217,14 @@ class _Small:
         self.bytes = [model.piece_to_id(byte_piece(b)) for b in range(256)] if model.byte_fallback else []
 
     def expand(self, flat: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Uncovered characters, given as -codepoint, as ids."""
+        """Uncovered characters, given as -1 - codepoint, as ids."""
         bad = flat < 0
         if not bad.any():
             return flat, offsets
         if not self.fallback:
             return np.where(bad, self.unk, flat), offsets
         which, back = np.unique(flat[bad], return_inverse=True)
-        coded = [[self.bytes[b] for b in chr(-c).encode("utf-8", "surrogatepass")] for c in which.tolist()]
+        coded = [[self.bytes[b] for b in chr(-1 - c).encode("utf-8", "surrogatepass")] for c in which.tolist()]
         sizes = np.ones(len(flat), np.int64)
         sizes[bad] = np.array([len(c) for c in coded])[back]
         ends = np.cumsum(sizes)

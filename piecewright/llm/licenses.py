@@ -83,6 +83,8 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
 TRIGGER = re.compile(r"licen[sc]e|permission (?:is|to)|redistribut|public domain|waived all copyright", re.I)
 #: Words of a block around a trigger, to either side; how many winners are held against the wording.
 AROUND, WINNERS = 90, 6
+#: Words of short blocks within a line, before and after the trigger.
+NEAR = ((1, 6), (6, 2), (6, 12))
 #: A winner's size must fall by this part, and this part of the template's words must be there in order.
 LEAST_GAIN, LEAST_WORDING = 0.25, 0.85
 _WORD = re.compile(r"[^\W_]+(?:[.'-][^\W_]+)*")
@@ -187,6 +189,9 @@ class Scanner:
                 found = [(self.best(b), to) for b, to in ((whole, more), (tail, n)) if b == whole or whole != tail]
                 sentences = [s for s in re.split(r"(?<=[.;:])\s+", tail) if TRIGGER.search(s)]
                 found += [(self.best(s), n) for s in sentences if s != tail]
+                if size > sum(NEAR[-1]):
+                    head, rest = line[: hit.start()].split(), line[hit.start() :].split()
+                    found += [(self.best(" ".join(head[-before:] + rest[:after])), n) for before, after in NEAR]
                 found = [(f, to) for f, to in found if f]
                 if found:
                     top, to = max(found, key=lambda f: (f[0][5], f[0][2]))

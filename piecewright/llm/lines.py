@@ -24,6 +24,8 @@ KEY_BYTES = 25
 SHARD_LINES = 1 << 19
 #: Lines in at least this part of all lines count as heavy; there are at most so many.
 HEAVY = 1 << 16
+#: Stands for a null id where lines are routed.
+NO_ID = -(1 << 63)
 
 
 def line_key(line: bytes, min_chars: int) -> bytes | None:
@@ -168,7 +170,7 @@ def _routed(docs: DataFrame, tables, far: DataFrame, shards: int, token: str, id
         known, _, last = LineShard.from_bytes(table["table"].iloc[0]).probe(*(lines[c].to_numpy(np.int64).view(np.uint64) for c in ("h1", "h2")))
         return lines.loc[known & (lines["id"].to_numpy() != last), ["id", "h1", "h2"]]
 
-    rows = _key_rows(docs.where(F.col(id_col).isNotNull()), id_col, text_col, min_chars)
+    rows = _key_rows(docs.withColumn(id_col, F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID))), id_col, text_col, min_chars)
     sent = common.map_arrow(rows, each, "shard int, h1 long, h2 long, id long")
     hits = sent.groupBy("shard").cogroup(far.groupBy("shard")).applyInPandas(meet, "id long, h1 long, h2 long")
     return hits.groupBy("id").agg(F.collect_list(F.struct("h1", "h2")).alias("drop"))
@@ -178,18 +180,18 @@ def _without(docs: DataFrame, tables, shards: int, token: str, found: DataFrame
     at, by = docs.columns.index(text_col), docs.columns.index(id_col)
     fields = [T.StructField(f.name, T.StringType()) if f.name == text_col else f for f in docs.schema.fields]
     schema = T.StructType([*fields, T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())])
-    width = len(fields)
+    width, with_routed = len(fields), found is not None
     rows = docs
     if found is not None:
         own = found.select(F.col("id").alias("_routed_id"), F.col("drop").alias("_routed_drop"))
-        rows = docs.join(own, docs[id_col].cast("long") == own["_routed_id"], "left").drop("_routed_id")
+        rows = docs.join(own, F.coalesce(docs[id_col].cast("long"), F.lit(NO_ID)) == own["_routed_id"], "left").drop("_routed_id")
 
     def each(batch: pa.RecordBatch) -> pa.RecordBatch:
         probe = _probe_of(tables, shards, token)
         split = [t.split(b"\n") for t in _bytes_of(batch.column(at))]
         each_doc = [line_hashes(lines, min_chars) for lines in split]
         known, last = probe(np.concatenate([h for _, h in each_doc]))
-        routed = batch.column(width).to_pylist() if found is not None else None
+        routed = batch.column(width).to_pylist() if with_routed else None
         texts, dropped, k = [], [], 0
         for row, (doc_id, lines, (where, hashes)) in enumerate(zip(batch.column(by).to_pylist(), split, each_doc)):
             own = slice(k, k := k + len(where))

@@ -1,0 +1,297 @@
+"""The training-data operators on small tables with nulls, empty and long texts, ties, repeats and clashing columns."""
+
+import hashlib
+import math
+import random
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import pytest
+from conftest import same
+from test_small_parts import simple_fingerprint
+
+from piecewright.llm import common
+from piecewright.llm.cws import EMPTY, fingerprint_neighbours
+from piecewright.llm.decontaminate import contamination
+from piecewright.llm.graph import connected_components
+from piecewright.llm.licenses import license_scan
+from piecewright.llm.lines import line_dedup
+from piecewright.llm.maxent import maxent_scores
+from piecewright.llm.passages import repeated_passages
+from piecewright.llm.simhash import simhash_components
+from piecewright.llm.toxicity import score, toxicity, train, without_toxic
+from piecewright.llm.warc import read_archives, write_archives
+
+RNG = random.Random(3)
+VOCABULARY = ["".join(RNG.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(RNG.randint(2, 8))) for _ in range(400)]
+
+
+def prose(n, rng=RNG):
+    return " ".join(rng.choice(VOCABULARY) for _ in range(n))
+
+
+LONG = "x" * 100_000 + " " + prose(3000)
+COPY = prose(120)
+ODD = [(10, None), (11, ""), (12, " \n\t"), (13, "one"), (14, "Two words"), (15, LONG), (16, COPY), (17, COPY), (17, COPY), (18, COPY.upper() + "\n"), (None, COPY), (None, None), (19, "日本 🚀\r\n\x0b naïve"), (20, "\n".join([COPY] * 3))]
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    """Columns that the operators use names like."""
+    rows = [(i, t, "x", 1, t, 2.0, True) for i, t in ODD]
+    return spark.createDataFrame(rows, "doc_id long, text string, fp string, n_lines int, component_id string, score double, word boolean").repartition(3)
+
+
+@pytest.fixture(scope="module")
+def none(spark):
+    return spark.createDataFrame([], "doc_id long, text string")
+
+
+def rows_of(df):
+    return sorted((tuple(r) for r in df.collect()), key=repr)
+
+
+def components(links):
+    at = {}
+    for a, b in links:
+        for x in (a, b):
+            at.setdefault(x, x)
+        low, high = sorted((at[a], at[b]))
+        for x, y in at.items():
+            if y == high:
+                at[x] = low
+    return at
+
+
+def test_components(spark):
+    rng = random.Random(5)
+    links = [(rng.randint(0, 300), rng.randint(0, 300)) for _ in range(200)] + [(1000 + k, 1001 + k) for k in range(60)] + [(5000, 5000 + k) for k in range(1, 80)]
+    found = connected_components(spark.createDataFrame([*links, (None, 3), (4, 4)], "a long, b long"))
+    expected = {k: v for k, v in components(links).items() if any(k in x and x[0] != x[1] for x in links)}
+    assert dict(map(tuple, found.collect())) == expected
+    assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def brute_simhash(rows, budget=3):
+    prints = [simple_fingerprint(t or "") for _, t in rows]
+    links = [(i, j) for i in range(len(rows)) for j in range(i + 1) if bin(prints[i] ^ prints[j]).count("1") <= budget]
+    groups = components(links)
+    low = defaultdict(list)
+    for k, g in groups.items():
+        if rows[k][0] is not None:
+            low[g].append(rows[k][0])
+    return sorted(((rows[k][0], f"{prints[k]:016x}", min(low[groups[k]], default=None)) for k in range(len(rows))), key=repr)
+
+
+def test_simhash(spark, odd, none, sf_dir):
+    near = [(100 + k, re.sub(r"^\S+", f"w{k}", COPY)) for k in range(30)] + [(200 + k, prose(4)) for k in range(60)]
+    more = spark.createDataFrame([*ODD, *near], "doc_id long, text string")
+    assert rows_of(simhash_components(more)) == brute_simhash([*ODD, *near])
+    assert rows_of(simhash_components(odd)) == brute_simhash(ODD) and simhash_components(none).count() == 0
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    assert rows_of(simhash_components(docs)) == brute_simhash([(r["doc_id"], r["text"]) for r in docs.collect()])
+
+
+def brute_lines(rows, least=20, docs=3):
+    def key(line):
+        line = line.strip(" \t\n\x0b\x0c\r")
+        line = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in line)
+        return line if len(line) >= least else None
+
+    where = defaultdict(set)
+    for i, t in rows:
+        for line in (t or "").split("\n"):
+            if key(line) is not None and i is not None:
+                where[key(line)].add(i)
+    out = []
+    for i, t in rows:
+        lines = (t or "").split("\n")
+        kept = [x for x in lines if len(where.get(key(x), ())) < docs or max(where[key(x)]) == i]
+        out.append((i, "\n".join(kept), len(lines), len(lines) - len(kept)))
+    return sorted(out, key=repr)
+
+
+@pytest.mark.parametrize("size", [common.BROADCAST_BYTES, 0])
+def test_lines_broadcast_and_routed(spark, odd, none, size, monkeypatch):
+    monkeypatch.setattr("piecewright.llm.lines.HEAVY", 40)
+    pool = [prose(6) for _ in range(40)]
+    rows = [*ODD, *((100 + k, "\n".join(RNG.choice(pool) + RNG.choice(["", " ", "\t"]) for _ in range(RNG.randint(1, 6)))) for k in range(150))]
+    rows += [(300 + k, "a line that all of these have\n" + prose(3)) for k in range(120)]
+    found = line_dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), table_bytes=size)
+    assert rows_of(found) == brute_lines(rows)
+    kept = line_dedup(odd, table_bytes=size)
+    assert kept.columns == ["doc_id", "text", "fp", "component_id", "score", "word", "n_lines", "n_dropped"]
+    assert rows_of(kept.select("doc_id", "text", "n_lines", "n_dropped")) == brute_lines(ODD)
+    assert line_dedup(none, table_bytes=size).count() == 0
+
+
+def test_warc(spark, tmp_path):
+    big, small = "<html>" + "é" * 200, "<p>tiny"
+    rows = [(5, "http://a", big), (3, None, big), (3, "http://b\r\nX: y", big), (9, "", big), (1, "u", small), (2, "u", small), (4, "u", None), (6, "u", ""), (None, "n", big), (None, "n", None), (7, "z", "<p>" * 60_000), (-8, "neg", "y" * 100)]
+    pages = spark.createDataFrame([(*r, 1) for r in rows], "page_id long, url string, html string, digest int").repartition(2)
+    write_archives(pages, str(tmp_path / "w"))
+    read = read_archives(spark, str(tmp_path / "w"))
+    got = rows_of(read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"))
+    expected = []
+    for i, _, html in rows:
+        data = (html or "").encode()
+        first = 3 if html == big else None
+        expected.append((i, len(data), hashlib.sha256(data).hexdigest(), "revisit" if first and i != 3 else "response", first if first and i != 3 else None))
+    assert got == sorted(expected, key=repr)
+    payloads = {r["page_id"]: r["payload"] for r in read.where("record_type = 'response' and page_id is not null").collect()}
+    assert bytes(payloads[7]) == b"<p>" * 60_000 and bytes(payloads[6]) == b""
+    write_archives(pages.limit(0), str(tmp_path / "none"))
+    assert read_archives(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_passages(spark, odd, none):
+    rng = random.Random(11)
+    voc = [f"{a}{k}" for k, a in enumerate(VOCABULARY * 10)]
+    say = lambda n: [rng.choice(voc) for _ in range(n)]
+    rows, planted = [], set()
+    for p in range(25):
+        passage = say(rng.randint(52, 90))
+        passage[30] += "\n" if p % 3 == 0 else ""
+        for _ in range(2):
+            rows.append((len(rows), " ".join(say(rng.randint(20, 150)) + passage + say(rng.randint(20, 150)))))
+            planted.add(rows[-1][0])
+    paragraph = say(60)
+    for k in range(3):  # near copies of a line
+        own = list(paragraph)
+        own[20 * k] = "other"
+        rows.append((len(rows), "\n".join([" ".join(say(15)), " ".join(own), " ".join(say(15))])))
+        planted.add(rows[-1][0])
+    clean = {len(rows) + k for k in range(60)}
+    rows += [(i, " ".join(say(200))) for i in sorted(clean)]
+    rows += [(900, None), (901, ""), (None, rows[0][1]), (902, "a b c " * 2000)]
+    found = repeated_passages(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).toPandas()
+    assert len(planted & set(found.doc_id)) >= len(planted) - 1 and not clean & set(found.doc_id) and not {900, 901, 902} & set(found.doc_id)
+    assert (found.n_words >= 20).all() and found[found.doc_id == 0].kept.all() and not found[found.doc_id == 1].kept.any()
+    texts = dict(rows)
+    for r in found.itertuples():
+        assert r.first_word + r.n_words <= len(texts[r.doc_id].split()) and r.class_id <= r.doc_id
+    got = set(repeated_passages(odd).toPandas().doc_id)
+    assert {16, 17, 18, 20} <= got and not got & {10, 11, 12, 13, 14, 19}
+    assert repeated_passages(none).count() == 0
+
+
+def test_near_paragraphs_are_found_in_split_buckets(spark, monkeypatch):
+    monkeypatch.setattr("piecewright.llm.passages.BUCKET", 2)
+    base = prose(50).split()
+    rows = []
+    for k in range(12):
+        own = list(base)
+        if k:  # each is near the first, but not near the others
+            own[4 * k % 50] = f"edit{k}"
+        rows.append((k, " ".join(own)))
+    found = repeated_passages(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {r["doc_id"] for r in found.where("class_id = 0 and n_words = 50").collect()} == set(range(12))
+
+
+def test_licenses(spark, odd, none):
+    rows = [(1, "x\nReleased under the MIT License.\ny"), (2, "Licensed under the Apache License, Version 2.0."), (3, "This work is licensed under the GNU General Public License, version 2."), (4, None), (5, "a driver's license"), (None, "Licensed under CC BY-SA 4.0."), (6, prose(400) + " Licensed under CC BY-NC 4.0. " + prose(400))]
+    got = rows_of(license_scan(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", "line", "license"))
+    assert got == sorted([(1, 1, "MIT"), (2, 0, "Apache-2.0"), (3, 0, "GPL-2.0"), (None, 0, "CC-BY-SA-4.0"), (6, 0, "CC-BY-NC-4.0")], key=repr)
+    assert license_scan(odd).count() == 0 and license_scan(none).count() == 0
+
+
+def test_contamination(spark, odd, none, monkeypatch):
+    items = [(1, prose(40)), (2, prose(40)), (2, prose(40)), (3, "short item"), (4, None), (5, "  "), (None, prose(45))]
+    docs = [(1, prose(50) + " " + items[0][1].upper().replace(" ", "\n ") + " " + prose(5)), (2, prose(100)), (3, "Short  item"), (4, "a short item here"), (5, items[1][1][:60] + "#" + items[1][1][62:] + "!" + items[2][1]), (None, items[6][1]), (6, None), (7, "")]
+    a, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    expected = sorted([(1, 1, 0), (3, 3, 0), (5, 2, 2), (5, 2, 0), (None, None, 0)], key=repr)
+    assert rows_of(contamination(a, b).select("doc_id", "item_id", "distance")) == expected
+    monkeypatch.setattr("piecewright.llm.decontaminate.BLOCK_CHARS", 150)
+    assert rows_of(contamination(a, b).select("doc_id", "item_id", "distance")) == expected
+    assert contamination(none, b).count() == 0 and contamination(odd, b.limit(0)).count() == 0 and contamination(odd, b).count() == 0
+
+
+def test_scores(spark, odd, none):
+    rows = [*ODD, *((100 + k, prose(40)) for k in range(60)), (300, "neverseen " * 5)]
+    got = maxent_scores(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 7 == 2
+    tokens = [(i, (t or "").encode().lower().split() + [None]) for i, t in rows]
+    counts = Counter(w for i, ws in tokens if not held(i) for w in ws)
+    n, v = sum(counts.values()), len(counts)
+    expected = sorted(((i, held(i), len(ws), sum(w in counts for w in ws), n, round(sum(math.log10((counts[w] + 1) / (n + v + 1)) for w in ws), 4)) for i, ws in tokens), key=repr)
+    assert sorted(((*tuple(r)[:5], round(r["base_score"], 4)) for r in got), key=repr) == expected
+    assert all(r["score"] < 0 and math.isfinite(r["score"]) for r in got)
+    assert sum(r["score"] for r in got if r["held_out"]) > sum(r["base_score"] for r in got if r["held_out"])
+    assert maxent_scores(odd).count() == len(ODD) and maxent_scores(none).count() == 0
+
+
+def test_the_model_is_a_distribution():
+    import numpy as np
+
+    from piecewright.llm import maxent
+
+    rng = np.random.default_rng(1)
+    weights = rng.normal(size=(maxent.BUCKETS, maxent.CLASSES)).astype(np.float32)
+    logs = maxent.log_softmax(weights, np.zeros(maxent.CLASSES, np.float32), np.arange(9), np.arange(9))
+    assert np.allclose(np.exp(logs).sum(1), 1, atol=1e-4)
+    # Within a class the known words and the unknown word share the probability.
+    inside, counts, cls = np.zeros((maxent.CLASSES, 3)), np.array([5, 3, 1, 0]), maxent.CLASSES - 1
+    inside[cls] = 9, 3, 0.4
+    kinds = np.full(4, 10 * maxent.CLASSES + cls)
+    chunk = ([1, 2, 3, 4], np.zeros(4, np.uint8), np.ones(4, np.int64), np.arange(4, dtype=np.int32))
+    (part,) = maxent.prepare_chunk(np.arange(4), counts, kinds, inside, 100, 10, 7, chunk)
+    assert math.isclose((10**part.within).sum(), 1.0) and part.known.tolist() == [2, 2, 2, 1]
+
+
+def test_toxicity(spark, odd, none):
+    rng, rows, labels = random.Random(6), [], []
+    for k in range(900):
+        toxic = k % 9 == 0
+        words = prose(60, rng).split()
+        for _ in range(3 if toxic else 0):
+            words[rng.randrange(60)] = rng.choice(["zorgfel", "zorgina", "idiot", "scum"])
+        rows.append((k, " ".join(words)))
+        labels.append((k, 1 if k % 2 else 0, int(toxic)))
+    rows += [(2000, None), (2001, ""), (None, "you idiot"), (2002, "He said: you are not an idiot"), (2003, prose(5000))]
+    docs = spark.createDataFrame([(*r, "en") for r in rows], "doc_id long, text string, lang string")
+    known = spark.createDataFrame([*labels, (None, 1, 1), (5000, 1, 1), (2, None, None)], "doc_id long, quality int, toxic int")
+    got = toxicity(docs, known).toPandas()
+    assert len(got) == len(rows) and got.score.between(0, 1).all() and ((got.score >= 0.5) == (got.predicted == 1)).all()
+    truth = {i: t for i, _, t in labels}
+    held = got[got.held_out & got.doc_id.isin(truth)]
+    assert len(held) > 100 and (held.predicted == held.doc_id.map(truth)).mean() > 0.97
+    assert all(zlib.crc32(str(int(i)).encode()) % 5 == 0 for i in held.doc_id)
+    assert got[got.doc_id.isin([2000, 2001, 2003])].predicted.sum() == 0
+    model = train(docs, known)
+    kept = without_toxic(docs, model)
+    assert kept.columns == docs.columns and kept.count() == (got.predicted == 0).sum()
+    assert score(odd, model).count() == len(ODD) and score(none, model).count() == 0
+    assert toxicity(odd, known.limit(0)).count() == len(ODD)
+
+
+def test_weighted_sampling(spark, odd, none):
+    rows = [*ODD, *((100 + k, prose(RNG.randint(0, 30))) for k in range(80))]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    order = sorted(((i, t or "") for i, t in rows), key=lambda r: (r[0] is None, -(r[0] or 0), r[1]))
+    expected = []
+    for k, (i, t) in enumerate(order):
+        after, half = order[(k + 1) % len(order)][1], len(t) // 2
+        expected.append((i, len(t), hashlib.sha256((t[: len(t) - half] + after[:half]).encode()).hexdigest()))
+    for size in (4096, 7):
+        got = fingerprint_neighbours(df, per_part=size).collect()
+        assert sorted((tuple(r)[:3] for r in got), key=repr) == sorted(expected, key=repr)
+        texts = defaultdict(set)
+        for r in got:
+            texts[r["doc_id"]].add(r["fingerprint"])
+            assert 0 <= r["near_edited"] <= 1 and 0 <= r["near_next"] <= 1
+        assert texts[16] == texts[17] == texts[18] and texts[10] | texts[12] | texts[11] == {EMPTY}
+    assert fingerprint_neighbours(odd).count() == len(ODD) and fingerprint_neighbours(none).count() == 0
+    alone = fingerprint_neighbours(df.where("doc_id = 15")).first()
+    assert alone["near_next"] == 1.0
+
+
+def test_shared_folder_must_be_named(spark, monkeypatch):
+    assert common.shared_dir(spark)
+
+
+def test_queries_against_sql(spark, sf_dir, duck):
+    from piecewright.llm import queries
+
+    for name, sql in queries.ORACLE_SQL.items():
+        assert same(queries.QUERIES[name](spark, sf_dir).toPandas(), duck.execute(sql).df()), name
