@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,6 +22,8 @@ REACH = 5
 BUCKET, SPLITS = 4096, 8
 #: Bits of the filter that picks candidate paragraphs out of the texts, at most.
 FILTER_BITS = 1 << 28
+#: Bytes of texts that are worked on at a time; a longer text is one group.
+GROUP_BYTES = 1 << 21
 
 _ODD = np.random.default_rng(20).integers(1, 1 << 62, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _POWER, _INVERSE = np.uint64(0x9E3779B97F4A7C15), np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -45,32 +45,47 @@ def _mix(x: np.ndarray) -> np.ndarray:
         return x ^ (x >> np.uint64(32))
 
 
+_BYTES = np.random.default_rng(21).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_IS_SPACE = np.zeros(256, bool)
+_IS_SPACE[[9, 10, 11, 12, 13, 32]] = True
+_POWERS = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+
+
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first n powers of _POWER and of its inverse, kept for the next call."""
+    if len(_POWERS[0]) < n:
+        with np.errstate(over="ignore"):
+            for k, base in enumerate((_POWER, _INVERSE)):
+                _POWERS[k] = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(n, base)]), dtype=np.uint64)
+    return _POWERS[0][:n], _POWERS[1][:n]
+
+
 class Texts:
-    """The words of a batch of texts in a row, as hashes, and their paragraphs (lines) and parts."""
+    """The words of a batch of texts in a row, as hashes, and their paragraphs (lines) and parts.
+
+    Hashes of stretches are differences of prefix sums of byte or word values times powers, moved to a common place by
+    the inverse power and mixed; no word is made a Python object.
+    """
 
     def __init__(self, texts: list[bytes]):
-        number: defaultdict = defaultdict()
-        number.default_factory = number.__len__
-        ids, breaks, sizes, at = [], [], [], 0
-        for text in texts:
-            start = at
-            for line in text.lower().split(b"\n"):
-                words = line.split()
-                if words:
-                    breaks.append(at)
-                    ids.append(np.fromiter(map(number.__getitem__, words), np.int64, len(words)))
-                    at += len(words)
-            sizes.append((start, at))
-        each = np.fromiter((xxhash.xxh64_intdigest(w, 7) for w in number), np.uint64, len(number))
-        self.words = each[np.concatenate([*ids, np.zeros(0, np.int64)])]
-        self.docs = np.array(sizes, np.int64).reshape(-1, 2)
-        self.line_starts = np.array(breaks, np.int64)
-        self.line_ends = np.append(self.line_starts[1:], at).astype(np.int64)
-        n = len(self.words)
+        joined = b"\n".join(texts).lower()
+        buffer = np.frombuffer(joined, np.uint8)
+        space = np.concatenate([_IS_SPACE[buffer], [True]])
+        before = np.concatenate([[True], space[:-1]])
+        starts, ends = np.flatnonzero(before & ~space), np.flatnonzero(space & ~before)
+        ends_of = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)) + 1) - 1
+        begins = np.concatenate(([0], ends_of[:-1] + 1)) if len(texts) else np.zeros(0, np.int64)
+        self.docs = np.stack([np.searchsorted(starts, begins), np.searchsorted(starts, ends_of)], axis=1) if len(texts) else np.zeros((0, 2), np.int64)
+        line = np.searchsorted(np.flatnonzero(buffer == 10), starts)
+        n = len(starts)
+        self.line_starts = np.flatnonzero(np.concatenate(([True], line[1:] != line[:-1]))) if n else np.zeros(0, np.int64)
+        self.line_ends = np.append(self.line_starts[1:], n)
         with np.errstate(over="ignore"):
-            powers = np.cumprod(np.concatenate([[np.uint64(1)], np.full(n, _POWER)]), dtype=np.uint64)
-            self.inverse = np.cumprod(np.concatenate([[np.uint64(1)], np.full(n, _INVERSE)]), dtype=np.uint64)
-            self.sums = np.concatenate([[np.uint64(0)], np.cumsum(_mix(self.words) * powers[:n], dtype=np.uint64)])
+            powers, inverse = _powers(max(len(buffer), n) + 1)
+            sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_BYTES[buffer] * powers[: len(buffer)], dtype=np.uint64)])
+            self.words = _mix((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
+            self.inverse = inverse
+            self.sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_mix(self.words) * powers[:n], dtype=np.uint64)])
             shingles = np.zeros(max(n - SHINGLE + 1, 0), np.uint64)
             for k in range(SHINGLE):
                 shingles += self.words[k : k + len(shingles)] * _ODD[k]
@@ -114,11 +129,27 @@ class Texts:
         bounds = np.stack([starts, ends - SHINGLE + 1], axis=1).ravel()
         for k in range(count):
             with np.errstate(over="ignore"):
-                own = _mix(self.shingles * _ODD[20 + first + k])
-            out[:, k] = np.minimum.reduceat(np.append(own, ~np.uint64(0)), bounds)[::2]
+                own = np.append(self.shingles * _ODD[20 + first + k], ~np.uint64(0))
+            out[:, k] = np.minimum.reduceat(own, bounds)[::2]
         return out
 
 
+def _map(df: DataFrame, each, schema: str) -> DataFrame:
+    """map_arrow with a batch's texts (its last column) cut into groups of GROUP_BYTES, which bounds memory."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            upto = np.cumsum([len(t) for t in batch.column(batch.num_columns - 1).to_pylist()])
+            at = 0
+            while at < batch.num_rows:
+                to = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + GROUP_BYTES, "right")))
+                if (out := each(batch.slice(at, to - at))) is not None:
+                    yield out
+                at = to
+
+    return df.mapInArrow(run, schema)
+
+
 def _longs(x: np.ndarray) -> pa.Array:
     return pa.array(np.ascontiguousarray(x).view(np.int64))
 
@@ -134,7 +165,7 @@ def _occurrences(docs: DataFrame) -> DataFrame:
         where = t.doc_of(starts)
         return pa.RecordBatch.from_arrays([_longs(t.hashes(starts, ends)), pa.array(ids[where]), pa.array((starts - t.docs[where, 0]).astype(np.int32)), pa.array((ends - starts).astype(np.int32))], ["uh", "doc", "start", "n"])
 
-    return common.map_arrow(docs, each, "uh long, doc long, start int, n int")
+    return _map(docs, each, "uh long, doc long, start int, n int")
 
 
 def _band_rows(docs: DataFrame, bands: int, rows: int) -> DataFrame:
@@ -153,7 +184,7 @@ def _band_rows(docs: DataFrame, bands: int, rows: int) -> DataFrame:
             keys.append(key)
         return pa.RecordBatch.from_arrays([_longs(np.concatenate(keys)), _longs(np.tile(uh, bands))], ["key", "uh"])
 
-    return common.map_arrow(docs, each, "key long, uh long")
+    return _map(docs, each, "key long, uh long")
 
 
 def _probes(uh: np.ndarray, bits: int) -> list[np.ndarray]:
@@ -195,7 +226,7 @@ def _candidates(docs: DataFrame, bits: np.ndarray, rows_used: int) -> DataFrame:
         more = t.minima(starts, ends, rows_used, SPLITS).view(np.int64)
         return pa.RecordBatch.from_arrays([_longs(uh), pa.array(sets, pa.binary()), pa.array(more.tolist(), pa.list_(pa.int64()))], ["uh", "shingles", "more"])
 
-    return common.map_arrow(docs, each, "uh long, shingles binary, more array<long>").groupBy("uh").agg(F.first("shingles").alias("shingles"), F.first("more").alias("more"))
+    return _map(docs, each, "uh long, shingles binary, more array<long>").groupBy("uh").agg(F.first("shingles").alias("shingles"), F.first("more").alias("more"))
 
 
 def links_within(ids: list[int], sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
@@ -260,9 +291,9 @@ def paragraph_links(docs: DataFrame, similarity: float = SIMILARITY, recall: flo
     Jaccard similarity decides; what comes out joins the bucket's members without listing all pairs.
     """
     bands, rows = tuned_bands(similarity, recall)
-    banded = _band_rows(docs, bands, rows)
-    shared = banded.groupBy("key").agg(F.min("uh").alias("lo"), F.max("uh").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo <> hi").select("key", "n")
-    pairs, _ = common.written(banded.join(shared, "key").select("key", "uh").distinct(), "bands")
+    banded = _band_rows(docs, bands, rows).repartition("key")  # one exchange for both uses, which need both columns
+    shared = banded.groupBy("key").agg(F.min("uh").alias("lo"), F.max("uh").alias("hi")).where("lo <> hi").select("key")
+    pairs, _ = common.written(banded.hint("merge").join(shared, "key").select("key", "uh").distinct(), "bands")
     n = pairs.count()
     bits = min(FILTER_BITS, max(1 << 16, 1 << (16 * n).bit_length()))
     found = _candidates(docs, _filter(pairs.select("uh"), bits), bands * rows)
@@ -291,7 +322,10 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     common.prepare(docs.sparkSession)
     texts = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), common.utf8(text_col).alias("t"))
     links = connected_components(paragraph_links(texts, similarity))
-    own = _occurrences(texts).join(links, F.col("uh") == F.col("node"), "left").select("doc", "start", "n", F.coalesce("component", "uh").alias("class"))
+    every = _occurrences(texts).repartition("uh")  # one exchange for both uses, which need all columns
+    shared = every.groupBy(F.col("uh").alias("seen")).agg(F.min("doc").alias("lo"), F.max("doc").alias("hi"), F.max("start").alias("s"), F.max("n").alias("m")).where("lo <> hi and s is not null and m is not null").select("seen")
+    met = every.hint("merge").join(shared, F.col("uh") == F.col("seen"), "left").join(links.hint("merge"), F.col("uh") == F.col("node"), "left").where("seen is not null or node is not null")
+    own, _ = common.written(met.select("doc", "start", "n", F.coalesce("component", "uh").alias("class")), "units")
     place = F.struct("doc", "start")
     classes = own.groupBy("class").agg(F.min("doc").alias("class_id"), F.max("doc").alias("last"), F.min(place).alias("first"), F.approx_count_distinct("doc").alias("n_docs")).where("class_id <> last")
     units = own.join(classes.select("class", "class_id", "first", "n_docs"), "class").select("doc", "start", (F.col("start") + F.col("n")).alias("end"), "class_id", "n_docs", place.eqNullSafe(F.col("first")).alias("kept"))
