@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import re
 import uuid
+from collections import defaultdict
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -15,7 +17,7 @@ from ..sources.model import BPE, META, UNUSED, USER_DEFINED, Model
 from .bpe import Bpe
 from .normalize import Normalizer
 from .pretokenize import AddedTokens, pre_tokenizer
-from .unigram import Unigram
+from .unigram import Unigram, UnigramBatch
 
 TYPE = "struct<ids: array<int>, pieces: array<string>>"
 
@@ -51,6 +53,46 @@ class Encoder:
                 raise ValueError("pieces of this model cross word borders; texts can't be cut into words")
             self.pre = re.compile(f"{META}*[^{META}]+|{META}+", re.S).findall
         self.seen: dict[str, list[tuple[int, str]]] = {}
+        self.many = UnigramBatch(model) if self.pre is not None and model.kind != BPE else None
+        self.names = pa.array(model.pieces, pa.string())
+        self._forget()
+
+    def _forget(self) -> None:
+        self.number: defaultdict[str, int] = defaultdict()
+        self.number.default_factory = self.number.__len__
+        self.flat, self.offsets = np.zeros(0, np.int32), np.zeros(1, np.int64)
+
+    def _learn(self) -> None:
+        """Segments what has got a number since the last time."""
+        new = list(islice(self.number, len(self.offsets) - 1, None))
+        if not new:
+            return
+        if self.many is not None:
+            short = [w if len(w) <= self.LONGEST else "" for w in new]
+            ids, offsets = self.many(short)
+            long = [k for k, w in enumerate(new) if len(w) > self.LONGEST]
+        else:
+            ids, offsets, long = np.zeros(0, np.int32), np.zeros(len(new) + 1, np.int64), range(len(new))
+        if long:
+            parts = np.split(ids, offsets[1:-1])
+            for k in long:
+                parts[k] = np.array([i for i, _ in self.segment(new[k])], np.int32)
+            ids, offsets = np.concatenate(parts).astype(np.int32), np.concatenate(([0], np.cumsum([len(x) for x in parts])))
+        self.flat, self.offsets = np.concatenate([self.flat, ids]), np.concatenate([self.offsets, offsets[1:] + self.offsets[-1]])
+
+    def batch(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts in a row, where each begins and the last ends), with a row of unknown ids as that many: for
+        models with a pre-tokenizer and texts without added tokens, whose words are numbers into what is remembered."""
+        if len(self.number) > self.REMEMBERED:
+            self._forget()
+        words = [self.pre(self.normalize(t)) if t else () for t in texts]
+        numbers = [np.fromiter(map(self.number.__getitem__, w), np.int64, len(w)) for w in words]
+        self._learn()
+        every = np.concatenate([*numbers, np.zeros(0, np.int64)])
+        sizes = self.offsets[every + 1] - self.offsets[every]
+        upto = np.concatenate(([0], np.cumsum(sizes)))
+        ids = self.flat[np.repeat(self.offsets[every] - upto[:-1], sizes) + np.arange(upto[-1])]
+        return ids, upto[np.concatenate(([0], np.cumsum([len(w) for w in words], dtype=np.int64)))]
 
     def _known(self, segment: str) -> list[tuple[int, str]]:
         if len(segment) > self.LONGEST:
@@ -100,22 +142,51 @@ _ENCODERS: dict[str, Encoder] = {}
 
 
 def encode_arrow(encoder: Encoder, texts: pa.Array, pieces: bool = True) -> pa.StructArray:
-    """Texts as struct<ids, pieces>; null stays null."""
-    ids, found, cuts = [], [], [0]
-    known = np.ones(len(texts), bool)
-    for row, text in enumerate(texts.to_pylist()):
-        if text is None:
-            known[row] = False
-        else:
-            made = encoder(text)
-            ids.extend([i for i, _ in made])
-            if pieces:
-                found.extend([p for _, p in made])
-        cuts.append(len(ids))
-    offsets = pa.array(cuts, pa.int32())
-    columns = [pa.ListArray.from_arrays(offsets, pa.array(ids, pa.int32()))]
-    columns.append(pa.ListArray.from_arrays(offsets, pa.array(found, pa.string())) if pieces else pa.nulls(len(texts), pa.list_(pa.string())))
-    return pa.StructArray.from_arrays(columns, ["ids", "pieces"], mask=pa.array(~known))
+    """Texts as struct<ids, pieces>; null stays null.
+
+    Texts of models with a pre-tokenizer go through Encoder.batch, where ids are gathered by number and their pieces
+    are the vocabulary's; those with added tokens or unknown pieces, whose text isn't, are encoded one by one.
+    """
+    rows, m = texts.to_pylist(), encoder.model
+    slow = range(len(rows))
+    made: dict[int, list[tuple[int, str]]] = {}
+    ids, cuts = np.zeros(0, np.int32), np.zeros(len(rows) + 1, np.int64)
+    if encoder.pre is not None:
+        slow = [k for k, t in enumerate(rows) if t and encoder.added.found(t)]
+        odd = set(slow)
+        ids, cuts = encoder.batch([None if k in odd else t for k, t in enumerate(rows)])
+        if pieces or not m.byte_fallback:
+            unknown = np.flatnonzero(ids == m.unk_id)
+            slow = sorted(odd.union(np.unique(np.searchsorted(cuts, unknown, "right") - 1).tolist()))
+    for k in slow:
+        if rows[k]:
+            made[k] = encoder(rows[k])
+    names = np.full(len(ids), -1, np.int64)
+    spelled: list[str] = []
+    if made:
+        parts, lengths, names_of, last = [], [], [], 0
+        for k, own in sorted(made.items()):
+            keep = slice(cuts[last], cuts[k])
+            parts += [ids[keep], np.array([i for i, _ in own], np.int32)]
+            names_of += [np.full(len(parts[-2]), -1, np.int64), len(spelled) + np.arange(len(own))]
+            lengths.append((k, len(own)))
+            spelled += [p for _, p in own]
+            last = k + 1
+        parts.append(ids[cuts[last] :])
+        names_of.append(np.full(len(parts[-1]), -1, np.int64))
+        sizes = np.diff(cuts)
+        for k, size in lengths:
+            sizes[k] = size
+        ids, names, cuts = np.concatenate(parts), np.concatenate(names_of), np.concatenate(([0], np.cumsum(sizes)))
+    offsets = pa.array(cuts.astype(np.int32))
+    columns = [pa.ListArray.from_arrays(offsets, pa.array(ids.astype(np.int32)))]
+    if pieces:
+        own = names >= 0
+        texts_of = pa.concat_arrays([encoder.names, pa.array(spelled, pa.string())])
+        columns.append(pa.ListArray.from_arrays(offsets, texts_of.take(pa.array(np.where(own, len(m.pieces) + names, ids)))))
+    else:
+        columns.append(pa.nulls(len(rows), pa.list_(pa.string())))
+    return pa.StructArray.from_arrays(columns, ["ids", "pieces"], mask=pa.array(np.array([t is None for t in rows], bool)))
 
 
 def _encoder(token: str, sent, cut: bool) -> Encoder:

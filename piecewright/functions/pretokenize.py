@@ -57,7 +57,12 @@ class AddedTokens:
         self.ids = {t.content: t.id for t in model.matched_added_tokens}
         longest_first = sorted(self.ids, key=lambda c: (-len(c), c))
         self.pattern = "|".join(map(re.escape, longest_first))
-        self._found = re.compile(self.pattern, re.S).finditer if self.ids else None
+        own = re.compile(self.pattern, re.S) if self.ids else None
+        self._found = own.finditer if own else None
+        self._search = own.search if own else None
+
+    def found(self, text: str) -> bool:
+        return self._search is not None and self._search(text) is not None
 
     def split(self, text: str) -> Iterator[tuple[str, int | None]]:
         """(text, id of an added token or None)."""

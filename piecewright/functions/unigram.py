@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from array import array
 
+import numpy as np
+
 from ..sources.model import USER_DEFINED, Model, byte_piece
 
 #: What an unknown character costs below the least normal piece.
@@ -69,3 +71,117 @@ class Unigram:
                 out.append((i, text[start:end]))
             end = start
         return out[::-1]
+
+
+class UnigramBatch:
+    """Unigram for many segments at once: the same steps, in the same float32, with numpy over all segments.
+
+    Substrings are known by 64-bit rolling hashes of their code points, looked up among those of the pieces of each
+    length. Steps go from place to place; at each, all segments that reach so far relax their edges by length.
+    """
+
+    _BASE = np.uint64(0x9E3779B97F4A7C15)
+
+    def __init__(self, model: Model):
+        self.one, self.model = Unigram(model), model
+        by_length: dict[int, list[tuple[str, int, float]]] = {}
+        for piece, (i, score) in self.one.pieces.items():
+            by_length.setdefault(len(piece), []).append((piece, i, score))
+        self.longest = max(by_length, default=0)
+        self.tables = {}
+        for n, pieces in by_length.items():
+            codes = np.array([[ord(ch) for ch in p] for p, _, _ in pieces], np.uint64)
+            hashes = np.zeros(len(pieces), np.uint64)
+            for k in range(n):
+                hashes = self._next(hashes, codes[:, k])
+            order = np.argsort(hashes)
+            self.tables[n] = hashes[order], np.array([i for _, i, _ in pieces], np.int64)[order], np.array([x for _, _, x in pieces], np.float32)[order]
+        self.fallback: dict[int, tuple[float, list[int]]] = {}
+
+    def _next(self, hashes: np.ndarray, codes: np.ndarray) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            x = (hashes + codes + np.uint64(1)) * self._BASE
+            return x ^ (x >> np.uint64(29))
+
+    def _uncovered(self, code: int) -> tuple[float, list[int]]:
+        """(cost, ids) of a character without a piece of its own."""
+        if code not in self.fallback:
+            ch, m = chr(code), self.model
+            if not m.byte_fallback:
+                found = self.one.unknown, [m.unk_id]
+            else:
+                first, cost = self.one._bytes(ch)
+                of_bytes = 0 <= first < len(m.pieces) and m.types[first] == 6
+                found = cost, [m.piece_to_id(byte_piece(b)) for b in ch.encode("utf-8", "surrogatepass")] if of_bytes else [first]
+            self.fallback[code] = found
+        return self.fallback[code]
+
+    def __call__(self, segments: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all segments in a row, where each begins and the last ends)."""
+        lengths = np.fromiter(map(len, segments), np.int64, len(segments))
+        order = np.argsort(-lengths, kind="stable")
+        size = lengths[order]
+        codes = np.frombuffer("".join([segments[k] for k in order.tolist()]).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
+        n = len(codes)
+        first = np.concatenate(([0], np.cumsum(size)[:-1])) if len(size) else np.zeros(0, np.int64)
+        slots = first + np.arange(len(size))
+        hashes, pieces = np.zeros(n, np.uint64), {}
+        for k in range(1, min(self.longest, int(size[0]) if len(size) else 0) + 1):
+            hashes = self._next(hashes[: n - k + 1], codes[k - 1 :])
+            if k in self.tables:
+                table, ids, scores = self.tables[k]
+                at = np.minimum(np.searchsorted(table, hashes), len(table) - 1)
+                hit = table[at] == hashes
+                pieces[k] = np.where(hit, ids[at], -1), scores[at]
+        alone = pieces[1][0] >= 0 if 1 in pieces else np.zeros(n, bool)
+        missing = {c: self._uncovered(c) for c in np.unique(codes[~alone]).tolist()}
+        cost = np.zeros(n, np.float32)
+        if missing:
+            known = np.array(sorted(missing), np.uint64)
+            cost[~alone] = np.array([missing[int(c)][0] for c in known], np.float32)[np.searchsorted(known, codes[~alone])]
+        best, came, step = np.zeros(n + len(size), np.float32), np.full(n + len(size), -1, np.int32), np.zeros(n + len(size), np.int64)
+
+        def relax(to: np.ndarray, new: np.ndarray, code: np.ndarray, start: int) -> None:
+            better = (came[to] < 0) | (new > best[to])
+            to = to[better]
+            best[to], came[to], step[to] = new[better], start, code[better]
+
+        for start in range(int(size[0]) if len(size) else 0):
+            reach = int(np.searchsorted(-size, -start, "left"))  # segments longer than start
+            at, here = first[:reach] + start, best[slots[:reach] + start]
+            for k, (ids, scores) in pieces.items():
+                fit = int(np.searchsorted(-size, -(start + k), "right"))  # segments of at least start + k
+                if not fit:
+                    break
+                own = ids[at[:fit]]
+                hit = np.flatnonzero(own >= 0)
+                if len(hit):
+                    relax(slots[hit] + start + k, here[hit] + scores[at[hit]], own[hit], start)
+            bare = np.flatnonzero(~alone[at])
+            if len(bare):
+                relax(slots[bare] + start + 1, here[bare] + cost[at[bare]], -1 - codes[at[bare]].astype(np.int64), start)
+        # Back from all ends at once.
+        end, live, found, whose = size.copy(), np.flatnonzero(size > 0), [], []
+        while len(live):
+            slot = slots[live] + end[live]
+            found.append(step[slot])
+            whose.append(live)
+            end[live] = came[slot]
+            live = live[end[live] > 0]
+        if not found:
+            return np.zeros(0, np.int32), np.zeros(len(segments) + 1, np.int64)
+        ids, whose = np.concatenate(found[::-1]), order[np.concatenate(whose[::-1])]
+        # Steps were gathered from the last to the first; a stable sort by segment puts them in order.
+        turn = np.argsort(whose, kind="stable")
+        ids, whose = ids[turn], whose[turn]
+        if missing:
+            bad = np.flatnonzero(ids < 0)
+            sizes = np.ones(len(ids), np.int64)
+            spelled = [missing[-1 - c][1] for c in ids[bad].tolist()]
+            sizes[bad] = [len(x) for x in spelled]
+            whose, at = np.repeat(whose, sizes), np.cumsum(sizes) - sizes
+            out = np.repeat(ids, sizes)
+            for k, own in zip(at[bad].tolist(), spelled):
+                out[k : k + len(own)] = own
+            ids = out
+        return ids.astype(np.int32), np.concatenate(([0], np.cumsum(np.bincount(whose, minlength=len(segments)))))

@@ -108,6 +108,36 @@ def test_properties_of_any_text(text):
             assert once.replace(" ", "") == text.replace(" ", "").replace(META, "")
 
 
+BATCHES = [samples.unigram(accented=False), samples.unigram(accented=False, byte_fallback=True), samples.unigram(added=("the", "[X]")), samples.bpe(), MODELS["U2"], MODELS["U1-ws"], MODELS["U0-ws"], samples.unigram(pre_tokenizer=SPACES)]
+
+
+@settings(max_examples=80, deadline=None)
+@given(st.lists(st.one_of(st.none(), st.text(alphabet="thenad ▁\n[X]éü日🚀xyz", max_size=30)), max_size=8), st.sampled_from(range(len(BATCHES))))
+def test_batches_against_single_texts(texts, which):
+    import pyarrow as pa
+
+    from piecewright.functions.encoder import encode_arrow
+
+    m = BATCHES[which]
+    one, many = Encoder(m), Encoder(m)
+    for _ in range(2):
+        got = encode_arrow(many, pa.array(texts, pa.string())).to_pylist()
+        assert got == [None if t is None else {"ids": [i for i, _ in one(t)], "pieces": [p for _, p in one(t)]} for t in texts]
+        ids = encode_arrow(many, pa.array(texts, pa.string()), pieces=False).to_pylist()
+        assert [r and r["ids"] for r in ids] == [r and r["ids"] for r in got]
+
+
+def test_batches_of_long_segments():
+    import pyarrow as pa
+
+    from piecewright.functions.encoder import encode_arrow
+
+    m = samples.unigram()
+    texts = ["th" * 400 + " the", "x " + "and" * 50, ""]
+    one, many = Encoder(m), Encoder(m)
+    assert [r["ids"] for r in encode_arrow(many, pa.array(texts)).to_pylist()] == [[i for i, _ in one(t)] for t in texts]
+
+
 def flags(dummy, lean, escape, charsmap=b""):
     return Model(1, ("<unk>",), np.zeros(1, np.float32), np.array([2], np.int32), add_dummy_prefix=dummy, remove_extra_whitespaces=lean, escape_whitespaces=escape, charsmap=charsmap)
 
