@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -40,7 +41,7 @@ def normalized(df: DataFrame, model: Model, text_col: str = "text", into: str =
 
 
 def charsmap_function(sent):
-    import pyarrow as pa
+    """A model's normalization of a text column."""
 
     @F.arrow_udf("string")
     def run(texts: pa.Array) -> pa.Array:

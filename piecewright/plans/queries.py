@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.normalize import normalize
+from ..functions.normalize import normalize, read_charsmap
 from ..functions.pretokenize import metaspace_column, whitespace_metaspace_column
 from ..operators import analytics, decode, encode, encoding, vocabulary
 from ..sources import samples
@@ -205,6 +207,24 @@ def added_token_split(spark, sf_dir):
     return _documents(spark, sf_dir).select("k", F.size(found).cast("long").alias("matches"), F.array_join(found, "|").alias("matched")).where("matches > 0")
 
 
+# A character map from accented letters to plain ones, of line ends to spaces, and of a ligature-like pair.
+_PLAIN = dict(zip("äöüéèêçñíóáúàâîôûÄÖÜ", "aoueeecnioauaaiouAOU")) | {"ß": "ss", "\n": " "}
+_MAPPED = replace(UNIGRAM, charsmap=samples.charsmap(_PLAIN), add_dummy_prefix=True, remove_extra_whitespaces=True, escape_whitespaces=True)
+_MAPPED_SQL = "translate(replace(replace(text, 'ß', 'ss'), chr(10), ' '), 'äöüéèêçñíóáúàâîôûÄÖÜ', 'aoueeecnioauaaiouAOU')"
+
+
+@query(f"SELECT * FROM (VALUES {oracle.values(list(_PLAIN.items()))}) AS t(source, replacement)")
+def charsmap_rows(spark, sf_dir):
+    """A model's character map as a table."""
+    return spark.createDataFrame([(k.decode(), v) for k, v in read_charsmap(_MAPPED.charsmap).items()], "source string, replacement string")
+
+
+@query(f"SELECT k, md5(CASE WHEN regexp_replace(t, '^ +', '') = '' THEN '' ELSE regexp_replace('{META}' || regexp_replace(regexp_replace(t, '^ +', ''), ' +', '{META}', 'g'), '(?:{META})+$', '') END) AS digest FROM (SELECT k, {_MAPPED_SQL} AS t FROM ({DOCUMENTS}))")
+def charsmap(spark, sf_dir):
+    """Normalization by a character map."""
+    return encode.normalized(_documents(spark, sf_dir), _MAPPED).select("k", _md5(F.col("normalized")).alias("digest"))
+
+
 # Encoding
 
 
@@ -242,6 +262,15 @@ def bpe_tokens(spark, sf_dir):
     return _digest_rows(_ids(_documents(spark, sf_dir), MERGES))
 
 
+_UNUSED = replace(MERGES, types=np.where([p in ("the", "ing", "sch") for p in MERGES.pieces], 5, MERGES.types))
+
+
+@query()
+def bpe_unused(spark, sf_dir):
+    """Results that are marked unused are taken apart again; tests hold this against cases worked out by hand."""
+    return _digest_rows(_ids(_documents(spark, sf_dir), _UNUSED))
+
+
 @query(oracle.encoded(BYTES, DOCUMENTS, _DIGEST))
 def byte_fallback(spark, sf_dir):
     return _digest_rows(_ids(_documents(spark, sf_dir), BYTES))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import string
+import struct
 
 from .model import META, Model, byte_piece, from_json
 
@@ -58,3 +59,23 @@ def unigram(**options) -> Model:
 
 def bpe(**options) -> Model:
     return from_json(json.dumps(bpe_spec(**options)))
+
+
+def charsmap(entries: dict[str, str]) -> bytes:
+    """A precompiled character map: a double array in which each node has a block of 256 places of its own."""
+    texts, offsets = b"", {}
+    for source, to in entries.items():
+        offsets[source.encode()] = len(texts)
+        texts += to.encode() + b"\0"
+    nodes = {b""} | {s[:k] for s in offsets for k in range(1, len(s) + 1)}
+    ordered = sorted(nodes, key=lambda n: (len(n), n))
+    block = {n: 256 * (k + 1) for k, n in enumerate(ordered)}
+    units = [0x80000055] * (256 * (len(ordered) + 2))  # a label that no byte has
+    for n in ordered:
+        at = block[n[:-1]] ^ n[-1] if n else 0
+        jump = at ^ block[n]
+        units[at] = (jump << 10 if jump < 1 << 21 else (jump >> 8) << 10 | 0x200) | (n[-1] if n else 0) | (256 if n in offsets else 0)
+        if n in offsets:
+            units[block[n]] = offsets[n] | 1 << 31
+    data = struct.pack(f"<{len(units)}I", *units)
+    return struct.pack("<I", len(data)) + data + texts

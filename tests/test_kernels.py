@@ -160,34 +160,9 @@ def test_normalization_as_expression(spark):
         assert row[0] == want
 
 
-def charsmap(entries):
-    """A precompiled character map: a double array in which each node has a block of 256 places of its own."""
-    texts, offsets = b"", {}
-    for source, to in entries.items():
-        offsets[source] = len(texts)
-        texts += to.encode() + b"\0"
-    nodes = {b""}
-    for source in entries:
-        raw = source.encode()
-        nodes |= {raw[:k] for k in range(1, len(raw) + 1)}
-    ordered = sorted(nodes, key=lambda n: (len(n), n))
-    base = {n: 256 * (k + 1) for k, n in enumerate(ordered)}
-    place = {b"": 0} | {n: base[n[:-1]] ^ n[-1] for n in ordered if n}
-    units = [0x80000000 | 0x55] * (256 * (len(ordered) + 2))
-    sources = {s.encode(): o for s, o in offsets.items()}
-    for n in ordered:
-        jump = place[n] ^ base[n]
-        unit = jump << 10 if jump < 1 << 21 else (jump >> 8) << 10 | 0x200
-        units[place[n]] = unit | (n[-1] if n else 0) | (256 if n in sources else 0)
-        if n in sources:
-            units[base[n]] = sources[n] | 1 << 31
-    data = struct.pack(f"<{len(units)}I", *units)
-    return struct.pack("<I", len(data)) + data + texts
-
-
 def test_charsmap():
     entries = {"ﬁ": "fi", "Ａ": "A", "é": "éx", "\t": " ", "ab": "Q", "abc": "", "​": " "}
-    data = charsmap(entries)
+    data = samples.charsmap(entries)
     assert {k.decode(): v for k, v in read_charsmap(data).items()} == entries
     assert Normalizer(flags(False, False, False, data))("ﬁ Ａabcabz\tx") == "fi AQz x"
     assert Normalizer(flags(True, True, True, data))("\t​ a\t\tb ​") == "▁a▁b"
