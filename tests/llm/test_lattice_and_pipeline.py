@@ -3,7 +3,7 @@
 import random
 
 import pytest
-from test_operators import brute_lines, brute_simhash
+from test_llm_operators import brute_lines, brute_simhash
 from test_small_parts import distance
 
 from piecewright.llm import common, lattice
