@@ -18,8 +18,8 @@ SHINGLE, SIMILARITY = 5, 0.8
 LEAST_WORDS, LEAST_RUN = 10, 20
 #: A part starts where the hash of two words is the least among so many places to either side.
 REACH = 5
-#: Distinct paragraphs of one bucket that a task compares; larger buckets are split by further minima.
-BUCKET, SPLITS = 4096, 8
+#: Distinct paragraphs of a bucket that a task compares at once; larger buckets are dealt over pairs of such blocks.
+BUCKET = 4096
 #: Bits of the filter that picks candidate paragraphs out of the texts, at most.
 FILTER_BITS = 1 << 28
 #: Bytes of texts that are worked on at a time; a longer text is one group.
@@ -121,7 +121,7 @@ class Texts:
         same = self.doc_of(starts) == self.doc_of(ends - 1)
         return starts[same], ends[same]
 
-    def minima(self, starts: np.ndarray, ends: np.ndarray, first: int, count: int) -> np.ndarray:
+    def minima(self, starts: np.ndarray, ends: np.ndarray, count: int) -> np.ndarray:
         """MinHash values of paragraphs' shingles, one row for each paragraph."""
         out = np.empty((len(starts), count), np.uint64)
         if not len(starts):
@@ -129,7 +129,7 @@ class Texts:
         bounds = np.stack([starts, ends - SHINGLE + 1], axis=1).ravel()
         for k in range(count):
             with np.errstate(over="ignore"):
-                own = np.append(self.shingles * _ODD[20 + first + k], ~np.uint64(0))
+                own = np.append(self.shingles * _ODD[20 + k], ~np.uint64(0))
             out[:, k] = np.minimum.reduceat(own, bounds)[::2]
         return out
 
@@ -175,7 +175,7 @@ def _band_rows(docs: DataFrame, bands: int, rows: int) -> DataFrame:
         t = Texts(batch.column(1).to_pylist())
         starts, ends = t.paragraphs()
         uh, at = np.unique(t.hashes(starts, ends), return_index=True)
-        low = t.minima(starts[at], ends[at], 0, bands * rows)
+        low = t.minima(starts[at], ends[at], bands * rows)
         keys = []
         for b in range(bands):
             key = np.full(len(uh), b, np.uint64)
@@ -207,8 +207,8 @@ def _filter(found: DataFrame, bits: int) -> np.ndarray:
     return out
 
 
-def _candidates(docs: DataFrame, bits: np.ndarray, rows_used: int) -> DataFrame:
-    """(uh, shingles, more): paragraphs that pass the filter, with their distinct shingles and SPLITS further minima."""
+def _candidates(docs: DataFrame, bits: np.ndarray) -> DataFrame:
+    """(uh, shingles): paragraphs that pass the filter, with their distinct shingles."""
     sent = docs.sparkSession.sparkContext.broadcast(bits)
 
     def each(batch: pa.RecordBatch) -> pa.RecordBatch | None:
@@ -223,10 +223,9 @@ def _candidates(docs: DataFrame, bits: np.ndarray, rows_used: int) -> DataFrame:
             return None
         uh, starts, ends = uh[hit], starts[at][hit], ends[at][hit]
         sets = [np.unique(t.shingles[a : b - SHINGLE + 1]).tobytes() for a, b in zip(starts.tolist(), ends.tolist())]
-        more = t.minima(starts, ends, rows_used, SPLITS).view(np.int64)
-        return pa.RecordBatch.from_arrays([_longs(uh), pa.array(sets, pa.binary()), pa.array(more.tolist(), pa.list_(pa.int64()))], ["uh", "shingles", "more"])
+        return pa.RecordBatch.from_arrays([_longs(uh), pa.array(sets, pa.binary())], ["uh", "shingles"])
 
-    return _map(docs, each, "uh long, shingles binary, more array<long>").groupBy("uh").agg(F.first("shingles").alias("shingles"), F.first("more").alias("more"))
+    return _map(docs, each, "uh long, shingles binary").groupBy("uh").agg(F.first("shingles").alias("shingles"))
 
 
 def links_within(ids: list[int], sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
@@ -286,9 +285,9 @@ def paragraph_links(docs: DataFrame, similarity: float = SIMILARITY, recall: flo
     """(a, b): hashes of different paragraphs whose shingles' Jaccard similarity is at least `similarity`.
 
     Paragraphs that share a band meet; only buckets with two different paragraphs go on. Their shingles are fetched by
-    reading the texts again through a filter of fixed size. Buckets of over BUCKET paragraphs are split by SPLITS
-    further minima (near pairs miss all of these with probability (1 - similarity)^SPLITS), and in each the exact
-    Jaccard similarity decides; what comes out joins the bucket's members without listing all pairs.
+    reading the texts again through a filter of fixed size, and the exact Jaccard similarity decides. A bucket of over
+    BUCKET paragraphs is cut into blocks by a hash, and each pair of blocks is a task's share, so that any two members
+    meet and no task holds more than two blocks. What comes out joins a share's members without listing all pairs.
     """
     bands, rows = tuned_bands(similarity, recall)
     banded = _band_rows(docs, bands, rows).repartition("key")  # one exchange for both uses, which need both columns
@@ -296,11 +295,12 @@ def paragraph_links(docs: DataFrame, similarity: float = SIMILARITY, recall: flo
     pairs, _ = common.written(banded.hint("merge").join(shared, "key").select("key", "uh").distinct(), "bands")
     n = pairs.count()
     bits = min(FILTER_BITS, max(1 << 16, 1 << (16 * n).bit_length()))
-    found = _candidates(docs, _filter(pairs.select("uh"), bits), bands * rows)
-    big = pairs.groupBy("key").agg(F.count(F.lit(1)).alias("n")).select("key", (F.col("n") > BUCKET).alias("big"))
-    met = pairs.join(big, "key").join(found, "uh")
-    sub = F.when(F.col("big"), F.transform("more", lambda x, i: F.xxhash64("key", i, x))).otherwise(F.array("key"))
-    dealt = met.select(F.explode(sub).alias("key"), "uh", "shingles").repartition("key").sortWithinPartitions("key", "uh")
+    found = _candidates(docs, _filter(pairs.select("uh"), bits))
+    blocks = pairs.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BUCKET).cast("int").alias("blocks"))
+    own = F.pmod(F.xxhash64("uh"), F.col("blocks")).cast("int")
+    shares = F.when(F.col("blocks") == 1, F.array("key")).otherwise(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.xxhash64("key", F.least(own, o), F.greatest(own, o))))
+    met = pairs.join(blocks, "key").select("uh", F.explode(shares).alias("key")).join(found, "uh")
+    dealt = met.select("key", "uh", "shingles").repartition("key").sortWithinPartitions("key", "uh")
     return _verified(dealt, similarity)
 
 
