@@ -81,11 +81,16 @@ class UnigramBatch:
     """
 
     _BASE = np.uint64(0x9E3779B97F4A7C15)
+    #: What scores add up in.
+    FLOAT: type = np.float32
 
     def __init__(self, model: Model):
         self.one, self.model = Unigram(model), model
+        self._tables(self.one.pieces)
+
+    def _tables(self, known: dict[str, tuple[int, float]]) -> None:
         by_length: dict[int, list[tuple[str, int, float]]] = {}
-        for piece, (i, score) in self.one.pieces.items():
+        for piece, (i, score) in known.items():
             by_length.setdefault(len(piece), []).append((piece, i, score))
         self.longest = max(by_length, default=0)
         self.tables = {}
@@ -95,7 +100,7 @@ class UnigramBatch:
             for k in range(n):
                 hashes = self._next(hashes, codes[:, k])
             order = np.argsort(hashes)
-            self.tables[n] = hashes[order], np.array([i for _, i, _ in pieces], np.int64)[order], np.array([x for _, _, x in pieces], np.float32)[order]
+            self.tables[n] = hashes[order], np.array([i for _, i, _ in pieces], np.int64)[order], np.array([x for _, _, x in pieces], self.FLOAT)[order]
         self.fallback: dict[int, tuple[float, list[int]]] = {}
 
     def _next(self, hashes: np.ndarray, codes: np.ndarray) -> np.ndarray:
@@ -135,11 +140,11 @@ class UnigramBatch:
                 pieces[k] = np.where(hit, ids[at], -1), scores[at]
         alone = pieces[1][0] >= 0 if 1 in pieces else np.zeros(n, bool)
         missing = {c: self._uncovered(c) for c in np.unique(codes[~alone]).tolist()}
-        cost = np.zeros(n, np.float32)
+        cost = np.zeros(n, self.FLOAT)
         if missing:
             known = np.array(sorted(missing), np.uint64)
-            cost[~alone] = np.array([missing[int(c)][0] for c in known], np.float32)[np.searchsorted(known, codes[~alone])]
-        best, came, step = np.zeros(n + len(size), np.float32), np.full(n + len(size), -1, np.int32), np.zeros(n + len(size), np.int64)
+            cost[~alone] = np.array([missing[int(c)][0] for c in known], self.FLOAT)[np.searchsorted(known, codes[~alone])]
+        best, came, step = np.zeros(n + len(size), self.FLOAT), np.full(n + len(size), -1, np.int32), np.zeros(n + len(size), np.int64)
 
         def relax(to: np.ndarray, new: np.ndarray, code: np.ndarray, start: int) -> None:
             better = (came[to] < 0) | (new > best[to])
