@@ -6,7 +6,6 @@ What depends on a word alone is worked out once per distinct word of the corpus;
 
 from __future__ import annotations
 
-import re
 from collections import defaultdict
 from collections.abc import Callable, Iterator
 
@@ -30,12 +29,6 @@ def pin_scans(spark: SparkSession) -> None:
         spark.conf.set("spark.sql.files.minPartitionNum", str(max(spark.sparkContext.defaultParallelism, 1)))
 
 
-def is_scan(df: DataFrame) -> bool:
-    """Whether df is files and at most filters and projections of them, so that it has the same partitions each time."""
-    lines = df._jdf.queryExecution().optimizedPlan().toString().strip().split("\n")
-    return all(re.match(r"[\s:+-]*(Project|Filter|Relation)\b", line) for line in lines) and bool(df.inputFiles())
-
-
 def pack(ids: list[int | None], numbers: list[np.ndarray], marks: list[int]) -> bytes:
     """A chunk's documents: ids, a mark of each, and the numbers of their words."""
     known = np.array([i is not None for i in ids], np.uint8)

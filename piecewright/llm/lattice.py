@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
+import uuid
+from collections import defaultdict
+from collections.abc import Callable, Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -11,9 +14,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.normalize import Normalizer
+from ..functions.unigram import UnigramBatch
 from ..sources.model import BPE, META, NORMAL, USER_DEFINED, Model, byte_piece
 from . import common
-from .chunks import chunked, is_scan, unpack
 
 #: What an uncovered character costs below the least likely piece.
 UNKNOWN_PENALTY = 10.0
@@ -21,6 +24,8 @@ UNKNOWN_PENALTY = 10.0
 BLOCK = 256
 #: Words of a partition whose edges an aggregation holds in memory, at about 0.5 KB a word; beyond, it sorts and spills.
 IN_MEMORY = 1 << 18
+#: Words that a Python worker remembers.
+REMEMBERED = 400_000
 
 
 def piece_scores(model: Model) -> dict[int, float]:
@@ -145,103 +150,95 @@ def _spread(flat: np.ndarray, offsets: np.ndarray, at: np.ndarray) -> tuple[np.n
     return flat[np.repeat(offsets[at] - (ends - lengths), lengths) + np.arange(ends[-1] if len(ends) else 0)], lengths
 
 
+class LatticeBatch(UnigramBatch):
+    """The lattice of many words at once in numpy: their substrings up to the longest piece, by place and length, are
+    joined to the piece table by sorted hashes; the matches are the edges, and Viterbi is folded over their ends. The
+    same edges, double scores and order as encode_words, so the same result."""
+
+    FLOAT = np.float64
+
+    def __init__(self, model: Model):
+        self.model, scores = model, piece_scores(model)
+        self.unknown = (min(scores.values()) if scores else 0.0) - UNKNOWN_PENALTY
+        self.fallback: dict[int, tuple[float, list[int]]] = {}
+        self._tables({model.pieces[i]: (i, x) for i, x in scores.items()})
+
+    def _uncovered(self, code: int) -> tuple[float, list[int]]:
+        if code not in self.fallback:
+            self.fallback[code] = self.unknown, unknown_ids(self.model, code)
+        return self.fallback[code]
+
+
+class _Memory:
+    """The words that a Python worker has segmented, by number: their ids, and the bytes that these decode to."""
+
+    def __init__(self, model: Model):
+        self.many, self.split = LatticeBatch(model), word_splitter(model)
+        self.bytes_of = [bytes(model.bytes_of(i)) for i in range(len(model.pieces))]
+        self.forget()
+
+    def forget(self) -> None:
+        self.number: defaultdict[str, int] = defaultdict()
+        self.number.default_factory = self.number.__len__
+        self.flat, self.offsets, self.back = np.zeros(0, np.int32), np.zeros(1, np.int64), []
+
+    def numbers(self, texts: list[str]) -> list[np.ndarray]:
+        if len(self.number) > REMEMBERED:
+            self.forget()
+        found = [self.split(t) for t in texts]
+        out = [np.fromiter(map(self.number.__getitem__, w), np.int64, len(w)) for w in found]
+        new = [k[1:] if k[:1] == JOINED else k if k[:1] == "\n" else META + k for k in islice(self.number, len(self.back), None)]
+        if new:
+            ids, offsets = self.many(new)
+            self.flat, self.offsets = np.concatenate([self.flat, ids]), np.concatenate([self.offsets, offsets[1:] + self.offsets[-1]])
+            spelled = [self.bytes_of[i] if 0 <= i < len(self.bytes_of) else b"" for i in ids.tolist()]
+            self.back += [b"".join(spelled[a:b]) for a, b in zip(offsets.tolist(), offsets[1:].tolist())]
+        return out
+
+
+_MEMORIES: dict[str, _Memory] = {}
+
+
 def lattice_encode(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id_col, ids, decoded) for each row: the piece ids of its whole text, and the text that these decode to.
 
-    docs must be a scan of files (see chunks.chunked); others are written to the shared folder first. Texts are
-    normalized as the model says and cut into words; each distinct word is segmented once by encode_words, and the
-    results meet the documents again by chunk. Uncovered characters become byte pieces, or the unknown piece (runs of
-    which are one id); decoding turns ▁ into spaces and drops the one that the dummy prefix added, so that texts
-    without ▁ of their own come back unchanged under byte fallback. Null and empty texts: no ids, empty text. Null ids
-    stay null, rows that repeat an id each give a row, an empty table gives none.
+    Texts are normalized as the model says and cut into words where no piece can cross; the lattice of the words that
+    are new to a worker is built and folded for a batch at once (LatticeBatch), and ids are gathered by the words'
+    numbers, so nothing is shuffled. What a worker remembers is bounded; the model's size is that of its file.
+    Uncovered characters become byte pieces, or the unknown piece (runs of which are one id); decoding turns ▁ into
+    spaces and drops the one that the dummy prefix added, so that texts without ▁ of their own come back unchanged
+    under byte fallback. Null and empty texts: no ids, empty text. Null ids stay null, rows that repeat an id each give
+    a row, an empty table gives none.
     """
     spark = docs.sparkSession
     common.prepare(spark)
-    if not is_scan(docs):
-        docs, _ = common.written(docs.select(id_col, text_col), "texts")
-    rows = chunked(docs, id_col, text_col, word_splitter(model))
-    own = rows.where("word is not null").select("chunk", "idx", "word").repartition("word")
-    # Both uses need all columns, so that they share the one exchange.
-    distinct = own.groupBy("word").agg(F.min("chunk").alias("c"), F.min("idx").alias("i")).where("c is not null and i is not null")
-    encoded = encode_words(distinct.select("word"), model, whole_word(F.col("word")))
-    results = own.hint("merge").join(encoded, "word").select("chunk", "idx", "ids")
-    blobs = rows.where("blob is not null").select(F.col("chunk").alias("of"), "n", "blob")
-    codes = [bytes(model.bytes_of(i)) for i in range(len(model.pieces))]
-    sent = spark.sparkContext.broadcast((codes, model.unk_id, model.byte_fallback, model.strip_leading_space))
-    small = _Small(model)
-
-    def assemble(words: pa.Table, chunk: pa.Table) -> pa.Table:
-        schema = pa.schema([(id_col, pa.int64()), ("ids", pa.list_(pa.int32())), ("decoded", pa.string())])
-        if not chunk.num_rows:
-            raise ValueError("words without their chunk: the input was cut differently when it was read again")
-        if words.num_rows != chunk["n"][0].as_py():
-            raise ValueError(f"{words.num_rows} of {chunk['n'][0]} words: the input was cut differently when it was read again")
-        table, unk, fallback, strip = sent.value
-        found = words["ids"].combine_chunks()
-        found = found.chunk(0) if isinstance(found, pa.ChunkedArray) and found.num_chunks else found
-        idx = words["idx"].to_numpy()
-        if len(idx):
-            flat, offsets = found.values.to_numpy(zero_copy_only=False), found.offsets.to_numpy()
-        else:
-            flat, offsets = np.zeros(0, np.int32), np.zeros(1, np.int64)
-        flat, offsets = small.expand(flat, offsets.astype(np.int64))
-        flat, sizes = _spread(flat, offsets, np.argsort(idx, kind="stable"))
-        offsets = np.concatenate(([0], np.cumsum(sizes)))
-        back = [b"".join([table[i] if 0 <= i < len(table) else b"" for i in flat[a:b].tolist()]) for a, b in zip(offsets, offsets[1:])]
-        ids, _, lengths, numbers = unpack(chunk["blob"][0].as_py())
-        out, at = [], 0
-        for lo in range(0, len(ids), common.ARROW_ROWS):
-            sizes = lengths[lo : lo + common.ARROW_ROWS]
-            own = numbers[at : at + int(sizes.sum())]
-            at += len(own)
-            tokens, each = _spread(flat, offsets, own)
-            ends = np.cumsum(sizes)
-            starts = ends - sizes
-            upto = np.concatenate(([0], np.cumsum(each)))
-            cuts = np.concatenate(([0], upto[ends]))
-            texts = [b"".join([back[w] for w in own[a:b].tolist()]) for a, b in zip(starts, ends)]
-            if not fallback:
-                tokens, cuts, texts = small.merge_unknown(tokens, cuts, unk, table)
-            texts = [t[1:] if strip and t.startswith(b" ") else t for t in texts]
-            out.append(pa.RecordBatch.from_arrays([pa.array(ids[lo : lo + common.ARROW_ROWS], pa.int64()), pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), pa.array(tokens.astype(np.int32))), pa.array([t.decode("utf-8", "replace") for t in texts], pa.string())], schema=schema))
-        return pa.Table.from_batches(out, schema=schema)
-
-    return results.groupBy("chunk").cogroup(blobs.groupBy("of")).applyInArrow(assemble, f"`{id_col}` long, ids array<int>, decoded string")
-
-
-class _Small:
-    """What assembling needs of a model besides the pieces' bytes."""
-
-    def __init__(self, model: Model):
-        self.fallback, self.unk = model.byte_fallback, model.unk_id
-        self.bytes = [model.piece_to_id(byte_piece(b)) for b in range(256)] if model.byte_fallback else []
-
-    def expand(self, flat: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Uncovered characters, given as -1 - codepoint, as ids."""
-        bad = flat < 0
-        if not bad.any():
-            return flat, offsets
-        if not self.fallback:
-            return np.where(bad, self.unk, flat), offsets
-        which, back = np.unique(flat[bad], return_inverse=True)
-        coded = [[self.bytes[b] for b in chr(-1 - c).encode("utf-8", "surrogatepass")] for c in which.tolist()]
-        sizes = np.ones(len(flat), np.int64)
-        sizes[bad] = np.array([len(c) for c in coded])[back]
-        ends = np.cumsum(sizes)
-        out = np.empty(int(ends[-1]), np.int32)
-        out[(ends - sizes)[~bad]] = flat[~bad]
-        for k, code in enumerate(coded):
-            at = (ends - sizes)[bad][back == k]
-            for j, b in enumerate(code):
-                out[at + j] = b
-        return out, np.concatenate(([0], ends))[offsets]
-
-    @staticmethod
-    def merge_unknown(tokens: np.ndarray, cuts: np.ndarray, unk: int, table: list[bytes]) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
-        """Runs of the unknown piece within a document as one id, and the documents' texts."""
-        first = np.zeros(len(tokens) + 1, bool)
-        first[cuts] = True
-        again = (tokens == unk) & np.concatenate(([False], tokens[:-1] == unk)) & ~first[:-1]
-        upto = np.concatenate(([0], np.cumsum(~again)))
-        tokens, cuts = tokens[~again], upto[cuts]
-        return tokens, cuts, [b"".join([table[i] for i in tokens[a:b].tolist()]) for a, b in zip(cuts, cuts[1:])]
+    sent, token = spark.sparkContext.broadcast(model), uuid.uuid4().hex
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = sent.value
+        if token not in _MEMORIES:
+            _MEMORIES.clear()
+            _MEMORIES[token] = _Memory(m)
+        memory = _MEMORIES[token]
+        for batch in batches:
+            words = memory.numbers([t or "" for t in batch.column(1).to_pylist()])
+            tokens, each = _spread(memory.flat, memory.offsets, np.concatenate([*words, np.zeros(0, np.int64)]))
+            cuts = np.concatenate(([0], np.cumsum(each)))[np.concatenate(([0], np.cumsum([len(w) for w in words])))]
+            texts = [b"".join([memory.back[w] for w in own.tolist()]) for own in words]
+            if not m.byte_fallback:
+                tokens, cuts, texts = merge_unknown(tokens, cuts, m.unk_id, memory.bytes_of)
+            texts = [t[1:] if m.strip_leading_space and t.startswith(b" ") else t for t in texts]
+            ids = pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), pa.array(tokens.astype(np.int32)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), ids, pa.array([t.decode("utf-8", "replace") for t in texts], pa.string())], [id_col, "ids", "decoded"])
+
+    return docs.select(F.col(id_col).cast("long").alias(id_col), F.col(text_col).cast("string")).mapInArrow(run, f"`{id_col}` long, ids array<int>, decoded string")
+
+
+def merge_unknown(tokens: np.ndarray, cuts: np.ndarray, unk: int, table: list[bytes]) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+    """Runs of the unknown piece within a document as one id, and the documents' texts."""
+    first = np.zeros(len(tokens) + 1, bool)
+    first[cuts] = True
+    again = (tokens == unk) & np.concatenate(([False], tokens[:-1] == unk)) & ~first[:-1]
+    upto = np.concatenate(([0], np.cumsum(~again)))
+    tokens, cuts = tokens[~again], upto[cuts]
+    return tokens, cuts, [b"".join([table[i] for i in tokens[a:b].tolist()]) for a, b in zip(cuts, cuts[1:])]
