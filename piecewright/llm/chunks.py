@@ -6,6 +6,7 @@ What depends on a word alone is worked out once per distinct word of the corpus;
 
 from __future__ import annotations
 
+import ctypes
 from collections import defaultdict
 from collections.abc import Callable, Iterator
 
@@ -19,7 +20,7 @@ from pyspark.sql import functions as F
 from . import common
 
 #: Characters of a chunk, about.
-CHUNK_CHARS = 16 << 20
+CHUNK_CHARS = 10 << 20
 SCHEMA = "chunk long, idx int, word string, n long, blob binary"
 
 
@@ -29,6 +30,15 @@ def pin_scans(spark: SparkSession) -> None:
         spark.conf.set("spark.sql.files.minPartitionNum", str(max(spark.sparkContext.defaultParallelism, 1)))
 
 
+def give_back() -> None:
+    """Hands freed memory back to the system, as Python workers live on from task to task."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass  # not glibc
+
+
 def pack(ids: list[int | None], numbers: list[np.ndarray], marks: list[int]) -> bytes:
     """A chunk's documents: ids, a mark of each, and the numbers of their words."""
     known = np.array([i is not None for i in ids], np.uint8)
@@ -82,7 +92,10 @@ def chunked(docs: DataFrame, id_col: str, text_col: str, words_of: Callable[[str
                 if size >= chunk_chars:
                     yield from out()
                     chunk, size, number, ids, numbers, marks = chunk + 1, 0, None, [], [], []
+                    give_back()
         if number is not None:
             yield from out()
+            number, ids, numbers, marks = None, [], [], []
+            give_back()
 
     return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(run, SCHEMA)

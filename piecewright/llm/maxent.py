@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import common
-from .chunks import chunked, unpack
+from .chunks import chunked, give_back, unpack
 
 #: Kinds of context words: the start, the most frequent words, and shapes of the others.
 CONTEXTS, TOP_CONTEXTS = 384, 320
@@ -43,6 +43,11 @@ def _shape(word: Column) -> Column:
     return (F.crc32(F.concat(F.right(word, F.lit(2)), F.lit(" "), F.floor(F.least(F.length(word), F.lit(11)) / 3).cast("string")).cast("binary")) % 3465).cast("int")
 
 
+def _key(word: Column) -> Column:
+    """A hash of a word whose last 12 bits are its shape."""
+    return F.xxhash64(word).bitwiseAND(F.lit(~4095)).bitwiseOR(_shape(word).cast("long"))
+
+
 def _kind(rank: Column, shape: Column) -> Column:
     """context * CLASSES + class of a word: by rank for frequent words, else by shape."""
     context = F.coalesce(1 + rank, 1 + TOP_CONTEXTS + shape % (CONTEXTS - 1 - TOP_CONTEXTS))
@@ -267,7 +272,7 @@ def maxent_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     discount that goes to the class's unknown words. It is learned from all rows whose crc32(id as text) mod 7 isn't 2.
     base_score is the add-one unigram score. Scores are log10 of probabilities of the text.
 
-    Words are counted over all training texts by a shuffle that has each word, by a 64-bit hash, once per chunk of
+    Words are counted over all training texts by a shuffle that has each word, by 52 bits of a hash and its shape, once per chunk of
     documents (see chunks.chunked); counts and kinds return to the documents the same way, for any number of words.
     Null text is empty: one token. Null ids count as training rows. Rows that repeat an id each give a row. No rows:
     none; no training rows: every token is unknown.
@@ -275,11 +280,11 @@ def maxent_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     spark = docs.sparkSession
     common.prepare(spark)
     rows, chunks = common.written(chunked(docs, id_col, text_col, words_of, lambda i: int(held(i))), "chunks")
-    own = rows.where("word is not null").select("chunk", "idx", F.xxhash64("word").alias("key"), "n", _shape(F.col("word")).alias("shape"))
-    counted, place = common.written(own.groupBy("key").agg(F.sum("n").alias("c"), F.min("shape").alias("shape")), "word-counts")
+    own = rows.where("word is not null").select("chunk", "idx", _key(F.col("word")).alias("key"), "n")
+    counted, place = common.written(own.groupBy("key").agg(F.sum("n").alias("c")), "word-counts")
     top = [(r["key"], k) for k, r in enumerate(counted.where("c > 0").orderBy(F.desc("c"), "key").limit(TOP_CONTEXTS).collect())]
     ranks = spark.createDataFrame(top, "top long, rank int")
-    counts = counted.join(F.broadcast(ranks), F.col("key") == F.col("top"), "left").select("key", "c", _kind(F.col("rank"), F.col("shape")).alias("kind"))
+    counts = counted.join(F.broadcast(ranks), F.col("key") == F.col("top"), "left").select("key", "c", _kind(F.col("rank"), F.col("key").bitwiseAND(F.lit(4095))).alias("kind"))
     n_docs = docs.where(~F.coalesce(F.crc32(F.col(id_col).cast("long").cast("string")) % 7 == 2, F.lit(False))).count()
     whole = counted.agg(F.sum("c").alias("n"), F.sum((F.col("c") > 0).cast("long")).alias("v")).first()
     tokens, types, inside = (whole["n"] or 0) + n_docs, (whole["v"] or 0) + bool(n_docs), _within(counts)
@@ -290,7 +295,9 @@ def maxent_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         if not chunk.num_rows or words.num_rows != chunk["words"][0].as_py():
             raise ValueError("a chunk lacks words")
         made = prepare_chunk(words["idx"].to_numpy(), words["c"].to_numpy(), words["kind"].to_numpy(), inside, tokens, types, n_docs, unpack(chunk["blob"][0].as_py()))
-        return pa.Table.from_batches([pa.RecordBatch.from_arrays([pa.array([p.to_bytes()], pa.binary())], ["part"]) for p in made], schema=pa.schema([("part", pa.binary())]))
+        done = pa.Table.from_batches([pa.RecordBatch.from_arrays([pa.array([p.to_bytes()], pa.binary())], ["part"]) for p in made], schema=pa.schema([("part", pa.binary())]))
+        give_back()
+        return done
 
     prepared, _ = common.written(results.groupBy("chunk").cogroup(blobs.groupBy("of")).applyInArrow(join, "part binary"), "prepared")
     for path in (chunks, place):
