@@ -17,7 +17,6 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common
 
 #: Characters of a chunk, about.
 CHUNK_CHARS = 10 << 20
