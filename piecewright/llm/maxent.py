@@ -22,9 +22,11 @@ CONTEXTS, TOP_CONTEXTS = 384, 320
 #: Classes: the end, one for each of the most frequent words, and shapes of the others.
 CLASSES, TOP_CLASSES = 128, 72
 #: Rows of weights. The first 2 * CONTEXTS are for single and skipped words; pairs are hashed into the others.
-BUCKETS = 1 << 13
+BUCKETS = 1 << 14
 #: Rounds of gradient updates, and tasks that share the contexts of a round.
-ROUNDS, SHARES = 12, 4
+ROUNDS, SHARES = 14, 4
+#: Rows of weights that are summed over the tasks in one place.
+PIECE = 1 << 11
 #: Groups that the tasks' counts of a context are merged in first.
 SALTS = 32
 _FEATURES = 4
@@ -138,12 +140,12 @@ def _block(blob: bytes) -> np.ndarray:
 
 
 def train(counts: DataFrame, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray]:
-    """(weights, bias): in each round, SHARES tasks sum the gradient over their contexts at the broadcast weights, and
-    one update is made: observed less expected counts, over what bounds the curvature. The number of contexts and of
+    """(weights, bias): in each round, SHARES tasks sum the gradient over their contexts at the broadcast weights, the
+    tasks' sums are merged on the executors, PIECE rows in one place, and one update is made: observed less expected counts, over what bounds the curvature. The number of contexts and of
     weights is fixed, so that a round costs the same for any corpus, all of which is in the counts."""
     spark = counts.sparkSession
     sc = spark.sparkContext
-    blocks = counts.repartition(SHARES, "c1")
+    blocks = counts.repartition(SHARES)  # contexts may be in any task; each has a fixed size
     weights, bias = np.zeros((BUCKETS, CLASSES), np.float32), np.zeros(CLASSES, np.float32)
 
     def gather(first: bool):
@@ -163,12 +165,21 @@ def train(counts: DataFrame, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarr
                     got = seen[used] if first else of[used, None] * np.exp(log_softmax(w, b, at, c2[used]))
                     for rows in _rows_of(at, c2[used]):
                         np.add.at(out, rows, got.astype(np.float32))
-            yield pa.RecordBatch.from_arrays([pa.array([out.tobytes()], pa.binary()), pa.array([prior.tobytes()], pa.binary())], ["sums", "prior"])
-
-        total, prior = np.zeros((BUCKETS, CLASSES), np.float32), np.zeros(CLASSES)
-        for row in blocks.mapInArrow(run, "sums binary, prior binary").collect():
-            total += np.frombuffer(row["sums"], np.float32).reshape(total.shape)
-            prior += np.frombuffer(row["prior"])
+            for at in range(0, BUCKETS, PIECE):
+                sums = zstandard.ZstdCompressor(level=1).compress(out[at : at + PIECE].tobytes())
+                yield pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([sums], pa.binary()), pa.array([prior.tobytes()], pa.binary())], ["at", "sums", "prior"])
+
+        def merge(pieces: pa.Table) -> pa.Table:
+            sums, prior = np.zeros(PIECE * CLASSES, np.float32), np.zeros(CLASSES)
+            for blob, own in zip(pieces["sums"], pieces["prior"]):
+                sums += np.frombuffer(zstandard.ZstdDecompressor().decompress(blob.as_py()), np.float32)
+                prior += np.frombuffer(own.as_py())
+            return pa.table({"at": pieces["at"][:1], "sums": pa.array([sums.tobytes()], pa.binary()), "prior": pa.array([prior.tobytes()], pa.binary())})
+
+        total, schema = np.empty((BUCKETS, CLASSES), np.float32), "at int, sums binary, prior binary"
+        for row in blocks.mapInArrow(run, schema).groupBy("at").applyInArrow(merge, schema).collect():
+            total[row["at"] : row["at"] + PIECE] = np.frombuffer(row["sums"], np.float32).reshape(-1, CLASSES)
+            prior = np.frombuffer(row["prior"])
         sent.destroy()
         return total, prior
 

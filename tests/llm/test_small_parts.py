@@ -10,7 +10,7 @@ import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from piecewright.llm import cws, decontaminate, grammar, licenses, lines, passages, warc
+from piecewright.llm import cws, decontaminate, grammar, licenses, lines, maxent, passages, warc
 from piecewright.llm.perfect_hash import LineShard, PerfectHash
 from piecewright.llm.simhash import fingerprint
 
@@ -189,3 +189,9 @@ def test_each_license_is_told_from_the_others(name):
         found = list(scanner.scan(f"some prose before\n\n{text.replace('  ', ' ')}\n\nand more"))
         assert [f[1][0] for f in found] == [name]
     assert not list(scanner.scan("I lost my driving license and need permission to redistribute the seats."))
+
+
+def test_pairs_of_contexts_share_few_rows():
+    one, two = np.divmod(np.arange(maxent.CONTEXTS**2), maxent.CONTEXTS)
+    rows = maxent._rows_of(one, two)[2]
+    assert np.bincount(rows)[2 * maxent.CONTEXTS :].mean() < 10 and maxent.ROUNDS >= 14
