@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import bisect
 import difflib
 import re
 from collections.abc import Iterator
@@ -80,11 +81,7 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
     "Unlicense": ("This is free and unencumbered software released into the public domain.",),
 }
 #: Words without which a stretch isn't a candidate.
-TRIGGER = re.compile(r"licen[sc]e|permission (?:is|to)|redistribut|public domain|waived all copyright", re.I)
-#: Words of a block around a trigger, to either side; how many winners are held against the wording.
-AROUND, WINNERS = 90, 6
-#: Words of short blocks within a line, before and after the trigger.
-NEAR = ((1, 6), (6, 2), (6, 12))
+TRIGGER = re.compile(r"licen[sc]e|permission[\W_]+(?:is|to)|redistribut|public[\W_]+domain|waived[\W_]+all[\W_]+copyright", re.I)
 #: A winner's size must fall by this part, and this part of the template's words must be there in order.
 LEAST_GAIN, LEAST_WORDING = 0.25, 0.85
 _WORD = re.compile(r"[^\W_]+(?:[.'-][^\W_]+)*")
@@ -93,7 +90,7 @@ TELLING = frozenset("2 3 1 4 2.0 3.0 1.0 4.0 lesser affero by-nc by-sa by-nd by-
 
 
 def _even(text: str) -> str:
-    return " ".join(text.lower().split())
+    return " ".join(w for w in text.lower().split() if _WORD.search(w))
 
 
 def words(text: str) -> list[str]:
@@ -114,6 +111,16 @@ class Template:
     def words(self) -> list[str]:
         return words(self.text)
 
+    @cached_property
+    def distinct(self) -> frozenset[str]:
+        return frozenset(self.words)
+
+    @cached_property
+    def places(self) -> list[int]:
+        """The words at which triggers stand; any word, if there is none."""
+        starts = [m.start() for m in _WORD.finditer(self.text.lower())]
+        return sorted({bisect.bisect_right(starts, hit.start()) - 1 for hit in TRIGGER.finditer(self.text)}) or list(range(len(starts)))
+
 
 class Scanner:
     """All templates, each with a compressor that has it as a raw dictionary."""
@@ -122,16 +129,16 @@ class Scanner:
         self.templates = [Template(name, i, t) for name, texts in templates.items() for i, t in enumerate(texts)]
         self.plain = zstandard.ZstdCompressor(level=level, write_content_size=False)
         self.given = [zstandard.ZstdCompressor(level=level, write_content_size=False, dict_data=zstandard.ZstdCompressionDict(t.even, dict_type=zstandard.DICT_TYPE_RAWCONTENT)) for t in self.templates]
-        self.memo: dict[str, tuple | None] = {}
+        self.memo: dict[tuple[str, int], tuple | None] = {}
 
-    def gains(self, block: str) -> list[tuple[float, Template]]:
-        """The part of the compressed size that each template saves, the most first; ties by the templates' order."""
+    def gain(self, block: str, k: int) -> float:
+        """The part of the compressed size that template k saves."""
         data = _even(block).encode("utf-8", "replace")
-        alone = len(self.plain.compress(data))
-        return sorted(((1 - len(c.compress(data)) / alone, t) for c, t in zip(self.given, self.templates)), key=lambda x: -x[0])
+        return 1 - len(self.given[k].compress(data)) / len(self.plain.compress(data))
 
-    def confirm(self, block: str, template: Template) -> tuple[float, list[str]] | None:
-        """(part of the template's words present in order, the differing words), or None if the wording is another's."""
+    def confirm(self, block: str, template: Template) -> tuple[float, list[str], int, int] | None:
+        """(part of the template's words present in order, the differing words, first and end of the block's words that
+        it covers), or None if the wording is another's."""
         own, theirs = words(block), template.words
         found = difflib.SequenceMatcher(None, theirs, own, autojunk=False).get_matching_blocks()
         same = sum(m.size for m in found)
@@ -149,64 +156,53 @@ class Scanner:
             j = m.b + m.size
         if len(inside) > 1.3 * len(theirs) + 2 or any(w in TELLING for w in missing + extra):
             return None
-        return same / len(theirs), [f"-{w}" for w in missing] + [f"+{w}" for w in extra]
+        return same / len(theirs), [f"-{w}" for w in missing] + [f"+{w}" for w in extra], held[0].b, j
 
-    def best(self, block: str) -> tuple | None:
-        """(license, template, gain, share of wording, differences, words) of the winner that its wording confirms."""
-        if block not in self.memo:
+    def fit(self, block: str, k: int) -> tuple | None:
+        """(license, template, gain, share of wording, differences, words, first and end of them in the block), if
+        template k saves enough of the block and the wording confirms it."""
+        if (block, k) not in self.memo:
             if len(self.memo) > 20_000:
                 self.memo.clear()
-            found = []
-            for gain, t in [g for g in self.gains(block) if g[0] >= LEAST_GAIN][:WINNERS]:
-                if (said := self.confirm(block, t)) is not None:
-                    found.append((len(t.words) * said[0], gain, t, *said))
-            top = max(found, key=lambda f: (f[0], f[1])) if found else None
-            self.memo[block] = (top[2].license, top[2].number, top[1], top[3], top[4], top[0]) if top else None
-        return self.memo[block]
+            t, gain = self.templates[k], self.gain(block, k)
+            said = self.confirm(block, t) if gain >= LEAST_GAIN else None
+            self.memo[block, k] = (t.license, t.number, gain, said[0], said[1], len(t.words) * said[0], said[2], said[3]) if said else None
+        return self.memo[block, k]
 
     def scan(self, text: str) -> Iterator[tuple[int, tuple]]:
-        """(line, finding) of each confirmed notice. A block is a line with a trigger, with the lines after it while it
-        is short, or as many words around the trigger of a long line."""
-        if not TRIGGER.search(text):
+        """(line, finding) of each confirmed notice, at the line where it starts. A trigger is laid on each trigger of
+        each template; the block is the words that the template then covers, wherever lines end, with and without as
+        many to either side as may be added. The template that covers the most words with the trigger among them is
+        found, and the triggers after these words go on."""
+        hits = [hit.start() for hit in TRIGGER.finditer(text)]
+        if not hits:
             return
-        lines, taken = text.split("\n"), -1
-        for n, line in enumerate(lines):
-            if n <= taken:
-                continue
-            hits = list(TRIGGER.finditer(line))
-            if not hits:
+        spans = [m.span() for m in _WORD.finditer(text)]
+        starts, own, free = [a for a, _ in spans], [text[a:b].lower() for a, b in spans], 0
+        for at in dict.fromkeys(bisect.bisect_right(starts, hit) - 1 for hit in hits):
+            if at < free:
                 continue
-            for hit in hits:
-                tail, more, size = line, n, len(line.split())
-                if size > 2 * AROUND:
-                    head = line[: hit.start()].split()[-AROUND:]
-                    tail = " ".join(head + line[hit.start() :].split()[:AROUND])
-                whole = tail
-                while size < AROUND and more + 1 < len(lines) and lines[more + 1].strip():
-                    more += 1
-                    whole += "\n" + lines[more]
-                    size += len(lines[more].split())
-                found = [(self.best(b), to) for b, to in ((whole, more), (tail, n)) if b == whole or whole != tail]
-                sentences = [s for s in re.split(r"(?<=[.;:])\s+", tail) if TRIGGER.search(s)]
-                found += [(self.best(s), n) for s in sentences if s != tail]
-                if size > sum(NEAR[-1]):
-                    head, rest = line[: hit.start()].split(), line[hit.start() :].split()
-                    found += [(self.best(" ".join(head[-before:] + rest[:after])), n) for before, after in NEAR]
-                found = [(f, to) for f, to in found if f]
-                if found:
-                    top, to = max(found, key=lambda f: (f[0][5], f[0][2]))
-                    yield n, top
-                    taken = to
-                    break
+            found = []
+            for k, t in enumerate(self.templates):
+                n = len(t.words)
+                added = int(0.3 * n) + 2
+                if len(t.distinct.difference(own[max(free, at - n - added) : at + n + added])) > (1 - LEAST_WORDING) * n:
+                    continue  # the wording can't be there
+                for lo, hi in {(max(free, at - p - more), min(len(own), at - p + n + more)) for p in t.places for more in (0, added)}:
+                    if lo < hi and (f := self.fit(text[spans[lo][0] : spans[hi - 1][1]], k)) and lo + f[6] <= at < lo + f[7]:
+                        found.append((f[5], f[2], lo + f[6], lo + f[7], f))
+            if found:
+                *_, first, free, top = max(found, key=lambda f: f[:2])
+                yield text.count("\n", 0, spans[first][0]), top
 
 
 def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: dict[str, tuple[str, ...]] | None = None) -> DataFrame:
     """(id_col, line, license, template, gain, wording, differences) for each confirmed license notice of each text.
 
-    Lines (counted from 0) with a word that any notice has give candidate blocks. Each is compressed alone and with
-    each template as a raw Zstandard dictionary; templates are ranked by the size they save, and the winners held
-    against the block word by word: they must have nearly all of the template's words in order, and no word that tells
-    licenses apart may differ. `differences` lists the words missing (-) and added (+). Null, empty and other texts
+    Words that any notice has give candidate blocks, which may begin and end anywhere in the text's lines (counted
+    from 0). Each is compressed alone and with a template as a raw Zstandard dictionary; where that saves enough, the
+    template is held against the block word by word: nearly all of the template's words must be there in order, and no
+    word that tells licenses apart may differ. `differences` lists the words missing (-) and added (+). Null, empty and other texts
     without notices have no rows; null ids are kept; rows that repeat an id each give theirs; an empty table, none.
     """
     common.prepare(docs.sparkSession)

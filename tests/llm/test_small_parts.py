@@ -191,6 +191,17 @@ def test_each_license_is_told_from_the_others(name):
     assert not list(scanner.scan("I lost my driving license and need permission to redistribute the seats."))
 
 
+def licenses_in(text):
+    return [(n, f[0]) for n, f in licenses.Scanner(licenses.TEMPLATES).scan(text)]
+
+
+def test_every_notice_of_a_line_and_of_a_block_is_found():
+    prose = " and then they went on along the river" * 60
+    assert licenses_in(f"Released under the MIT License.{prose}. Licensed under CC BY-NC 4.0. {prose}") == [(0, "MIT"), (0, "CC-BY-NC-4.0")]
+    gpl = licenses.TEMPLATES["GPL-2.0"][1]
+    assert licenses_in(f"x\nReleased under the MIT License.\n{gpl}\n{gpl}") == [(1, "MIT"), (2, "GPL-2.0"), (3, "GPL-2.0")]
+
+
 def test_pairs_of_contexts_share_few_rows():
     one, two = np.divmod(np.arange(maxent.CONTEXTS**2), maxent.CONTEXTS)
     rows = maxent._rows_of(one, two)[2]
