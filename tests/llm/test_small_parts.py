@@ -202,6 +202,18 @@ def test_every_notice_of_a_line_and_of_a_block_is_found():
     assert licenses_in(f"x\nReleased under the MIT License.\n{gpl}\n{gpl}") == [(1, "MIT"), (2, "GPL-2.0"), (3, "GPL-2.0")]
 
 
+@pytest.mark.parametrize("mark", ["", "* ", "# "])
+def test_notices_are_found_however_they_are_laid_out(mark):
+    lay = lambda *parts: "\n".join(mark + p for p in ["x = 1", *parts, "y = 2"])
+    bsd = licenses.TEMPLATES["BSD-3-Clause"][0].replace(" 1. ", "\n\n1. ").replace(" 2. ", "\n\n2. ").replace(" 3. ", "\n\n3. ").split("\n")
+    assert licenses_in(lay(*bsd)) == [(1, "BSD-3-Clause")]
+    wrapped = [" ".join(bsd[0].split()[k : k + 9]) for k in range(0, len(bsd[0].split()), 9)] + bsd[1:]
+    assert licenses_in(lay(*wrapped)) == [(1, "BSD-3-Clause")]
+    assert licenses_in(lay("This is free and unencumbered software released into", "the public domain.")) == [(1, "Unlicense")]
+    assert licenses_in(lay("This is free and unencumbered software released into the public", "domain.")) == [(1, "Unlicense")]
+    assert licenses_in(lay("Released under the MIT", "License.")) == [(1, "MIT")]
+
+
 def test_pairs_of_contexts_share_few_rows():
     one, two = np.divmod(np.arange(maxent.CONTEXTS**2), maxent.CONTEXTS)
     rows = maxent._rows_of(one, two)[2]
