@@ -18,6 +18,8 @@ SHINGLE, SIMILARITY = 5, 0.8
 LEAST_WORDS, LEAST_RUN = 10, 20
 #: A part starts where the hash of two words is the least among so many places to either side.
 REACH = 5
+#: Words of a seed; a run of words is looked for by the least hash of its seeds.
+SEED = 8
 #: Distinct paragraphs of a bucket that a task compares at once; larger buckets are dealt over pairs of such blocks.
 BUCKET = 4096
 #: Bits of the filter that picks candidate paragraphs out of the texts, at most.
@@ -121,6 +123,20 @@ class Texts:
         same = self.doc_of(starts) == self.doc_of(ends - 1)
         return starts[same], ends[same]
 
+    def runs(self, least_run: int) -> tuple[np.ndarray, np.ndarray]:
+        """(starts, seeds): each place from which least_run words lie within a document, and the least hash of the
+        seeds among these words, which depends on nothing else."""
+        size = min(SEED, least_run)
+        at = np.arange(max(len(self.words) - size + 1, 0))
+        low, width, want = self.hashes(at, at + size), 1, least_run - size + 1
+        while width < want and len(low):
+            step = min(width, want - width)
+            low = np.minimum(low[: max(len(low) - step, 0)], low[step:])
+            width += step
+        starts = np.arange(len(low))
+        inside = starts + least_run <= self.docs[:, 1][self.doc_of(starts)] if len(starts) else np.zeros(0, bool)
+        return starts[inside], low[inside]
+
     def minima(self, starts: np.ndarray, ends: np.ndarray, count: int) -> np.ndarray:
         """MinHash values of paragraphs' shingles, one row for each paragraph."""
         out = np.empty((len(starts), count), np.uint64)
@@ -154,14 +170,35 @@ def _longs(x: np.ndarray) -> pa.Array:
     return pa.array(np.ascontiguousarray(x).view(np.int64))
 
 
-def _occurrences(docs: DataFrame) -> DataFrame:
-    """(uh, doc, start, n): every paragraph and part, by the hash of its words."""
+def _seeds(docs: DataFrame, least_run: int) -> DataFrame:
+    """(seed, doc): the seeds of all runs of least_run words; those of runs that follow one another are mostly one."""
+
+    def each(batch: pa.RecordBatch) -> pa.RecordBatch:
+        ids = batch.column(0).to_numpy()
+        t = Texts(batch.column(1).to_pylist())
+        starts, low = t.runs(least_run)
+        doc = t.doc_of(starts)
+        new = np.ones(len(low), bool)
+        new[1:] = (low[1:] != low[:-1]) | (doc[1:] != doc[:-1])
+        return pa.RecordBatch.from_arrays([_longs(low[new]), pa.array(ids[doc[new]])], ["seed", "doc"])
+
+    return _map(docs, each, "seed long, doc long")
+
+
+def _occurrences(docs: DataFrame, bits: np.ndarray, least_run: int) -> DataFrame:
+    """(uh, doc, start, n): every paragraph and part, and each run of least_run words whose seed passes the filter, by
+    the hash of its words."""
+    sent = docs.sparkSession.sparkContext.broadcast(bits)
 
     def each(batch: pa.RecordBatch) -> pa.RecordBatch:
+        passed, m = sent.value, len(sent.value) * 8
         ids = np.array([-1 if i is None else i for i in batch.column(0).to_pylist()], np.int64)
         t = Texts(batch.column(1).to_pylist())
-        (ls, le), (ps, pe) = t.paragraphs(), t.parts()
-        starts, ends = np.concatenate([ls, ps]), np.concatenate([le, pe])
+        (ls, le), (ps, pe), (rs, low) = t.paragraphs(), t.parts(), t.runs(least_run)
+        hit = np.ones(len(low), bool)
+        for p in _probes(low, m):
+            hit &= (passed[p >> 3] >> (p & 7).astype(np.uint8)) & 1 == 1
+        starts, ends = np.concatenate([ls, ps, rs[hit]]), np.concatenate([le, pe, rs[hit] + least_run])
         where = t.doc_of(starts)
         return pa.RecordBatch.from_arrays([_longs(t.hashes(starts, ends)), pa.array(ids[where]), pa.array((starts - t.docs[where, 0]).astype(np.int32)), pa.array((ends - starts).astype(np.int32))], ["uh", "doc", "start", "n"])
 
@@ -309,8 +346,9 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     that other documents repeat.
 
     Units are paragraphs (lines) of at least LEAST_WORDS words, and parts of the whole text that are cut where the
-    words themselves say so, so that a passage is cut alike wherever it stands and whatever surrounds it. Units of
-    equal words (A-Z lower-cased, white space evened out) are one; paragraphs of at least the similarity over five-word
+    words themselves say so, so that a passage is cut alike wherever it stands and whatever surrounds it; and all runs
+    of least_run words, so that each repeat of as many words is found, up to its ends. Runs are only looked at whose
+    seed, the least hash among their SEED-word pieces, other documents have too. Units of equal words (A-Z lower-cased, white space evened out) are one; paragraphs of at least the similarity over five-word
     shingles are linked, and components of links are classes. Units whose class has units in other documents count;
     those that adjoin or overlap in a document form one stretch. class_id is the smallest id that holds the class of
     its first unit, n_docs the most documents that hold one of its classes. kept: all its units are the first of their
@@ -322,7 +360,10 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     common.prepare(docs.sparkSession)
     texts = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), common.utf8(text_col).alias("t"))
     links = connected_components(paragraph_links(texts, similarity))
-    every = _occurrences(texts).repartition("uh")  # one exchange for both uses, which need all columns
+    seeds, place_of_seeds = common.written(_seeds(texts, least_run).groupBy("seed").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).where("lo <> hi").select("seed"), "seeds")
+    bits = _filter(seeds, min(FILTER_BITS, max(1 << 16, 1 << (16 * seeds.count()).bit_length())))
+    common.drop_folder(docs.sparkSession, place_of_seeds)
+    every = _occurrences(texts, bits, least_run).repartition("uh")  # one exchange for both uses, which need all columns
     shared = every.groupBy(F.col("uh").alias("seen")).agg(F.min("doc").alias("lo"), F.max("doc").alias("hi"), F.max("start").alias("s"), F.max("n").alias("m")).where("lo <> hi and s is not null and m is not null").select("seen")
     met = every.hint("merge").join(shared, F.col("uh") == F.col("seen"), "left").join(links.hint("merge"), F.col("uh") == F.col("node"), "left").where("seen is not null or node is not null")
     own, _ = common.written(met.select("doc", "start", "n", F.coalesce("component", "uh").alias("class")), "units")

@@ -176,6 +176,21 @@ def test_passages(spark, odd, none):
     assert repeated_passages(none).count() == 0
 
 
+def test_every_repeat_of_twenty_words_is_found_up_to_its_ends(spark):
+    rng = random.Random(23)
+    voc = [f"{a}{k}" for k, a in enumerate(VOCABULARY * 10)]
+    say = lambda n: [rng.choice(voc) for _ in range(n)]
+    rows, planted = [], []
+    for p in range(60):
+        passage = say(20 + p % 32)
+        for _ in range(2):
+            before = say(rng.randint(0, 60))
+            planted.append((len(rows), len(before), len(passage)))
+            rows.append((len(rows), " ".join([*before, *passage, *say(rng.randint(0, 60))])))
+    found = repeated_passages(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).select("doc_id", "first_word", "n_words").collect()
+    assert sorted(tuple(r) for r in found) == planted
+
+
 def test_near_paragraphs_are_found_in_split_buckets(spark, monkeypatch):
     monkeypatch.setattr("piecewright.llm.passages.BUCKET", 2)
     base = prose(50).split()
