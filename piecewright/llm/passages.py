@@ -364,12 +364,15 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     bits = _filter(seeds, min(FILTER_BITS, max(1 << 16, 1 << (16 * seeds.count()).bit_length())))
     common.drop_folder(docs.sparkSession, place_of_seeds)
     every = _occurrences(texts, bits, least_run).repartition("uh")  # one exchange for both uses, which need all columns
-    shared = every.groupBy(F.col("uh").alias("seen")).agg(F.min("doc").alias("lo"), F.max("doc").alias("hi"), F.max("start").alias("s"), F.max("n").alias("m")).where("lo <> hi and s is not null and m is not null").select("seen")
+    held = every.groupBy("uh", "doc").agg(F.min("start").alias("start"), F.max("n").alias("n"))  # dealt by uh as every is
+    first = F.min(F.struct("doc", "start")).alias("first")
+    shared = held.groupBy(F.col("uh").alias("seen")).agg(F.min("doc").alias("class_id"), F.max("doc").alias("last"), first, F.count(F.lit(1)).alias("n_docs"), F.max("n").alias("m")).where("class_id <> last and m is not null").select("seen", "class_id", "first", "n_docs")
     met = every.hint("merge").join(shared, F.col("uh") == F.col("seen"), "left").join(links.hint("merge"), F.col("uh") == F.col("node"), "left").where("seen is not null or node is not null")
-    own, _ = common.written(met.select("doc", "start", "n", F.coalesce("component", "uh").alias("class")), "units")
-    place = F.struct("doc", "start")
-    classes = own.groupBy("class").agg(F.min("doc").alias("class_id"), F.max("doc").alias("last"), F.min(place).alias("first"), F.approx_count_distinct("doc").alias("n_docs")).where("class_id <> last")
-    units = own.join(classes.select("class", "class_id", "first", "n_docs"), "class").select("doc", "start", (F.col("start") + F.col("n")).alias("end"), "class_id", "n_docs", place.eqNullSafe(F.col("first")).alias("kept"))
+    own, _ = common.written(met.select("doc", "start", "n", F.col("component").alias("class"), "class_id", "first", "n_docs"), "units")
+    linked = own.where("class is not null").select("doc", "start", "n", "class")  # the others are classes by themselves
+    classes = linked.groupBy("class", "doc").agg(F.min("start").alias("start")).groupBy("class").agg(F.min("doc").alias("class_id"), F.max("doc").alias("last"), first, F.count(F.lit(1)).alias("n_docs")).where("class_id <> last").drop("last")
+    every_unit = own.where("class is null").unionByName(linked.join(classes, "class"))
+    units = every_unit.select("doc", "start", (F.col("start") + F.col("n")).alias("end"), "class_id", "n_docs", F.struct("doc", "start").eqNullSafe(F.col("first")).alias("kept"))
     order = Window.partitionBy("doc").orderBy("start", "end")
     before = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
     runs = units.withColumn("new", F.coalesce((F.col("start") > before).cast("int"), F.lit(1))).withColumn("run", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))

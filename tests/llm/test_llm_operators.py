@@ -191,6 +191,12 @@ def test_every_repeat_of_twenty_words_is_found_up_to_its_ends(spark):
     assert sorted(tuple(r) for r in found) == planted
 
 
+def test_documents_of_a_class_are_counted_exactly(spark):
+    line = prose(30)
+    found = repeated_passages(spark.createDataFrame([(k % 1500, f"own{k}\n{line}") for k in range(1600)], "doc_id long, text string"))
+    assert {r["n_docs"] for r in found.collect()} == {1500}
+
+
 def test_near_paragraphs_are_found_in_split_buckets(spark, monkeypatch):
     monkeypatch.setattr("piecewright.llm.passages.BUCKET", 2)
     base = prose(50).split()
