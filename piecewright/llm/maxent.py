@@ -23,7 +23,7 @@ WEIGHTS_BITS, LEAST_WEIGHTS, MOST_WEIGHTS = 5, 21, 23
 #: Shares of the documents; in each round of training the gradient updates of one share are made and merged.
 ROUNDS = 4
 #: Tokens of a gradient update, the size of steps, and what their decay begins from.
-TOKENS, STEP, CALM = 8192, 0.7, 1.0
+TOKENS, STEP, CALM = 2048, 0.7, 1.0
 #: A word that fewer training tokens have stands in contexts by its shape.
 LEAST_CONTEXT = 3
 #: Words of a task that may be among the most frequent of all.
@@ -39,7 +39,7 @@ def held(doc_id: int | None, mod: int = 7, rest: int = 2) -> bool:
 
 
 def side_for(types: int) -> int:
-    return min(MOST_SIDE, max(LEAST_SIDE, 1 << int(np.log2(types + 1) / 4 + 0.75)))
+    return min(MOST_SIDE, max(LEAST_SIDE, 1 << int(np.log2(types + 1) / 4 + 0.5)))
 
 
 def weights_for(tokens: int) -> int:
@@ -186,11 +186,11 @@ class Model:
         return out
 
     def probabilities(self, rows: list[np.ndarray], bias: np.ndarray) -> np.ndarray:
-        x = self.weights[rows[0]]
+        x = np.take(self.weights, rows[0], axis=0)
         for r in rows[1:]:
-            x += self.weights[r]
+            x += np.take(self.weights, r, axis=0)
         x += bias
-        x -= x.max(1, keepdims=True)
+        np.minimum(x, np.float32(60), out=x)
         np.exp(x, out=x)
         x /= x.sum(1, keepdims=True)
         return x
@@ -211,12 +211,23 @@ class Model:
             gradient = self.probabilities(rows, bias)
             gradient[at, hit] -= 1
             for r in rows:
-                order = np.argsort(r, kind="stable")
-                sorted_ = r[order]
-                first = np.flatnonzero(np.concatenate(([True], sorted_[1:] != sorted_[:-1])))
-                sums, which = np.add.reduceat(gradient[order], first), sorted_[first]
-                self.calm[which] += np.einsum("ij,ij->i", sums, sums)
-                self.weights[which] -= sums * (STEP / np.sqrt(self.calm[which]))[:, None]
+                which, sums = summed(r, gradient)
+                calm = self.calm[which] + np.einsum("ij,ij->i", sums, sums)
+                self.calm[which] = calm
+                sums *= (STEP / np.sqrt(calm))[:, None]
+                self.weights[which] = np.take(self.weights, which, axis=0) - sums
+
+
+def summed(rows: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The different rows, and the sums of their values; rows that occur once are only copied."""
+    order = np.argsort(rows, kind="stable")
+    found = rows[order]
+    first = np.flatnonzero(np.concatenate(([True], found[1:] != found[:-1])))
+    times = np.diff(np.append(first, len(found)))
+    sums, many = np.take(values, order[first], axis=0), np.flatnonzero(times > 1)
+    if len(many):
+        sums[many] = np.add.reduceat(np.take(values, order[np.repeat(times > 1, times)], axis=0), np.cumsum(times[many]) - times[many])
+    return found[first], sums
 
 
 def corpus_words(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:

@@ -124,10 +124,20 @@ def test_the_model_is_a_distribution():
 
 
 def test_size_follows_the_corpus():
-    assert [maxent.side_for(v) for v in (0, 3_000, 300_000, 4_000_000, 10**12)] == [16, 16, 32, 64, 128]
+    assert [maxent.side_for(v) for v in (0, 3_000, 300_000, 4_000_000, 10**12)] == [16, 16, 32, 32, 128]
     assert maxent.weights_for(10**8) > maxent.weights_for(10**7) >= 1 << maxent.LEAST_WEIGHTS and maxent.weights_for(10**12) * 4 <= 32 << 20
 
 
+def test_gradients_are_summed_by_row():
+    rng = np.random.default_rng(3)
+    for n in (1, 2, 500):
+        rows, values = rng.integers(0, 40, n), rng.integers(-9, 9, (n, 4)).astype(np.float32)
+        plain = np.zeros((40, 4))
+        np.add.at(plain, rows, values)
+        which, sums = maxent.summed(rows, values)
+        assert which.tolist() == sorted(set(rows.tolist())) and (sums == plain[which]).all()
+
+
 def test_training_lowers_held_out_loss(spark, monkeypatch):
     """Texts in which the two words before tell the next one; what is learned must hold for texts not learned from."""
     rng, rows = random.Random(8), []
