@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -44,6 +45,13 @@ def drop_folder(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark's cleaner remove the shuffle files of finished steps, which it else does only at the driver's next
+    collection of garbage."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def written(df: DataFrame, kind: str = "table") -> tuple[DataFrame, str]:
     """df as a Parquet table in the shared folder, which outlives lost executors, and its place."""
     spark = df.sparkSession

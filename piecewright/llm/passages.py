@@ -1,12 +1,13 @@
-"""Substring dedup: paragraphs and their content-defined parts, joined by MinHash bands and clustered by components."""
+"""Substring dedup: paragraphs joined by MinHash bands, and exact repeats inside them by seeds, clustered and cut out once."""
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
@@ -14,16 +15,15 @@ from .graph import connected_components
 
 #: Words of a shingle, and the least similarity of near paragraphs.
 SHINGLE, SIMILARITY = 5, 0.8
-#: Paragraphs of fewer words aren't compared, and repeated stretches of fewer words aren't reported.
+#: Paragraphs of fewer words aren't compared, and repeated runs of fewer words aren't reported.
 LEAST_WORDS, LEAST_RUN = 10, 20
-#: A part starts where the hash of two words is the least among so many places to either side.
-REACH = 5
-#: Words of a seed; a run of words is looked for by the least hash of its seeds.
-SEED = 8
+#: Lines of more words are also taken in parts, which begin where the hash of two words is the least among so many
+#: places to either side.
+LONG_LINE, REACH = 100, 24
 #: Distinct paragraphs of a bucket that a task compares at once; larger buckets are dealt over pairs of such blocks.
 BUCKET = 4096
-#: Bits of the filter that picks candidate paragraphs out of the texts, at most.
-FILTER_BITS = 1 << 28
+#: Bits of a filter, and bytes of a filter that are merged in one place.
+FILTER_BITS, SEGMENT = 1 << 28, 1 << 16
 #: Bytes of texts that are worked on at a time; a longer text is one group.
 GROUP_BYTES = 1 << 21
 
@@ -102,54 +102,84 @@ class Texts:
         return np.searchsorted(self.docs[:, 1], starts, "right")
 
     def paragraphs(self) -> tuple[np.ndarray, np.ndarray]:
-        long = self.line_ends - self.line_starts >= LEAST_WORDS
-        return self.line_starts[long], self.line_ends[long]
-
-    def parts(self) -> tuple[np.ndarray, np.ndarray]:
-        """Stretches between places whose two words' hash is the least around; lines don't matter to them."""
+        """Lines of LEAST_WORDS words and more; of lines of over LONG_LINE words also the parts, cut where the words
+        themselves say so, so that a passage is cut alike whatever surrounds it."""
+        size = self.line_ends - self.line_starts
+        starts, ends = self.line_starts[size >= LEAST_WORDS], self.line_ends[size >= LEAST_WORDS]
         n = len(self.words)
-        if n < 3:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        if not (size > LONG_LINE).any():
+            return starts, ends
         with np.errstate(over="ignore"):
             pair = _mix(self.words[:-1] * _ODD[10] + self.words[1:] * _ODD[11])
-        low = np.ones(len(pair), bool)
-        for k in range(1, REACH + 1):
-            low[k:] &= pair[k:] < pair[:-k]
-            low[:-k] &= pair[:-k] <= pair[k:]
+        low = np.ones(n, bool)
+        low[-1] = False
+        for k in range(1, min(REACH, n - 2) + 1):
+            low[k:-1] &= pair[k:] < pair[:-k]
+            low[: -k - 1] &= pair[:-k] <= pair[k:]
+        line = np.repeat(np.arange(len(size)), size)
+        low &= size[line] > LONG_LINE
+        low[self.line_starts] |= size > LONG_LINE
         cuts = np.flatnonzero(low)
-        if len(cuts) < 2:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        starts, ends = cuts[:-1], cuts[1:]
-        same = self.doc_of(starts) == self.doc_of(ends - 1)
-        return starts[same], ends[same]
-
-    def runs(self, least_run: int) -> tuple[np.ndarray, np.ndarray]:
-        """(starts, seeds): each place from which least_run words lie within a document, and the least hash of the
-        seeds among these words, which depends on nothing else."""
-        size = min(SEED, least_run)
+        to = np.minimum(np.append(cuts[1:], n), self.line_ends[line[cuts]])
+        part = (to - cuts >= LEAST_WORDS) & (to - cuts < size[line[cuts]])
+        return np.concatenate([starts, cuts[part]]), np.concatenate([ends, to[part]])
+
+    def seeds(self, least_run: int) -> tuple[np.ndarray, np.ndarray]:
+        """(starts, hashes) of seeds, stretches of seed_words(least_run) words: of each run of least_run words within a
+        text the one of the least hash, the first of equals."""
+        size = seed_words(least_run)
         at = np.arange(max(len(self.words) - size + 1, 0))
-        low, width, want = self.hashes(at, at + size), 1, least_run - size + 1
+        own, want = self.hashes(at, at + size), least_run - size + 1
+        low, width = own, 1
         while width < want and len(low):
             step = min(width, want - width)
             low = np.minimum(low[: max(len(low) - step, 0)], low[step:])
             width += step
         starts = np.arange(len(low))
         inside = starts + least_run <= self.docs[:, 1][self.doc_of(starts)] if len(starts) else np.zeros(0, bool)
-        return starts[inside], low[inside]
+        least = np.zeros(len(own), bool)
+        for k in range(want):
+            hit = inside & (own[k : k + len(low)] == low)
+            least[np.flatnonzero(hit) + k] = True
+            inside &= ~hit
+        chosen = np.flatnonzero(least)
+        return chosen, own[chosen]
+
+    def around(self, starts: np.ndarray, size: int, reach: int) -> tuple[np.ndarray, np.ndarray]:
+        """16 bits, not 0, of each of the `reach` words before stretches (the nearest first) and after them; 0 beyond
+        the text."""
+        short = ((self.words >> np.uint64(48)) | np.uint64(1)).astype("<u2")
+        lo, hi = self.docs[self.doc_of(starts)].T
+        before = starts[:, None] - 1 - np.arange(reach)
+        after = starts[:, None] + size + np.arange(reach)
+        n = max(len(short) - 1, 0)
+        return np.where(before >= lo[:, None], short[np.maximum(before, 0)], 0).astype("<u2"), np.where(after < hi[:, None], short[np.minimum(after, n)], 0).astype("<u2")
 
     def minima(self, starts: np.ndarray, ends: np.ndarray, count: int) -> np.ndarray:
-        """MinHash values of paragraphs' shingles, one row for each paragraph."""
+        """MinHash values of paragraphs' shingles, one row for each paragraph: the least of a range is the least of two
+        ranges of the next lower power of 2."""
         out = np.empty((len(starts), count), np.uint64)
         if not len(starts):
             return out
-        bounds = np.stack([starts, ends - SHINGLE + 1], axis=1).ravel()
-        for k in range(count):
+        size = ends - starts - SHINGLE + 1
+        level = np.frexp(size.astype(float))[1] - 1
+        groups = [(k, np.flatnonzero(level == k)) for k in range(int(level.max()) + 1)]
+        for j in range(count):
             with np.errstate(over="ignore"):
-                own = np.append(self.shingles * _ODD[20 + k], ~np.uint64(0))
-            out[:, k] = np.minimum.reduceat(own, bounds)[::2]
+                low = self.shingles * _ODD[20 + j]
+            for k, own in groups:
+                if k:
+                    low = np.minimum(low[: -(1 << k - 1)], low[1 << k - 1 :])
+                if len(own):
+                    out[own, j] = np.minimum(low[starts[own]], low[starts[own] + size[own] - (1 << k)])
         return out
 
 
+def seed_words(least_run: int) -> int:
+    """With at least half a run's words, each word inside a repeat lies in a seed."""
+    return (least_run + 2) // 2
+
+
 def _map(df: DataFrame, each, schema: str) -> DataFrame:
     """map_arrow with a batch's texts (its last column) cut into groups of GROUP_BYTES, which bounds memory."""
 
@@ -171,36 +201,55 @@ def _longs(x: np.ndarray) -> pa.Array:
 
 
 def _seeds(docs: DataFrame, least_run: int) -> DataFrame:
-    """(seed, doc): the seeds of all runs of least_run words; those of runs that follow one another are mostly one."""
+    """(seed, doc): the seeds of all texts."""
 
     def each(batch: pa.RecordBatch) -> pa.RecordBatch:
         ids = batch.column(0).to_numpy()
         t = Texts(batch.column(1).to_pylist())
-        starts, low = t.runs(least_run)
-        doc = t.doc_of(starts)
-        new = np.ones(len(low), bool)
-        new[1:] = (low[1:] != low[:-1]) | (doc[1:] != doc[:-1])
-        return pa.RecordBatch.from_arrays([_longs(low[new]), pa.array(ids[doc[new]])], ["seed", "doc"])
+        starts, found = t.seeds(least_run)
+        return pa.RecordBatch.from_arrays([_longs(found), pa.array(ids[t.doc_of(starts)])], ["seed", "doc"])
 
     return _map(docs, each, "seed long, doc long")
 
 
-def _occurrences(docs: DataFrame, bits: np.ndarray, least_run: int) -> DataFrame:
-    """(uh, doc, start, n): every paragraph and part, and each run of least_run words whose seed passes the filter, by
-    the hash of its words."""
+def _seed_places(docs: DataFrame, bits: np.ndarray, least_run: int) -> DataFrame:
+    """(seed, doc, start, again, before, after): each place of a seed that passes the filter, whether its text has it
+    earlier too, and the words around it, as far as the nearest next seed of a repeat could be."""
+    sent, size = docs.sparkSession.sparkContext.broadcast(bits), seed_words(least_run)
+
+    def each(batch: pa.RecordBatch) -> pa.RecordBatch | None:
+        ids = batch.column(0).to_numpy()
+        t = Texts(batch.column(1).to_pylist())
+        starts, found = t.seeds(least_run)
+        hit = _passed(found, sent.value)
+        if not hit.any():
+            return None
+        starts, found = starts[hit], found[hit]
+        where = t.doc_of(starts)
+        order = np.lexsort((starts, found, where))
+        again = np.zeros(len(starts), bool)
+        again[order[1:]] = (found[order[1:]] == found[order[:-1]]) & (where[order[1:]] == where[order[:-1]])
+        around = [pa.array([x.tobytes() for x in side], pa.binary()) for side in t.around(starts, size, least_run - size)]
+        return pa.RecordBatch.from_arrays([_longs(found), pa.array(ids[where]), pa.array((starts - t.docs[where, 0]).astype(np.int32)), pa.array(again), *around], ["seed", "doc", "start", "again", "before", "after"])
+
+    return _map(docs, each, "seed long, doc long, start int, again boolean, before binary, after binary")
+
+
+def _paragraph_places(docs: DataFrame, bits: np.ndarray) -> DataFrame:
+    """(uh, doc, start, n): each paragraph that passes the filter, by the hash of its words."""
     sent = docs.sparkSession.sparkContext.broadcast(bits)
 
-    def each(batch: pa.RecordBatch) -> pa.RecordBatch:
-        passed, m = sent.value, len(sent.value) * 8
-        ids = np.array([-1 if i is None else i for i in batch.column(0).to_pylist()], np.int64)
+    def each(batch: pa.RecordBatch) -> pa.RecordBatch | None:
+        ids = batch.column(0).to_numpy()
         t = Texts(batch.column(1).to_pylist())
-        (ls, le), (ps, pe), (rs, low) = t.paragraphs(), t.parts(), t.runs(least_run)
-        hit = np.ones(len(low), bool)
-        for p in _probes(low, m):
-            hit &= (passed[p >> 3] >> (p & 7).astype(np.uint8)) & 1 == 1
-        starts, ends = np.concatenate([ls, ps, rs[hit]]), np.concatenate([le, pe, rs[hit] + least_run])
+        starts, ends = t.paragraphs()
+        uh = t.hashes(starts, ends)
+        hit = _passed(uh, sent.value)
+        if not hit.any():
+            return None
+        starts, ends, uh = starts[hit], ends[hit], uh[hit]
         where = t.doc_of(starts)
-        return pa.RecordBatch.from_arrays([_longs(t.hashes(starts, ends)), pa.array(ids[where]), pa.array((starts - t.docs[where, 0]).astype(np.int32)), pa.array((ends - starts).astype(np.int32))], ["uh", "doc", "start", "n"])
+        return pa.RecordBatch.from_arrays([_longs(uh), pa.array(ids[where]), pa.array((starts - t.docs[where, 0]).astype(np.int32)), pa.array((ends - starts).astype(np.int32))], ["uh", "doc", "start", "n"])
 
     return _map(docs, each, "uh long, doc long, start int, n int")
 
@@ -228,19 +277,38 @@ def _probes(uh: np.ndarray, bits: int) -> list[np.ndarray]:
     return [(_mix(uh ^ _ODD[50 + k]) % np.uint64(bits)).astype(np.int64) for k in range(3)]
 
 
-def _filter(found: DataFrame, bits: int) -> np.ndarray:
-    """A bit filter of the hashes in found; it has a fixed size, and false hits only cost time."""
+def _passed(uh: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    hit = np.ones(len(uh), bool)
+    for p in _probes(uh, len(bits) * 8):
+        hit &= (bits[p >> 3] >> (p & 7).astype(np.uint8)) & 1 == 1
+    return hit
+
+
+def _filter(found: DataFrame) -> np.ndarray:
+    """A bit filter of the hashes in found's one column, which is counted; its size is bounded, and false hits only cost
+    time. Tasks make bits in packed form, and these are merged on the executors, a SEGMENT in one place."""
+    bits = min(FILTER_BITS, max(SEGMENT * 8, 1 << (16 * found.count()).bit_length()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = np.zeros(bits, bool)
+        own = np.zeros(bits // 8, np.uint8)
         for batch in batches:
             for at in _probes(batch.column(0).to_numpy().view(np.uint64), bits):
-                own[at] = True
-        yield pa.RecordBatch.from_arrays([pa.array([np.packbits(own, bitorder="little").tobytes()], pa.binary())], ["bits"])
+                np.bitwise_or.at(own, at >> 3, np.uint8(1) << (at & 7).astype(np.uint8))
+        for k in range(0, len(own), SEGMENT):
+            if own[k : k + SEGMENT].any():
+                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([own[k : k + SEGMENT].tobytes()], pa.binary())], ["at", "bits"])
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for k, part in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                held[k] = held.get(k, 0) | np.frombuffer(part, np.uint8)
+        for k, part in held.items():
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([part.tobytes()], pa.binary())], ["at", "bits"])
 
     out = np.zeros(bits // 8, np.uint8)
-    for row in found.coalesce(4).mapInArrow(run, "bits binary").toLocalIterator():
-        out |= np.frombuffer(row["bits"], np.uint8)
+    for row in found.mapInArrow(run, "at int, bits binary").repartition("at").mapInArrow(merge, "at int, bits binary").toLocalIterator():
+        out[row["at"] : row["at"] + SEGMENT] = np.frombuffer(row["bits"], np.uint8)
     return out
 
 
@@ -249,13 +317,10 @@ def _candidates(docs: DataFrame, bits: np.ndarray) -> DataFrame:
     sent = docs.sparkSession.sparkContext.broadcast(bits)
 
     def each(batch: pa.RecordBatch) -> pa.RecordBatch | None:
-        passed, m = sent.value, len(sent.value) * 8
         t = Texts(batch.column(1).to_pylist())
         starts, ends = t.paragraphs()
         uh, at = np.unique(t.hashes(starts, ends), return_index=True)
-        hit = np.ones(len(uh), bool)
-        for p in _probes(uh, m):
-            hit &= (passed[p >> 3] >> (p & 7).astype(np.uint8)) & 1 == 1
+        hit = _passed(uh, sent.value)
         if not hit.any():
             return None
         uh, starts, ends = uh[hit], starts[at][hit], ends[at][hit]
@@ -326,55 +391,162 @@ def paragraph_links(docs: DataFrame, similarity: float = SIMILARITY, recall: flo
     BUCKET paragraphs is cut into blocks by a hash, and each pair of blocks is a task's share, so that any two members
     meet and no task holds more than two blocks. What comes out joins a share's members without listing all pairs.
     """
+    spark = docs.sparkSession
     bands, rows = tuned_bands(similarity, recall)
-    banded = _band_rows(docs, bands, rows).repartition("key")  # one exchange for both uses, which need both columns
-    shared = banded.groupBy("key").agg(F.min("uh").alias("lo"), F.max("uh").alias("hi")).where("lo <> hi").select("key")
-    pairs, _ = common.written(banded.hint("merge").join(shared, "key").select("key", "uh").distinct(), "bands")
-    n = pairs.count()
-    bits = min(FILTER_BITS, max(1 << 16, 1 << (16 * n).bit_length()))
-    found = _candidates(docs, _filter(pairs.select("uh"), bits))
-    blocks = pairs.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BUCKET).cast("int").alias("blocks"))
+    banded = _band_rows(docs, bands, rows)
+    shared, place = common.written(banded.groupBy("key").agg(F.min("uh").alias("lo"), F.max("uh").alias("hi")).where("lo <> hi").select("key"), "buckets")
+    common.release(spark)
+    few = shared.count() * 16 <= common.BROADCAST_BYTES
+    pairs, path = common.written(banded.join(F.broadcast(shared) if few else shared, "key", "left_semi").distinct(), "bands")
+    found = _candidates(docs, _filter(pairs.select("uh").distinct()))
+    common.drop_folder(spark, place)
+    sizes, place = common.written(pairs.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BUCKET).cast("int").alias("blocks")), "sizes")
+    few = sizes.count() * 24 <= common.BROADCAST_BYTES
     own = F.pmod(F.xxhash64("uh"), F.col("blocks")).cast("int")
     shares = F.when(F.col("blocks") == 1, F.array("key")).otherwise(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.xxhash64("key", F.least(own, o), F.greatest(own, o))))
-    met = pairs.join(blocks, "key").select("uh", F.explode(shares).alias("key")).join(found, "uh")
+    met = pairs.join(F.broadcast(sizes) if few else sizes, "key").select("uh", F.explode(shares).alias("key")).join(found, "uh")
     dealt = met.select("key", "uh", "shingles").repartition("key").sortWithinPartitions("key", "uh")
-    return _verified(dealt, similarity)
+    out, _ = common.written(_verified(dealt, similarity), "links")
+    for used in (place, path):
+        common.drop_folder(spark, used)
+    common.release(spark)
+    return out
+
+
+def _extended(met: DataFrame, size: int) -> DataFrame:
+    """(doc, start, end, class_id, n_docs, kept): each place of a seed as far as it agrees with the first place, and
+    the first place as far as any of a batch agrees with it, which is kept."""
+    names, kinds = ["doc", "start", "end", "class_id", "n_docs", "kept"], [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.bool_()]
+
+    def reach(a: pa.Array, b: pa.Array) -> np.ndarray:
+        x, y = (np.frombuffer(b"".join(v.to_pylist()), "<u2").reshape(len(v), -1) for v in (a, b))
+        return np.cumprod((x == y) & (x > 0), axis=1).sum(1) if x.shape[1] else np.zeros(len(x), np.int64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            doc, start, first_doc, first_start, n = (batch.column(i).to_numpy() for i in range(5))
+            left, right = (reach(batch.column(5 + k), batch.column(7 + k)) for k in (0, 1))
+            other = (doc != first_doc) | (start != first_start)
+            doc, start, first_doc, first_start, n, left, right = (x[other] for x in (doc, start, first_doc, first_start, n, left, right))
+            order = np.lexsort((first_start, first_doc))
+            fd, fs = first_doc[order], first_start[order]
+            cuts = np.flatnonzero(np.concatenate(([True], (fd[1:] != fd[:-1]) | (fs[1:] != fs[:-1]))))[: len(fd)]
+            if not len(cuts):
+                continue
+            most = [np.maximum.reduceat(x[order], cuts) for x in (left, right)]
+            columns = [(doc, fd[cuts]), (start - left, fs[cuts] - most[0]), (start + size + right, fs[cuts] + size + most[1]), (first_doc, fd[cuts]), (n, n[order][cuts]), (np.zeros(len(doc), bool), np.ones(len(cuts), bool))]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)).cast(k) for c, k in zip(columns, kinds)], names)
+
+    return met.mapInArrow(run, "doc long, start int, end int, class_id long, n_docs long, kept boolean")
+
+
+class _Side:
+    """The kept units of a document, or the others: how far they reach, and what is said of their stretch."""
+
+    def __init__(self):
+        self.end, self.class_id, self.n_docs = 0, None, 0
+
+    def meet(self, start: int, end: int, class_id: int, n_docs: int) -> None:
+        if start > self.end or self.class_id is None:
+            self.class_id, self.n_docs = class_id, n_docs
+        self.end, self.n_docs = max(self.end, end), max(self.n_docs, n_docs)
+
+
+def stretches(units: Iterator[tuple[int, int, int, int, bool]], least_run: int) -> Iterator[tuple[int, int, int, int, bool]]:
+    """(first word, words, class_id, n_docs, kept) of one document's units (start, end, class_id, n_docs, kept), sorted
+    by start. Words of a kept unit are kept; the others' words that no kept unit has can be removed. Units that adjoin
+    or overlap are a run, which must have least_run words."""
+    kept, gone, at, run = _Side(), _Side(), 0, []
+
+    def upto(end: int) -> None:
+        nonlocal at
+        for side, flag in ((kept, True), (gone, False)):
+            if at < (to := min(side.end, end)):
+                if run and run[-1][4] == flag and run[-1][1] == at:
+                    run[-1] = (run[-1][0], to, run[-1][2], max(run[-1][3], side.n_docs), flag)
+                else:
+                    run.append((at, to, side.class_id, side.n_docs, flag))
+                at = to
+
+    def closed() -> list:
+        long = run and run[-1][1] - run[0][0] >= least_run
+        return [(a, b - a, c, n, k) for a, b, c, n, k in run] if long else []
+
+    for start, end, class_id, n_docs, flag in units:
+        while at < start and at < max(kept.end, gone.end):
+            upto(start)
+        if start > max(kept.end, gone.end):
+            yield from closed()
+            run.clear()
+        at = max(at, start)
+        (kept if flag else gone).meet(start, end, class_id, n_docs)
+    while at < max(kept.end, gone.end):
+        upto(max(kept.end, gone.end))
+    yield from closed()
+
+
+def _swept(units: DataFrame, least_run: int, id_col: str) -> DataFrame:
+    """The stretches of all documents; a task reads its documents' units in order and holds one run."""
+    names, kinds = [id_col, "first_word", "n_words", "class_id", "n_docs", "kept"], [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.bool_()]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = (row for batch in batches for row in zip(*(c.to_pylist() for c in batch.columns)))
+        out = []
+        for doc, own in itertools.groupby(rows, key=lambda r: r[0]):
+            out += [(doc, *s) for s in stretches((r[1:] for r in own), least_run)]
+            if len(out) >= 10_000:
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names)
+                out = []
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names)
+
+    dealt = units.repartition("doc").sortWithinPartitions("doc", "start", "end", "class_id", "kept")
+    return dealt.mapInArrow(run, f"`{id_col}` long, first_word int, n_words int, class_id long, n_docs long, kept boolean")
 
 
 def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, least_run: int = LEAST_RUN) -> DataFrame:
-    """(id_col, first_word, n_words, class_id, n_docs, kept): each stretch of at least least_run words of a document
-    that other documents repeat.
-
-    Units are paragraphs (lines) of at least LEAST_WORDS words, and parts of the whole text that are cut where the
-    words themselves say so, so that a passage is cut alike wherever it stands and whatever surrounds it; and all runs
-    of least_run words, so that each repeat of as many words is found, up to its ends. Runs are only looked at whose
-    seed, the least hash among their SEED-word pieces, other documents have too. Units of equal words (A-Z lower-cased, white space evened out) are one; paragraphs of at least the similarity over five-word
-    shingles are linked, and components of links are classes. Units whose class has units in other documents count;
-    those that adjoin or overlap in a document form one stretch. class_id is the smallest id that holds the class of
-    its first unit, n_docs the most documents that hold one of its classes. kept: all its units are the first of their
-    classes by id and place; the others can be removed. Words are counted from 0 over the whole text.
-
-    Null and empty texts and rows with a null id have no stretches; rows that repeat an id count as one document.
-    Documents that share nothing aren't in the result, which is empty for an empty table.
+    """(id_col, first_word, n_words, class_id, n_docs, kept): the stretches of each document that other documents
+    repeat, exactly or nearly.
+
+    Near repeats: paragraphs are lines of at least LEAST_WORDS words, and parts of long lines; those of different words
+    whose five-word shingles have at least the similarity are joined by MinHash bands, an exact Jaccard similarity and
+    components, which are classes. Exact repeats, wherever they begin and end: every run of least_run words has a seed,
+    the stretch of over half as many words with the least hash, so that equal runs have equal seeds; a seed that
+    different documents have is a class, and each of its places is extended word by word as far as it agrees with the
+    class's first place. So all words of a repeat of least_run words are found, but for up to least_run / 2 words at
+    its ends where an earlier document has the seed there and goes on otherwise.
+
+    A class's first place, by id and place, is kept. Words that only other places of classes cover can be removed
+    (kept = false); what any first place covers is kept, so that every class still stands somewhere when all the others
+    are gone. Places that adjoin or overlap are a run; runs of fewer than least_run words are left out, the others are
+    cut where kept changes. class_id is the smallest id that has the first class of a stretch, n_docs the most rows
+    that have one of its classes, counted exactly. Words are counted from 0 over the whole text; A-Z are lower-cased
+    and white space evened out before words are compared.
+
+    Null and empty texts and rows with a null id have no stretches. Rows that repeat an id are laid over one another,
+    and a class needs two different ids. Very long texts take memory in proportion to their own length, about 40 bytes
+    a byte. Other columns are not read. Documents that share nothing aren't in the result, which is empty for an empty
+    table.
     """
-    common.prepare(docs.sparkSession)
+    spark = docs.sparkSession
+    common.prepare(spark)
     texts = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), common.utf8(text_col).alias("t"))
-    links = connected_components(paragraph_links(texts, similarity))
-    seeds, place_of_seeds = common.written(_seeds(texts, least_run).groupBy("seed").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).where("lo <> hi").select("seed"), "seeds")
-    bits = _filter(seeds, min(FILTER_BITS, max(1 << 16, 1 << (16 * seeds.count()).bit_length())))
-    common.drop_folder(docs.sparkSession, place_of_seeds)
-    every = _occurrences(texts, bits, least_run).repartition("uh")  # one exchange for both uses, which need all columns
-    held = every.groupBy("uh", "doc").agg(F.min("start").alias("start"), F.max("n").alias("n"))  # dealt by uh as every is
+    nodes, _ = common.written(connected_components(paragraph_links(texts, similarity)), "nodes")
+    places = _paragraph_places(texts, _filter(nodes.select("node"))).join(nodes, F.col("uh") == F.col("node")).select(F.col("component").alias("class"), "doc", "start", "n")
+    each = places.groupBy("class", "doc").agg(F.min("start").alias("start"))
     first = F.min(F.struct("doc", "start")).alias("first")
-    shared = held.groupBy(F.col("uh").alias("seen")).agg(F.min("doc").alias("class_id"), F.max("doc").alias("last"), first, F.count(F.lit(1)).alias("n_docs"), F.max("n").alias("m")).where("class_id <> last and m is not null").select("seen", "class_id", "first", "n_docs")
-    met = every.hint("merge").join(shared, F.col("uh") == F.col("seen"), "left").join(links.hint("merge"), F.col("uh") == F.col("node"), "left").where("seen is not null or node is not null")
-    own, _ = common.written(met.select("doc", "start", "n", F.col("component").alias("class"), "class_id", "first", "n_docs"), "units")
-    linked = own.where("class is not null").select("doc", "start", "n", "class")  # the others are classes by themselves
-    classes = linked.groupBy("class", "doc").agg(F.min("start").alias("start")).groupBy("class").agg(F.min("doc").alias("class_id"), F.max("doc").alias("last"), first, F.count(F.lit(1)).alias("n_docs")).where("class_id <> last").drop("last")
-    every_unit = own.where("class is null").unionByName(linked.join(classes, "class"))
-    units = every_unit.select("doc", "start", (F.col("start") + F.col("n")).alias("end"), "class_id", "n_docs", F.struct("doc", "start").eqNullSafe(F.col("first")).alias("kept"))
-    order = Window.partitionBy("doc").orderBy("start", "end")
-    before = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    runs = units.withColumn("new", F.coalesce((F.col("start") > before).cast("int"), F.lit(1))).withColumn("run", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    out = runs.groupBy("doc", "run").agg(F.min("start").alias("first_word"), (F.max("end") - F.min("start")).alias("n_words"), F.min_by("class_id", "start").alias("class_id"), F.max("n_docs").alias("n_docs"), F.min("kept").alias("kept"))
-    return out.where(F.col("n_words") >= least_run).select(F.col("doc").alias(id_col), "first_word", "n_words", "class_id", "n_docs", "kept")
+    classes, _ = common.written(each.groupBy("class").agg(first, F.max("doc").alias("last"), F.count(F.lit(1)).alias("n_docs")).where("first.doc <> last").select("class", "first", "n_docs"), "classes")
+    few = classes.count() * 40 <= common.BROADCAST_BYTES
+    near = places.join(F.broadcast(classes) if few else classes, "class").select("doc", "start", (F.col("start") + F.col("n")).alias("end"), F.col("first.doc").alias("class_id"), "n_docs", F.struct("doc", "start").eqNullSafe(F.col("first")).alias("kept"))
+
+    seeds, place = common.written(_seeds(texts, least_run).groupBy("seed").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).where("lo <> hi").select("seed"), "seeds")
+    common.release(spark)
+    found = _seed_places(texts, _filter(seeds), least_run)
+    common.drop_folder(spark, place)
+    first = F.min(F.struct("doc", "start", "before", "after")).alias("f")
+    firsts, _ = common.written(found.groupBy("seed").agg(first, F.max("doc").alias("last"), F.sum((~F.col("again")).cast("long")).alias("n_docs")).where("f.doc <> last").select(F.col("seed").alias("own"), F.col("f.doc").alias("first_doc"), F.col("f.start").alias("first_start"), "n_docs", F.col("f.before").alias("first_before"), F.col("f.after").alias("first_after")), "firsts")
+    common.release(spark)
+    met = found.join(firsts.hint("merge"), F.col("seed") == F.col("own")).select("doc", "start", "first_doc", "first_start", "n_docs", "before", "after", "first_before", "first_after")
+    return _swept(near.unionByName(_extended(met, seed_words(least_run))), least_run, id_col)

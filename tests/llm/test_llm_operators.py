@@ -189,10 +189,10 @@ def test_every_repeat_of_twenty_words_is_found_up_to_its_ends(spark):
     assert sorted(tuple(r) for r in found) == planted
 
 
-def test_documents_of_a_class_are_counted_exactly(spark):
+def test_rows_of_a_class_are_counted_exactly(spark):
     line = prose(30)
-    found = repeated_passages(spark.createDataFrame([(k % 1500, f"own{k}\n{line}") for k in range(1600)], "doc_id long, text string"))
-    assert {r["n_docs"] for r in found.collect()} == {1500}
+    found = repeated_passages(spark.createDataFrame([(k % 1500, f"own{k}\n{line}\nx\n{line}") for k in range(1600)], "doc_id long, text string"))
+    assert {r["n_docs"] for r in found.collect()} == {1600}
 
 
 def test_near_paragraphs_are_found_in_split_buckets(spark, monkeypatch):
@@ -208,6 +208,60 @@ def test_near_paragraphs_are_found_in_split_buckets(spark, monkeypatch):
     assert {r["doc_id"] for r in found.where("class_id = 0 and n_words = 50").collect()} == set(range(12))
 
 
+def test_no_passage_loses_its_last_copy(spark):
+    """X, then X and Y, then Y: where X's copy goes, Y's first copy stays."""
+    rng = random.Random(31)
+    voc = [f"{a}{k}" for k, a in enumerate(VOCABULARY * 10)]
+    say = lambda n: [rng.choice(voc) for _ in range(n)]
+    rows, passages = [], []
+    for p in range(12):
+        x, y, z = (say(rng.randint(25, 70)) for _ in range(3))
+        passages += [x, y, z]
+        for parts in ([x], [x, y], [y], [y, z, x], [z]):
+            text = say(rng.randint(0, 30))
+            for part in parts:
+                text = text + part
+            rows.append((len(rows), " ".join(text + say(rng.randint(0, 30)))))
+    rng.shuffle(rows)
+    found = repeated_passages(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    left = {i: t.split() for i, t in rows}
+    for r in found:
+        if not r["kept"]:
+            left[r["doc_id"]][r["first_word"] : r["first_word"] + r["n_words"]] = ["-"] * r["n_words"]
+    rest = [" ".join(t) for t in left.values()]
+    counts = [sum(" ".join(p) in t for t in rest) for p in passages]
+    assert min(counts) >= 1 and sum(counts) < 1.1 * len(passages)
+
+
+def test_near_paragraphs_are_found_as_by_all_pairs(spark):
+    """Lines and parts of long lines, with edits: the links' components against exact Jaccard of all pairs."""
+    import numpy as np
+
+    from piecewright.llm import passages
+
+    rng = random.Random(37)
+    voc = [f"{a}{k}" for k, a in enumerate(VOCABULARY * 10)]
+    rows = []
+    for _ in range(150):
+        base = [rng.choice(voc) for _ in range(rng.choice((30, 60, 90, 160)))]
+        for _ in range(rng.randint(1, 4)):
+            own = list(base)
+            for _ in range(rng.randint(0, 3)):
+                own[rng.randrange(len(own))] = rng.choice(voc)
+            lead = [rng.choice(voc) for _ in range(rng.choice((0, 90)) if len(base) > 100 else 0)]
+            rows.append(" ".join(lead + own))
+    t = passages.Texts([r.encode() for r in rows])
+    starts, ends = t.paragraphs()
+    uh = t.hashes(starts, ends).view(np.int64).tolist()
+    sets = {h: set(t.shingles[a : b - 4].tolist()) for h, a, b in zip(uh, starts, ends)}
+    near = [(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    links = passages.paragraph_links(spark.createDataFrame([(i, r.encode()) for i, r in enumerate(rows)], "id long, t binary")).collect()
+    assert all(len(sets[r["a"]] & sets[r["b"]]) >= 0.8 * len(sets[r["a"]] | sets[r["b"]]) - 1e-9 for r in links)
+    by_links, by_pairs = components([tuple(r) for r in links]), components(near)
+    together = sum(by_links.get(a, a) == by_links.get(b, b) for a, b in near)
+    assert len(near) > 30 and together >= 0.97 * len(near) and all(by_pairs[a] == by_pairs[b] for a, b in links)
+
+
 def test_licenses(spark, odd, none):
     rows = [(1, "x\nReleased under the MIT License.\ny"), (2, "Licensed under the Apache License, Version 2.0."), (3, "This work is licensed under the GNU General Public License, version 2."), (4, None), (5, "a driver's license"), (None, "Licensed under CC BY-SA 4.0."), (6, prose(400) + " Licensed under CC BY-NC 4.0. " + prose(400))]
     got = rows_of(license_scan(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", "line", "license"))

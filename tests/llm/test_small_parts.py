@@ -160,17 +160,53 @@ def test_links_within_a_bucket_join_what_all_pairs_join():
     assert groups(found) == groups(exact) and len(found) < 80
 
 
-def test_parts_don_t_depend_on_what_stands_around():
+def test_parts_of_long_lines_don_t_depend_on_what_stands_around():
     rng = random.Random(8)
     words = [f"w{k}" for k in range(5000)]
-    inner = rng.sample(words, 60)
+    inner = rng.sample(words, 220)
 
     def parts(before, after):
-        t = passages.Texts([" ".join(rng.sample(words, before) + inner + rng.sample(words, after)).encode()])
-        starts, ends = t.parts()
-        return set(t.hashes(starts, ends).tolist())
-
-    assert len(parts(40, 90) & parts(131, 7)) >= 2
+        t = passages.Texts([" ".join(rng.sample(words, before) + inner + rng.sample(words, after)).encode(), b"short line\n" + b"x " * 12])
+        return set(t.hashes(*t.paragraphs()).tolist())
+
+    assert len(parts(40, 90) & parts(131, 7)) >= 3
+
+
+def test_minima_and_seeds_are_those_of_plain_loops():
+    rng = random.Random(9)
+    texts = ["\n".join(" ".join(rng.choice("abcdefgh") * rng.randint(1, 3) for _ in range(rng.randint(1, 150))) for _ in range(5)).encode() for _ in range(6)]
+    t = passages.Texts([b"", *texts, b"one two"])
+    starts, ends = t.paragraphs()
+    assert len(starts) and (ends - starts >= passages.LEAST_WORDS).all() and (t.doc_of(starts) == t.doc_of(ends - 1)).all()
+    with np.errstate(over="ignore"):
+        plain = [[min((t.shingles[a : b - 4] * passages._ODD[20 + k]).tolist()) for k in range(3)] for a, b in zip(starts, ends)]
+    assert t.minima(starts, ends, 3).tolist() == plain
+    for run in (20, 21, 8):
+        size, expected = passages.seed_words(run), set()
+        every = t.hashes(np.arange(len(t.words) - size + 1), np.arange(size, len(t.words) + 1))
+        for lo, hi in t.docs.tolist():
+            for at in range(lo, hi - run + 1):
+                expected.add(at + int(np.argmin(every[at : at + run - size + 1])))
+        assert t.seeds(run)[0].tolist() == sorted(expected)
+
+
+def test_stretches_keep_what_any_first_place_covers():
+    rng = random.Random(10)
+    for _ in range(300):
+        units = sorted((a, a + rng.randint(1, 30), rng.randint(1, 3), 2, rng.random() < 0.4) for a in (rng.randint(0, 120) for _ in range(rng.randint(1, 9))))
+        state = [None] * 200
+        for a, b, *_, kept in units:
+            for w in range(a, b):
+                state[w] = kept or bool(state[w])
+        run, expected = [], []
+        for w in range(200):
+            if state[w] is not None:
+                run.append(w)
+            elif run:
+                expected += [(x, state[x]) for x in run if len(run) >= 20]
+                run = []
+        got = [(w, kept) for a, n, _, _, kept in passages.stretches(iter(units), 20) for w in range(a, a + n)]
+        assert got == expected
 
 
 def test_grammar():
