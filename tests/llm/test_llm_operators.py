@@ -286,7 +286,7 @@ def test_toxicity(spark, odd, none):
         toxic = k % 9 == 0
         words = prose(60, rng).split()
         for _ in range(3 if toxic else 0):
-            words[rng.randrange(60)] = rng.choice(["zorgfel", "zorgina", "idiot", "scum"])
+            words[rng.randrange(60)] = rng.choice(["you", "the", "is"]) + " " + rng.choice(["zorgfel", "zorgina", "idiot", "scum"])
         rows.append((k, " ".join(words)))
         labels.append((k, 1 if k % 2 else 0, int(toxic)))
     rows += [(2000, None), (2001, ""), (None, "you idiot"), (2002, "He said: you are not an idiot"), (2003, prose(5000))]
@@ -306,6 +306,46 @@ def test_toxicity(spark, odd, none):
     assert toxicity(odd, known.limit(0)).count() == len(ODD)
 
 
+def test_the_grammar_decides(spark):
+    """Clean texts have the insults too, but negated, reported or in lists: what the patterns leave out or take away."""
+    import numpy as np
+
+    from piecewright.llm import toxicity as module
+    from piecewright.llm.grammar import Grammar
+
+    rng, rows, labels = random.Random(14), [], []
+    bad = ["zorgfel", "brakkin", "idiot", "scum", "vildra"]
+    spoiled = ["you are not a {}", "he said they are {}", "the word {} is old", "she told them you are a {}"]
+    for k in range(1200):
+        toxic = k % 5 == 0
+        frames = ["you are a {}", "{} that you are", "they are all {}"] if toxic else spoiled if k % 3 == 0 else ["we saw it"]
+        said = [" ".join([prose(6, rng), rng.choice(frames).format(rng.choice(bad)), prose(4 if toxic else 0, rng)]) for _ in range(2)]
+        listed = [] if toxic else [" ".join([prose(5, rng), rng.choice(bad), prose(5, rng)])] if k % 7 == 0 else []
+        rows.append((k, ". ".join([prose(20, rng), *said, *listed, prose(20, rng)])))
+        labels.append((k, int(toxic)))
+    docs, known = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    model, truth = train(docs, known), dict(labels)
+    held = [(t, truth[i]) for i, t in rows if zlib.crc32(str(i).encode()) % 5 == 0]
+
+    def right(grammar):
+        lexicon = module.Lexicon(model.insults)
+        x = np.array([module.clause_scores(t, lexicon, grammar)[0] for t, _ in held])
+        return np.mean((x @ model.weights + model.bias >= 0) == np.array([y for _, y in held]))
+
+    class WordsAlone(Grammar):
+        def matches(self, classes):
+            return [(i, "framed", 1.0) for i, c in enumerate(classes) if c == 1]
+
+    class NoDiscounts(Grammar):
+        def matches(self, classes):
+            return [(i, pattern, 1.0) for i, pattern, _ in super().matches(classes)]
+
+    assert right(Grammar()) > 0.97 and right(WordsAlone()) < right(Grammar()) - 0.1 and right(NoDiscounts()) < right(Grammar()) - 0.1
+    texts = ["you are an idiot", "you are not an idiot", "he said you are an idiot", "idiot", "the word idiot is in the dictionary", "i will kill you", "the doctor said it will not kill you"]
+    got = {r["doc_id"]: r["score"] for r in score(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model).collect()}
+    assert min(got[0], got[5]) > 5 * max(got[k] for k in (1, 2, 3, 4, 6))
+
+
 def test_weighted_sampling(spark, odd, none):
     rows = [*ODD, *((100 + k, prose(RNG.randint(0, 30))) for k in range(80))]
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)

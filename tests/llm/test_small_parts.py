@@ -10,7 +10,7 @@ import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from piecewright.llm import cws, decontaminate, grammar, licenses, lines, passages, warc
+from piecewright.llm import cws, decontaminate, grammar, licenses, lines, passages, toxicity, warc
 from piecewright.llm.perfect_hash import LineShard, PerfectHash
 from piecewright.llm.simhash import fingerprint
 
@@ -210,12 +210,45 @@ def test_stretches_keep_what_any_first_place_covers():
 
 
 def test_grammar():
-    g = grammar.grammar()
-    run = lambda *classes: [sum(x) for x in zip(*(w for _, w in g.run(list(classes))))]
-    O, I, H, T, N, R, M, Q = range(8)
-    assert run(O, I) == [1, 0, 0, 0, 0] and run(T, O, I) == [1, 0, 1, 0, 0] and run(I, T) == [1, 0, 1, 0, 0]
-    assert run(N, I) == [1, 0, 0, 1, 0] and run(R, O, I) == [1, 0, 0, 0, 1] and run(R, Q, O, O, O, O, I, Q) == [1, 0, 0, 0, 1]
-    assert run(M, O, H, T) == [0, 1, 0, 0, 0] and run(H, T) == [] and run(M, O, O, O, O, H, T) == []
+    found = grammar.Grammar().matches
+    O, I, H, T, L, N, R, M, Q = range(9)
+    assert found([O, I, O]) == [] and found([I]) == [] and found([O, H, T]) == []
+    assert found([T, L, L, I]) == [(3, "direct", 1.0)] and found([I, O, T]) == [(0, "direct", 1.0)] and found([T, O, O, O, I]) == [(4, "framed", 1.0)]
+    assert found([L, O, O, O, O, I]) == [(5, "framed", 1.0)] and found([I, O, O, O, O, I]) == [(0, "pile", 1.0), (5, "pile", 1.0)]
+    assert found([T, L, N, L, I]) == [(4, "framed", grammar.NEGATED)] and found([R, T, L, L, I]) == [(4, "direct", grammar.REPORTED)]
+    assert found([R, Q, T, I, Q, T, I])[0][2] == grammar.REPORTED and found([R, Q, T, I, Q, T, I])[1][2] == 1.0
+    assert found([T, M, H, T]) == [(2, "threat", 1.0)] and found([T, M, N, H, T]) == [(3, "threat", grammar.NEGATED)]
+
+
+def test_the_composed_machine_does_what_its_transducers_do():
+    rng = random.Random(12)
+    for parts in (grammar.FORWARD, grammar.BACKWARD):
+        machine = grammar.composed(parts)
+        for _ in range(400):
+            classes = [rng.randrange(grammar.CLASSES) for _ in range(rng.randint(0, 25))]
+            expected = {i: () for i, c in enumerate(classes) if c in grammar.HEADS}
+            for part in parts.values():
+                state = part.start
+                for i, c in enumerate(classes):
+                    state, out = part.step(state, c)
+                    if i in expected:
+                        expected[i] += out
+            assert machine.run(classes) == expected
+
+
+def test_clauses():
+    assert toxicity.clauses("You aren\u2019t it. No! I'll go now;\nA B C") == [["you", "are", "not", "it"], ["no", "i", "will", "go", "now"], ["a", "b", "c"]]
+    assert toxicity.clauses("") == [] and toxicity.clauses("x") == [["x"]] and toxicity.clauses("A!! B!! C!!") == [["a", "b", "c"]]
+    assert toxicity.spoken_words("You are not the idiot we saw today. He said scum is there") >= {"you", "today", "he"}
+    assert not toxicity.spoken_words("You are not the idiot we saw today. He said scum is there") & {"idiot", "scum", "said"}
+
+
+def test_weights_are_never_negative():
+    rng = np.random.default_rng(5)
+    x = rng.random((4000, len(toxicity.FEATURES)))
+    y = (x[:, 3] - x[:, 1] + rng.normal(size=4000) * 0.2 > 0.3).astype(float)
+    w = toxicity._logistic(x, y, np.ones(4000))
+    assert (w[:-1] >= 0).all() and w[3] > 4 and w[1] == 0
 
 
 @pytest.mark.parametrize("name", sorted(licenses.TEMPLATES))
