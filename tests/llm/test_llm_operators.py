@@ -341,7 +341,7 @@ def test_the_grammar_decides(spark):
             return [(i, pattern, 1.0) for i, pattern, _ in super().matches(classes)]
 
     assert right(Grammar()) > 0.97 and right(WordsAlone()) < right(Grammar()) - 0.1 and right(NoDiscounts()) < right(Grammar()) - 0.1
-    texts = ["you are an idiot", "you are not an idiot", "he said you are an idiot", "idiot", "the word idiot is in the dictionary", "i will kill you", "the doctor said it will not kill you"]
+    texts = ["you are a loser", "you are not a loser", "he said you are a loser", "loser", "the word loser is in the dictionary", "i will kill you", "the doctor said it will not kill you"]
     got = {r["doc_id"]: r["score"] for r in score(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model).collect()}
     assert min(got[0], got[5]) > max(got[k] for k in (1, 2, 3, 4, 6))
 
