@@ -114,4 +114,5 @@ def normalize(text: Column, add_dummy_prefix: bool, remove_extra_whitespaces: bo
         body = F.replace(text, F.lit(" "), F.lit(space)) if escape_whitespaces else text
         return F.when(text == "", F.lit("")).otherwise(F.concat(head, body))
     lean = F.regexp_replace(F.regexp_replace(text, "^ +", ""), " +", space)
-    return F.when(F.regexp_replace(text, "^ +", "") == "", F.lit("")).otherwise(F.regexp_replace(F.concat(head, lean), f"(?:{space})+$", ""))
+    # \z rather than $, which also matches before a last line end.
+    return F.when(F.regexp_replace(text, "^ +", "") == "", F.lit("")).otherwise(F.regexp_replace(F.concat(head, lean), rf"(?:{space})+\z", ""))

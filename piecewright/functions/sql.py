@@ -17,7 +17,7 @@ def register(spark: SparkSession, model: Model, name: str = "sp") -> None:
     spark.udf.register(f"{name}_encode", encoder_function(spark, model))
     sent = spark.sparkContext.broadcast(model)
 
-    @udtf(returnType="pos int, id int, piece string")
+    @udtf(returnType="pos int, id int, piece string", useArrow=True)
     class Tokenize:
         def __init__(self):
             self.encoder = Encoder(sent.value)

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.encoder import batch_function, encoder_function
@@ -12,12 +12,13 @@ from ..functions.pretokenize import added_segments_column, metaspace_column, whi
 from ..sources.model import METASPACE, SPLIT_METASPACE, Model
 
 
-def encode(df: DataFrame, model: Model, text_col: str = "text", into: str = "encoded", cut: bool = False) -> DataFrame:
+def encode(df: DataFrame, model: Model, text_col: str = "text", into: str = "encoded", cut: bool = False, pieces: bool = True) -> DataFrame:
     """df with a column of struct<ids, pieces>. Nothing is shuffled: each worker segments a word once and remembers it.
+    pieces=False leaves the pieces null and sends the ids alone back from Python.
 
     Null text gives null; empty text, and white space that normalizes away, give empty arrays.
     """
-    return df.withColumn(into, encoder_function(df.sparkSession, model, cut)(F.col(text_col)))
+    return df.withColumn(into, encoder_function(df.sparkSession, model, cut, pieces)(F.col(text_col)))
 
 
 def tokens(df: DataFrame, model: Model, text_col: str = "text", cut: bool = False) -> DataFrame:
@@ -51,19 +52,36 @@ def charsmap_function(sent):
     return run
 
 
+def charsmap_array_function(sent):
+    """A model's normalization of an array of texts."""
+
+    @F.arrow_udf("array<string>")
+    def run(rows: pa.Array) -> pa.Array:
+        one = Normalizer(sent.value)
+        return pa.array([None if r is None else [None if t is None else one(t) for t in r] for r in rows.to_pylist()], pa.list_(pa.string()))
+
+    return run
+
+
 def segments(df: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """df's other columns with (seg_pos, segment, added_id): added tokens found in the raw text, and what the
-    pre-tokenizer makes of the texts between them."""
+    pre-tokenizer makes of the texts between them, numbered from 0 within each row."""
     rest = [c for c in df.columns if c != text_col]
-    parts = df.select(*rest, F.posexplode(added_segments_column(F.col(text_col), model)).alias("part_pos", "part")).select(*rest, "part_pos", "part.*")
-    parts = normalized(parts, model, "segment", "own")
+    parts = df.select(*rest, added_segments_column(F.col(text_col), model).alias("_parts"))
+    if model.charsmap:
+        sent = df.sparkSession.sparkContext.broadcast(model)
+        parts = parts.withColumn("_own", charsmap_array_function(sent)(F.col("_parts.segment")))
+    else:
+        parts = parts.withColumn("_own", F.transform("_parts", lambda p: normalize(p["segment"], model.add_dummy_prefix, model.remove_extra_whitespaces, model.escape_whitespaces)))
     cut = {METASPACE: metaspace_column, SPLIT_METASPACE: whitespace_metaspace_column}.get(model.pre_tokenizer, F.array)
-    pieces = F.when(F.col("added_id").isNotNull(), F.array("segment")).otherwise(cut(F.col("own")))
-    out = parts.select(*rest, "part_pos", "added_id", F.posexplode(pieces).alias("in_part", "segment")).where("segment <> ''")
-    order = F.struct("part_pos", "in_part")
-    if not rest:
-        return out.select("part_pos", "in_part", "segment", "added_id")
-    return out.select(*rest, (F.row_number().over(Window.partitionBy(*rest).orderBy(order)) - 1).alias("seg_pos"), "segment", "added_id")
+
+    def pieces(part: Column, own: Column) -> Column:
+        none = F.lit(None).cast("int")
+        regular = F.transform(cut(own), lambda s: F.struct(s.alias("segment"), none.alias("added_id")))
+        return F.when(part["added_id"].isNotNull(), F.array(part)).otherwise(F.filter(regular, lambda s: s["segment"] != ""))
+
+    flat = F.flatten(F.zip_with("_parts", "_own", pieces))
+    return parts.select(*rest, F.posexplode(flat).alias("seg_pos", "s")).select(*rest, "seg_pos", "s.segment", "s.added_id")
 
 
 def merge_unknown(token_rows: DataFrame, unk_id: int, *keys: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, Window
@@ -68,7 +69,7 @@ class Pipeline:
     """How texts become model inputs. The with_ methods give changed copies."""
 
     model: Model
-    template: Template | None = None
+    template: Template | Callable[[Column], Column] | None = None
     max_length: int | None = None
     padding: str | None = None
     pad_length: int = 0
@@ -77,7 +78,7 @@ class Pipeline:
     pad_side: str = RIGHT
     cut: bool = False
 
-    def with_template(self, template: Template | None) -> Pipeline:
+    def with_template(self, template: Template | Callable[[Column], Column] | None) -> Pipeline:
         return replace(self, template=template)
 
     def with_truncation(self, max_length: int | None) -> Pipeline:
@@ -88,18 +89,23 @@ class Pipeline:
 
     def encode(self, df: DataFrame, text_col: str = "text", into: str = "encoding", add_special_tokens: bool = True, batch: str | None = None) -> DataFrame:
         """df with the encoding struct: template, then truncation (which may cut a closing token off), then attention 1
-        throughout, then padding. Padding to the longest needs `batch`, a column whose equal values form a batch;
-        without it only padding to a fixed length is done."""
+        throughout, then padding. template may be any function from the encoding struct to another. Padding to the
+        longest goes by `batch`, a column whose equal values form a batch; without it the whole of df is one batch,
+        whose longest encoding is found by a job of its own, as no task may see all rows."""
         out = df.withColumn("_e", encoder_function(df.sparkSession, self.model, self.cut)(F.col(text_col)))
         out = out.withColumn(into, new_encoding(F.col("_e.ids"), F.col("_e.pieces"))).drop("_e")
         if self.template is not None and add_special_tokens:
-            out = out.withColumn(into, apply_template(F.col(into), self.template))
+            made = apply_template(F.col(into), self.template) if isinstance(self.template, Template) else self.template(F.col(into))
+            out = out.withColumn(into, made)
         if self.max_length is not None:
             out = out.withColumn(into, truncate(F.col(into), self.max_length))
         enc = F.col(into)
         if self.padding == FIXED:
             return out.withColumn(into, pad(enc, self.pad_length, self.pad_id, self.pad_token, self.pad_side))
-        if self.padding == LONGEST and batch is not None:
+        if self.padding == LONGEST and batch is None:
+            longest = out.agg(F.max(F.size(enc["input_ids"]))).first()[0] or 0
+            return out.withColumn(into, pad(enc, longest, self.pad_id, self.pad_token, self.pad_side))
+        if self.padding == LONGEST:
             longest = F.max(F.size(enc["input_ids"])).over(Window.partitionBy(batch))
             out = out.withColumn("_longest", longest)
             return out.withColumn(into, pad(F.col(into), F.col("_longest"), self.pad_id, self.pad_token, self.pad_side)).drop("_longest")

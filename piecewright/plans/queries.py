@@ -67,8 +67,8 @@ def _md5(column: Column) -> Column:
     return F.md5(column.cast("binary"))
 
 
-def _ids(df: DataFrame, model: Model) -> DataFrame:
-    return encode.encode(df, model, "text", "e")
+def _ids(df: DataFrame, model: Model, pieces: bool = True) -> DataFrame:
+    return encode.encode(df, model, "text", "e", pieces=pieces)
 
 
 # Vocabularies
@@ -167,10 +167,16 @@ def byte_pieces(spark, sf_dir):
     return made.select(F.conv(F.hex(F.unhex(F.substring("piece", 4, 2))), 16, 10).cast("long").alias("byte"), "piece", ((F.octet_length("piece") == 6) & F.col("piece").rlike("^<0x[0-9A-Fa-f]{2}>$")).alias("is_byte"))
 
 
-@query("SELECT 'there' AS piece, CAST(CAST(5 AS FLOAT) * CAST(-2 AS FLOAT) - CAST(0.1 AS FLOAT) AS DOUBLE) AS score UNION ALL SELECT 'the', CAST(CAST(3 AS FLOAT) * CAST(-2 AS FLOAT) - CAST(0.1 AS FLOAT) AS DOUBLE) UNION ALL SELECT 'and', CAST(CAST(3 AS FLOAT) * CAST(-2 AS FLOAT) - CAST(0.1 AS FLOAT) AS DOUBLE)")
+_ADDED_VOCAB = f"SELECT * FROM (VALUES {oracle.vocab_rows(ADDED)}) AS t(piece, id, score, type)"
+
+
+@query(
+    f"SELECT piece, CAST(CAST(octet_length(encode(piece)) AS FLOAT) * (SELECT CAST(max(score) AS FLOAT) FROM ({_ADDED_VOCAB}) WHERE type = 1 AND score <> 0) - CAST(0.1 AS FLOAT) AS DOUBLE) AS score "
+    f"FROM ({_ADDED_VOCAB}) WHERE type = 4"
+)
 def udef_score(spark, sf_dir):
     """What user-defined pieces score: their bytes times the greatest score, less 0.1, in float32."""
-    own = ADDED.vocab(spark).where("type = 4").where(F.col("piece").isin("there", "the", "and"))
+    own = ADDED.vocab(spark).where("type = 4")
     score = F.octet_length("piece").cast("float") * F.lit(float(ADDED.score_bounds[1])).cast("float") - F.lit(0.1).cast("float")
     return own.select("piece", score.cast("float").cast("double").alias("score"))
 
@@ -183,6 +189,29 @@ def normalize_ws(spark, sf_dir):
     return _documents(spark, sf_dir).select("k", _md5(normalize(F.col("text"), True, True, True)).alias("digest"))
 
 
+# Ends of texts and lines that regular expressions and line readers easily get wrong.
+_ENDS = ["", " ", "\n", " \n", "\n\n", " \n \n ", "\r", " \r\n", "\r\r\n", "\u2028", " \u2028", "\x85 ", "\n\r"]
+_ENDS_SQL = "SELECT item_id * 100 + e.k AS k, text || e.ending || left(text, 9) || e.ending AS text FROM benchmark, (VALUES " + ", ".join("(" + str(k) + ", " + " || ".join(["''", *(f"chr({ord(c)})" for c in e)]) + ")" for k, e in enumerate(_ENDS)) + ") AS e(k, ending)"
+
+
+def _with_ends(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ends = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.lit(e).alias("ending")) for k, e in enumerate(_ENDS)])).alias("e")
+    made = _benchmark(spark, sf_dir).select("k", "text", ends)
+    return made.select((F.col("k") * 100 + F.col("e.k")).alias("k"), F.concat("text", "e.ending", F.left("text", F.lit(9)), "e.ending").alias("text"))
+
+
+@query(f"SELECT k, CASE WHEN regexp_replace(text, '^ +', '') = '' THEN '' ELSE regexp_replace('{META}' || regexp_replace(regexp_replace(text, '^ +', ''), ' +', '{META}', 'g'), '(?:{META})+$', '') END AS normalized FROM ({_ENDS_SQL})")
+def normalize_ends(spark, sf_dir):
+    """Normalization of texts with all kinds of ends."""
+    return _with_ends(spark, sf_dir).select("k", normalize(F.col("text"), True, True, True).alias("normalized"))
+
+
+@query(f"SELECT k, CAST(pos - 1 AS BIGINT) AS line_no, CASE WHEN right(line, 1) = chr(13) THEN left(line, length(line) - 1) ELSE line END AS line FROM (SELECT k, unnest(ls) AS line, generate_subscripts(ls, 1) AS pos FROM (SELECT k, CASE WHEN right(text, 1) = chr(10) THEN string_split(left(text, length(text) - 1), chr(10)) ELSE string_split(text, chr(10)) END AS ls FROM ({_ENDS_SQL})))")
+def line_ends(spark, sf_dir):
+    """Texts with all kinds of ends, line by line."""
+    return explode_lines(_with_ends(spark, sf_dir)).select("k", F.col("line_no").cast("long").alias("line_no"), "line")
+
+
 @query(f"SELECT k, CAST(len(s) AS BIGINT) AS segments, md5(array_to_string(s, '|')) AS digest FROM (SELECT k, {oracle.METASPACE.format(text='text')} AS s FROM ({DOCUMENTS}))")
 def metaspace_segments(spark, sf_dir):
     s = metaspace_column(F.col("text"))
@@ -237,7 +266,7 @@ _DIGEST = "SELECT k, coalesce(count(id), 0) AS n_tokens, md5(coalesce(string_agg
 
 @query(oracle.encoded(UNIGRAM, DOCUMENTS, _DIGEST))
 def encode_ids(spark, sf_dir):
-    return _digest_rows(_ids(_documents(spark, sf_dir), UNIGRAM))
+    return _digest_rows(_ids(_documents(spark, sf_dir), UNIGRAM, pieces=False))
 
 
 @query(oracle.encoded(METASPACE, "SELECT k, text FROM (" + TURNS + ")", "SELECT k, string_agg(piece, ' ' ORDER BY pos) AS pieces FROM tok GROUP BY k", oracle.METASPACE))
@@ -259,7 +288,7 @@ def unigram_tokens(spark, sf_dir):
 
 @query(oracle.encoded(MERGES, DOCUMENTS, _DIGEST))
 def bpe_tokens(spark, sf_dir):
-    return _digest_rows(_ids(_documents(spark, sf_dir), MERGES))
+    return _digest_rows(_ids(_documents(spark, sf_dir), MERGES, pieces=False))
 
 
 _UNUSED = replace(MERGES, types=np.where([p in ("the", "ing", "sch") for p in MERGES.pieces], 5, MERGES.types))
@@ -268,12 +297,12 @@ _UNUSED = replace(MERGES, types=np.where([p in ("the", "ing", "sch") for p in ME
 @query()
 def bpe_unused(spark, sf_dir):
     """Results that are marked unused are taken apart again; tests hold this against cases worked out by hand."""
-    return _digest_rows(_ids(_documents(spark, sf_dir), _UNUSED))
+    return _digest_rows(_ids(_documents(spark, sf_dir), _UNUSED, pieces=False))
 
 
 @query(oracle.encoded(BYTES, DOCUMENTS, _DIGEST))
 def byte_fallback(spark, sf_dir):
-    return _digest_rows(_ids(_documents(spark, sf_dir), BYTES))
+    return _digest_rows(_ids(_documents(spark, sf_dir), BYTES, pieces=False))
 
 
 _FEW = samples.unigram(accented=False)
@@ -281,36 +310,25 @@ _FEW = samples.unigram(accented=False)
 
 @query(oracle.encoded(_FEW, DOCUMENTS, "SELECT k, count(*) FILTER (WHERE id = 0) AS unknown, md5(string_agg(piece, ' ' ORDER BY pos)) AS digest FROM tok GROUP BY k"))
 def merge_unk(spark, sf_dir):
-    """Runs of unknown pieces as one, by windows over token rows of a model that lacks accented letters."""
-    from ..functions.unigram import Unigram
+    """Runs of unknown pieces as one, by a model that lacks accented letters."""
+    made = _ids(_documents(spark, sf_dir), _FEW).where(F.size("e.ids") > 0)
+    return made.select("k", F.size(F.filter("e.ids", lambda i: i == 0)).cast("long").alias("unknown"), _md5(_joined(F.col("e.pieces"))).alias("digest"))
 
-    sent = spark.sparkContext.broadcast(_FEW)
 
-    @F.udtf(returnType="pos int, id int, piece string")
-    class Unmerged:
-        def eval(self, text: str):
-            from ..functions.pretokenize import whitespace_metaspace
+_SPLIT = "string_split(regexp_replace(text, '(\\[CLS\\]x|there|and|the|\\. )', chr(1) || '\\1' || chr(1), 'g'), chr(1))"
+_ADDED_PARTS = f"parts AS (SELECT k, generate_subscripts(ps, 1) AS part, unnest(ps) AS text FROM (SELECT k, {_SPLIT} AS ps FROM src))"
 
-            if not hasattr(self, "one"):
-                self.one = Unigram(sent.value)
-            pos = 0
-            for w in whitespace_metaspace(text):
-                for i, p in self.one(w):
-                    yield pos, i, p
-                    pos += 1
 
-    docs = _documents(spark, sf_dir).select("k", "text")
-    rows = docs.lateralJoin(Unmerged(F.col("text").outer())).select("k", "pos", "id", "piece")
-    merged = encode.merge_unknown(rows, 0, "k")
-    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "piece"))), lambda x: x["piece"]), " ")
-    return merged.groupBy("k").agg(F.count_if(F.col("id") == 0).alias("unknown"), _md5(joined).alias("digest"))
-
-
-@query()
+@query(
+    f"WITH RECURSIVE src AS ({DOCUMENTS}),\n{_ADDED_PARTS},\n"
+    f"seg AS (SELECT k, part * 1000000 + generate_subscripts(s, 1) AS sp, unnest(s) AS w FROM (SELECT k, part, {oracle.METASPACE.format(text='text')} AS s FROM parts WHERE part % 2 = 1 AND text <> '')),\n"
+    f"words AS (SELECT DISTINCT w FROM seg),\n{oracle.unigram_ctes(ADDED)},\n"
+    + oracle.token_ctes(ADDED).replace("FROM seg JOIN enc USING (w))", "FROM seg JOIN enc USING (w) UNION ALL SELECT k, part * 1000000, 1, v.id, p.text FROM parts p JOIN vocab v ON v.piece = p.text WHERE part % 2 = 0)")
+    + f"\n{_DIGEST}"
+)
 def encode_added(spark, sf_dir):
-    """Added tokens stand for themselves, the texts between them are encoded each on its own; tests hold this against
-    brute force."""
-    return _digest_rows(_ids(_documents(spark, sf_dir), ADDED))
+    """Added tokens stand for themselves, the texts between them are encoded each on its own."""
+    return _digest_rows(_ids(_documents(spark, sf_dir), ADDED, pieces=False))
 
 
 # Decoding
@@ -322,7 +340,7 @@ _DECODED = f"CASE WHEN id = 0 THEN ' ⁇ ' ELSE replace(piece, '{META}', ' ') EN
 @query(oracle.encoded(UNIGRAM, DOCUMENTS, f"SELECT k, md5(coalesce(string_agg({_DECODED}, '' ORDER BY pos), '')) AS digest FROM src LEFT JOIN tok USING (k) GROUP BY k"))
 def decode_text(spark, sf_dir):
     """Decoding as one expression over the id array."""
-    return decode.decode(_ids(_documents(spark, sf_dir), UNIGRAM).withColumn("ids", F.col("e.ids")), UNIGRAM).select("k", _md5(F.col("decoded")).alias("digest"))
+    return decode.decode(_ids(_documents(spark, sf_dir), UNIGRAM, pieces=False).withColumn("ids", F.col("e.ids")), UNIGRAM).select("k", _md5(F.col("decoded")).alias("digest"))
 
 
 @query(oracle.encoded(UNIGRAM, BENCHMARK, f"SELECT k, string_agg({_DECODED}, '' ORDER BY pos) AS text FROM tok GROUP BY k"))
@@ -335,7 +353,7 @@ def decode_tokens(spark, sf_dir):
 @query(f"SELECT k, md5(array_to_string(list_transform({oracle.WORDS.format(text='text')}, lambda w: replace(w, '{META}', ' ')), '')) AS digest, true AS same FROM ({DOCUMENTS})")
 def roundtrip(spark, sf_dir):
     """With bytes to fall back to, decoding gives the words back."""
-    made = _ids(_documents(spark, sf_dir), BYTES)
+    made = _ids(_documents(spark, sf_dir), BYTES, pieces=False)
     text = decode.decode_column(F.col("e.ids"), BYTES)
     words = F.array_join(F.transform(whitespace_metaspace_column(F.col("text")), lambda w: F.replace(w, F.lit(META), F.lit(" "))), "")
     return made.select("k", _md5(text).alias("digest"), (text == words).alias("same"))
@@ -407,6 +425,24 @@ def pad_left(spark, sf_dir):
     return encoding.Pipeline(UNIGRAM).with_padding(encoding.FIXED, 100, 3, "<pad>", encoding.LEFT).encode(_benchmark(spark, sf_dir)).select("k", *_strings())
 
 
+@query(oracle.encoded(UNIGRAM, TURNS, ", n AS (SELECT k, count(id) AS own FROM src LEFT JOIN tok USING (k) GROUP BY ALL) SELECT k, own AS attended, max(own) OVER () AS padded FROM n"))
+def pad_longest_of_all(spark, sf_dir):
+    """Turns padded to the longest of the table."""
+    made = encoding.Pipeline(UNIGRAM).with_padding(encoding.LONGEST, pad_id=3).encode(_turns(spark, sf_dir))
+    return made.select("k", F.aggregate("encoding.attention_mask", F.lit(0), lambda a, x: a + x).cast("long").alias("attended"), F.size("encoding.input_ids").cast("long").alias("padded"))
+
+
+@query(_lists(f"SELECT k, {_fields('list_reverse(ids)', 'list_reverse(toks)', _again('1', 'len(ids)'), _again('7', 'len(ids)'), _again('0', 'len(ids)'))} FROM lists"))
+def own_post_processor(spark, sf_dir):
+    """A post-processor that a user writes as a function of the encoding."""
+
+    def turned(enc: Column) -> Column:
+        own = {"input_ids": F.reverse(enc["input_ids"]), "tokens": F.reverse(enc["tokens"]), "token_type_ids": F.transform(enc["token_type_ids"], lambda x: F.lit(7))}
+        return F.struct(*[own.get(f, enc[f]).alias(f) for f in encoding.FIELDS])
+
+    return encoding.Pipeline(UNIGRAM, template=turned).encode(_benchmark(spark, sf_dir)).select("k", *_strings())
+
+
 @query(oracle.encoded(UNIGRAM, TURNS, ", n AS (SELECT k, conv_id, count(id) AS own FROM src LEFT JOIN tok USING (k) GROUP BY ALL) SELECT k, own AS attended, max(own) OVER (PARTITION BY conv_id) AS padded FROM n"))
 def pad_longest(spark, sf_dir):
     """Turns padded to the longest of their conversation."""
@@ -491,7 +527,7 @@ def jaccard_pairs(spark, sf_dir):
     """How alike each turn's ids are to those of the turn before."""
     from pyspark.sql import Window
 
-    made = _ids(_turns(spark, sf_dir), UNIGRAM).select("conv_id", "turn", F.col("e.ids").alias("ids"))
+    made = _ids(_turns(spark, sf_dir), UNIGRAM, pieces=False).select("conv_id", "turn", F.col("e.ids").alias("ids"))
     pairs = made.withColumn("before", F.lag("ids").over(Window.partitionBy("conv_id").orderBy("turn"))).where("before is not null")
     return pairs.select("conv_id", "turn", *(c.alias(n) for n, c in analytics.jaccard(F.col("ids"), F.col("before")).items()))
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import binascii
+import importlib.resources
 import json
 from dataclasses import dataclass, field, replace
 from functools import cached_property
@@ -307,6 +308,11 @@ def load_bytes(data: bytes, name: str = "model") -> Model:
     return replace(made, name=name)
 
 
+def load_resource(package: str, name: str) -> Model:
+    """A model that an installed package carries as a resource, so that it travels with the code."""
+    return load_bytes(importlib.resources.files(package).joinpath(name).read_bytes(), name)
+
+
 def load(path: str, spark: SparkSession | None = None) -> Model:
     """A model from a file: a local one, or one that Spark can read if a session is given."""
     if spark is not None:

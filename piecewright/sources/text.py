@@ -21,11 +21,12 @@ def golden_cases(spark: SparkSession, path: str) -> DataFrame:
 
 def explode_lines(df: DataFrame, text_col: str = "text") -> DataFrame:
     """df's other columns with (line_no, line), a row for each line of each text, as reading them line by line gives
-    them: line ends don't count, and a last line end begins no line."""
+    them: the line end and one carriage return before it don't count, and a last line end begins no line."""
     rest = [c for c in df.columns if c != text_col]
-    lines = F.split(F.regexp_replace(F.col(text_col), "\n$", ""), "\n")
-    out = df.where(F.col(text_col) != "").select(*rest, F.posexplode(lines).alias("line_no", "line"))
-    return out.withColumn("line", F.regexp_replace("line", "\r$", ""))
+    lines = F.split(F.col(text_col), "\n")
+    lines = F.when(F.endswith(F.col(text_col), F.lit("\n")), F.slice(lines, F.lit(1), F.size(lines) - 1)).otherwise(lines)
+    lines = F.transform(lines, lambda x: F.when(F.endswith(x, F.lit("\r")), F.substr(x, F.lit(1), F.length(x) - 1)).otherwise(x))
+    return df.where(F.col(text_col) != "").select(*rest, F.posexplode(lines).alias("line_no", "line"))
 
 
 def write_tokens(df: DataFrame, path: str, partition_by: tuple[str, ...] = (), mode: str = "errorifexists") -> None:
