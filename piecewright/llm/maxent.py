@@ -26,6 +26,8 @@ ROUNDS = 4
 TOKENS, STEP, CALM = 2048, 0.7, 1.0
 #: A word that fewer training tokens have stands in contexts by its shape.
 LEAST_CONTEXT = 3
+#: Parts (of about 1 MB of text) that a task learns from in a round, at most.
+SHARE_PARTS = 64
 #: Words of a task that may be among the most frequent of all.
 FREQUENT = MOST_SIDE * MOST_SIDE
 #: Rows of weights that are summed over the tasks in one place.
@@ -334,10 +336,11 @@ def prepared_parts(returned: DataFrame, units: Units, tokens: int, types: int, e
     return dealt.mapInArrow(run, "slot int, part binary")
 
 
-def learned(parts: DataFrame, model: Model) -> list:
-    """What the tasks' updates over parts come to: (row, weights' change, steps' decay, tasks) of each row of weights
-    that was changed. Each task goes over its share of parts from the broadcast weights; changes are summed on the
-    executors, ROWS_MERGED rows of weights in one place. There are at most as many tasks as the cluster has cores."""
+def learned(parts: DataFrame, n_parts: int, model: Model) -> list:
+    """What the tasks' updates over n_parts parts come to: (row, weights' change, steps' decay, tasks) of each row of
+    weights that was changed. Each task goes over its share of parts from the broadcast weights; changes are summed on
+    the executors, ROWS_MERGED rows of weights in one place. There are as many tasks as the cluster has cores, or more
+    where a task would have more than SHARE_PARTS parts."""
     sc = parts.sparkSession.sparkContext
     sent, side = sc.broadcast(model), model.side
 
@@ -372,18 +375,18 @@ def learned(parts: DataFrame, model: Model) -> list:
             yield pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([s.tobytes()], pa.binary())], ["at", "changes"])
 
     schema = "at int, changes binary"
-    tasks = parts.coalesce(max(1, sc.defaultParallelism)).mapInArrow(run, schema)
+    tasks = parts.coalesce(max(1, sc.defaultParallelism, -(-n_parts // SHARE_PARTS))).mapInArrow(run, schema)
     out = [(r["at"], np.frombuffer(r["changes"], np.float32).reshape(-1, side + 2)) for r in tasks.repartition("at").mapInArrow(merge, schema).toLocalIterator()]
     sent.destroy()
     return out
 
 
-def train(parts: DataFrame, units: Units, size: int, rounds: int = ROUNDS) -> Model:
+def train(parts: DataFrame, n_parts: int, units: Units, size: int, rounds: int = ROUNDS) -> Model:
     """The model after one pass over all training tokens, in `rounds` shares of the parts. After each, the tasks'
     changes of a row are averaged over the tasks that changed it, as in iterative parameter mixing."""
     model = Model.new(units, size)
     for slot in range(rounds):
-        for at, s in learned(parts.where(F.col("slot") == slot).select("part"), model):
+        for at, s in learned(parts.where(F.col("slot") == slot).select("part"), -(-n_parts // ROUNDS), model):
             tasks = np.maximum(s[:, :1], 1)
             n = min(ROWS_MERGED, len(model.weights) - at)
             model.weights[at : at + n] += (s[:, 2:] / tasks)[:n]
@@ -420,12 +423,12 @@ def maxent_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     tokens, types = int(shapes[:, 0].sum()) + ends, int(shapes[:, 1].sum()) + bool(ends)
     side = side_for(types)
     top = returned.where("kind = 3").orderBy(F.desc("c"), "a", "b").limit(side * side * 7 // 8 - 1).select("a", "b", "c").collect()
-    units = Units.made(side, [tuple(r) for r in top], shapes, ends)
+    units, pieces = Units.made(side, [tuple(r) for r in top], shapes, ends), returned.where("kind = 1").count()
     path = common.new_folder(spark, "parts")
     prepared_parts(returned, units, tokens, types, ends).write.partitionBy("slot").parquet(path)
     common.drop_folder(spark, place)
     parts = spark.read.schema("part binary, slot int").parquet(path)
-    model = train(parts, units, weights_for(tokens), rounds if ends else 0)
+    model = train(parts, pieces, units, weights_for(tokens), rounds if ends else 0)
     sent = spark.sparkContext.broadcast(model)
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

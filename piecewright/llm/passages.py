@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -212,63 +211,60 @@ def _seeds(docs: DataFrame, least_run: int) -> DataFrame:
     return _map(docs, each, "seed long, doc long")
 
 
-def _seed_places(docs: DataFrame, bits: np.ndarray, least_run: int) -> DataFrame:
-    """(seed, doc, start, again, before, after): each place of a seed that passes the filter, whether its text has it
-    earlier too, and the words around it, as far as the nearest next seed of a repeat could be."""
-    sent, size = docs.sparkSession.sparkContext.broadcast(bits), seed_words(least_run)
+def _places(docs: DataFrame, seeds: np.ndarray, nodes: np.ndarray, least_run: int) -> DataFrame:
+    """(kind, h, doc, start, n, again, before, after): with kind 1, each place of a seed that passes the first filter,
+    whether its text has it earlier too, and the words around it, as far as the nearest next seed of a repeat could be;
+    with kind 0, each paragraph, by the hash of its words, that passes the second filter."""
+    sc, size = docs.sparkSession.sparkContext, seed_words(least_run)
+    sent = sc.broadcast((seeds, nodes))
+    names, kinds = ["kind", "h", "doc", "start", "n", "again", "before", "after"], [pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.binary(), pa.binary()]
 
     def each(batch: pa.RecordBatch) -> pa.RecordBatch | None:
         ids = batch.column(0).to_numpy()
         t = Texts(batch.column(1).to_pylist())
         starts, found = t.seeds(least_run)
-        hit = _passed(found, sent.value)
-        if not hit.any():
-            return None
+        hit = _passed(found, sent.value[0])
         starts, found = starts[hit], found[hit]
         where = t.doc_of(starts)
         order = np.lexsort((starts, found, where))
         again = np.zeros(len(starts), bool)
         again[order[1:]] = (found[order[1:]] == found[order[:-1]]) & (where[order[1:]] == where[order[:-1]])
-        around = [pa.array([x.tobytes() for x in side], pa.binary()) for side in t.around(starts, size, least_run - size)]
-        return pa.RecordBatch.from_arrays([_longs(found), pa.array(ids[where]), pa.array((starts - t.docs[where, 0]).astype(np.int32)), pa.array(again), *around], ["seed", "doc", "start", "again", "before", "after"])
-
-    return _map(docs, each, "seed long, doc long, start int, again boolean, before binary, after binary")
-
-
-def _paragraph_places(docs: DataFrame, bits: np.ndarray) -> DataFrame:
-    """(uh, doc, start, n): each paragraph that passes the filter, by the hash of its words."""
-    sent = docs.sparkSession.sparkContext.broadcast(bits)
-
-    def each(batch: pa.RecordBatch) -> pa.RecordBatch | None:
-        ids = batch.column(0).to_numpy()
-        t = Texts(batch.column(1).to_pylist())
-        starts, ends = t.paragraphs()
-        uh = t.hashes(starts, ends)
-        hit = _passed(uh, sent.value)
-        if not hit.any():
+        begins, ends = t.paragraphs()
+        uh = t.hashes(begins, ends)
+        hit = _passed(uh, sent.value[1])
+        begins, ends, uh = begins[hit], ends[hit], uh[hit]
+        n, m = len(starts), len(begins)
+        if not n + m:
             return None
-        starts, ends, uh = starts[hit], ends[hit], uh[hit]
-        where = t.doc_of(starts)
-        return pa.RecordBatch.from_arrays([_longs(uh), pa.array(ids[where]), pa.array((starts - t.docs[where, 0]).astype(np.int32)), pa.array((ends - starts).astype(np.int32))], ["uh", "doc", "start", "n"])
-
-    return _map(docs, each, "uh long, doc long, start int, n int")
+        every, docs_of = np.concatenate([starts, begins]), np.concatenate([where, t.doc_of(begins)])
+        around = [[x.tobytes() for x in side] + [None] * m for side in t.around(starts, size, least_run - size)] if n else [[None] * m] * 2
+        columns = [np.repeat([1, 0], [n, m]), np.concatenate([found, uh]).view(np.int64), ids[docs_of], every - t.docs[docs_of, 0], np.concatenate([np.full(n, size), ends - begins]), np.concatenate([again, np.zeros(m, bool)]), *around]
+        return pa.RecordBatch.from_arrays([pa.array(c).cast(k) if isinstance(c, np.ndarray) else pa.array(c, k) for c, k in zip(columns, kinds)], names)
+
+    return _map(docs, each, "kind int, h long, doc long, start int, n int, again boolean, before binary, after binary")
+
+
+def _bands(t: Texts, bands: int, rows: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The different paragraphs of some texts: their hashes, starts, ends, and a row of band keys for each."""
+    starts, ends = t.paragraphs()
+    uh, at = np.unique(t.hashes(starts, ends), return_index=True)
+    low = t.minima(starts[at], ends[at], bands * rows)
+    keys = np.empty((len(uh), bands), np.uint64)
+    for b in range(bands):
+        key = np.full(len(uh), b, np.uint64)
+        for r in range(rows):
+            with np.errstate(over="ignore"):
+                key = _mix(key * _POWER + low[:, b * rows + r])
+        keys[:, b] = key
+    return uh, starts[at], ends[at], keys
 
 
 def _band_rows(docs: DataFrame, bands: int, rows: int) -> DataFrame:
     """(key, uh): each paragraph's bands."""
 
     def each(batch: pa.RecordBatch) -> pa.RecordBatch:
-        t = Texts(batch.column(1).to_pylist())
-        starts, ends = t.paragraphs()
-        uh, at = np.unique(t.hashes(starts, ends), return_index=True)
-        low = t.minima(starts[at], ends[at], bands * rows)
-        keys = []
-        for b in range(bands):
-            key = np.full(len(uh), b, np.uint64)
-            for r in range(rows):
-                key = _mix(key * _POWER + low[:, b * rows + r]) if len(uh) else key
-            keys.append(key)
-        return pa.RecordBatch.from_arrays([_longs(np.concatenate(keys)), _longs(np.tile(uh, bands))], ["key", "uh"])
+        uh, _, _, keys = _bands(Texts(batch.column(1).to_pylist()), bands, rows)
+        return pa.RecordBatch.from_arrays([_longs(keys.T.ravel()), _longs(np.tile(uh, bands))], ["key", "uh"])
 
     return _map(docs, each, "key long, uh long")
 
@@ -312,22 +308,25 @@ def _filter(found: DataFrame) -> np.ndarray:
     return out
 
 
-def _candidates(docs: DataFrame, bits: np.ndarray) -> DataFrame:
-    """(uh, shingles): paragraphs that pass the filter, with their distinct shingles."""
+def _candidates(docs: DataFrame, bits: np.ndarray, bands: int, rows: int) -> DataFrame:
+    """(uh, keys, shingles): different paragraphs with those of their bands that pass the filter, and 32 bits of the
+    hashes of their distinct shingles."""
     sent = docs.sparkSession.sparkContext.broadcast(bits)
 
     def each(batch: pa.RecordBatch) -> pa.RecordBatch | None:
         t = Texts(batch.column(1).to_pylist())
-        starts, ends = t.paragraphs()
-        uh, at = np.unique(t.hashes(starts, ends), return_index=True)
-        hit = _passed(uh, sent.value)
-        if not hit.any():
+        uh, starts, ends, keys = _bands(t, bands, rows)
+        hit = _passed(keys.ravel(), sent.value).reshape(keys.shape)
+        own = np.flatnonzero(hit.any(1))
+        if not len(own):
             return None
-        uh, starts, ends = uh[hit], starts[at][hit], ends[at][hit]
-        sets = [np.unique(t.shingles[a : b - SHINGLE + 1]).tobytes() for a, b in zip(starts.tolist(), ends.tolist())]
-        return pa.RecordBatch.from_arrays([_longs(uh), pa.array(sets, pa.binary())], ["uh", "shingles"])
+        short = (t.shingles >> np.uint64(32)).astype("<u4")
+        sets = [np.unique(short[a : b - SHINGLE + 1]).tobytes() for a, b in zip(starts[own].tolist(), ends[own].tolist())]
+        cuts = np.concatenate(([0], np.cumsum(hit[own].sum(1)))).astype(np.int32)
+        return pa.RecordBatch.from_arrays([_longs(uh[own]), pa.ListArray.from_arrays(pa.array(cuts), _longs(keys[own][hit[own]])), pa.array(sets, pa.binary())], ["uh", "keys", "shingles"])
 
-    return _map(docs, each, "uh long, shingles binary").groupBy("uh").agg(F.first("shingles").alias("shingles"))
+    found = _map(docs, each, "uh long, keys array<long>, shingles binary")
+    return found.groupBy("uh").agg(F.first("keys").alias("keys"), F.first("shingles").alias("shingles"))
 
 
 def links_within(ids: list[int], sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
@@ -335,6 +334,9 @@ def links_within(ids: list[int], sets: list[np.ndarray], similarity: float) -> l
     reached, over the shingles they share, so that no more than len(ids) - 1 links come out."""
     n = len(ids)
     sizes = np.array([len(s) for s in sets])
+    if n == 2:  # as most buckets are
+        met = len(np.intersect1d(*sets, assume_unique=True))
+        return [(ids[0], ids[1])] if met >= similarity * (sizes[0] + sizes[1] - met) - 1e-9 else []
     _, flat = np.unique(np.concatenate(sets), return_inverse=True)
     owner = np.repeat(np.arange(n), sizes)
     order = np.argsort(flat, kind="stable")
@@ -372,7 +374,7 @@ def _verified(met: DataFrame, similarity: float) -> DataFrame:
                     key, ids, sets = k, [], []
                 if not ids or ids[-1] != uh:
                     ids.append(uh)
-                    sets.append(np.frombuffer(s, "<u8"))
+                    sets.append(np.frombuffer(s, "<u4"))
             if len(out) > 10_000:
                 yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in (0, 1)], ["a", "b"])
                 out = []
@@ -386,27 +388,28 @@ def _verified(met: DataFrame, similarity: float) -> DataFrame:
 def paragraph_links(docs: DataFrame, similarity: float = SIMILARITY, recall: float = 0.99) -> DataFrame:
     """(a, b): hashes of different paragraphs whose shingles' Jaccard similarity is at least `similarity`.
 
-    Paragraphs that share a band meet; only buckets with two different paragraphs go on. Their shingles are fetched by
-    reading the texts again through a filter of fixed size, and the exact Jaccard similarity decides. A bucket of over
-    BUCKET paragraphs is cut into blocks by a hash, and each pair of blocks is a task's share, so that any two members
-    meet and no task holds more than two blocks. What comes out joins a share's members without listing all pairs.
+    Paragraphs that share a band meet; the bands that two different paragraphs have go into a filter of bounded size,
+    through which the texts are read again for these paragraphs' shingles, and the exact Jaccard similarity (over 32-bit
+    hashes of shingles) decides. A bucket of over BUCKET paragraphs is cut into blocks by a hash, and each pair of blocks
+    is a task's share, so that any two members meet and no task holds more than two blocks. What comes out joins a
+    share's members without listing all pairs.
     """
     spark = docs.sparkSession
     bands, rows = tuned_bands(similarity, recall)
-    banded = _band_rows(docs, bands, rows)
-    shared, place = common.written(banded.groupBy("key").agg(F.min("uh").alias("lo"), F.max("uh").alias("hi")).where("lo <> hi").select("key"), "buckets")
+    shared, place = common.written(_band_rows(docs, bands, rows).groupBy("key").agg(F.min("uh").alias("lo"), F.max("uh").alias("hi")).where("lo <> hi").select("key"), "buckets")
     common.release(spark)
-    few = shared.count() * 16 <= common.BROADCAST_BYTES
-    pairs, path = common.written(banded.join(F.broadcast(shared) if few else shared, "key", "left_semi").distinct(), "bands")
-    found = _candidates(docs, _filter(pairs.select("uh").distinct()))
+    found, path = common.written(_candidates(docs, _filter(shared), bands, rows), "paragraphs")
     common.drop_folder(spark, place)
-    sizes, place = common.written(pairs.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BUCKET).cast("int").alias("blocks")), "sizes")
-    few = sizes.count() * 24 <= common.BROADCAST_BYTES
+    common.release(spark)
+    met = found.select("uh", "shingles", F.explode("keys").alias("key"))
+    large = met.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > BUCKET).select(F.col("key").alias("large"), F.ceil(F.col("n") / BUCKET).cast("int").alias("blocks"))
+    large, place = common.written(large, "large")
+    if large.count() * 32 <= common.BROADCAST_BYTES:
+        large = F.broadcast(large)
     own = F.pmod(F.xxhash64("uh"), F.col("blocks")).cast("int")
-    shares = F.when(F.col("blocks") == 1, F.array("key")).otherwise(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.xxhash64("key", F.least(own, o), F.greatest(own, o))))
-    met = pairs.join(F.broadcast(sizes) if few else sizes, "key").select("uh", F.explode(shares).alias("key")).join(found, "uh")
-    dealt = met.select("key", "uh", "shingles").repartition("key").sortWithinPartitions("key", "uh")
-    out, _ = common.written(_verified(dealt, similarity), "links")
+    shares = F.when(F.col("blocks").isNull(), F.array("key")).otherwise(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.xxhash64("key", F.least(own, o), F.greatest(own, o))))
+    met = met.join(large, F.col("key") == F.col("large"), "left").select("uh", F.explode(shares).alias("key"), "shingles")
+    out, _ = common.written(_verified(met.select("key", "uh", "shingles").repartition("key").sortWithinPartitions("key", "uh"), similarity), "links")
     for used in (place, path):
         common.drop_folder(spark, used)
     common.release(spark)
@@ -442,67 +445,73 @@ def _extended(met: DataFrame, size: int) -> DataFrame:
     return met.mapInArrow(run, "doc long, start int, end int, class_id long, n_docs long, kept boolean")
 
 
-class _Side:
-    """The kept units of a document, or the others: how far they reach, and what is said of their stretch."""
-
-    def __init__(self):
-        self.end, self.class_id, self.n_docs = 0, None, 0
-
-    def meet(self, start: int, end: int, class_id: int, n_docs: int) -> None:
-        if start > self.end or self.class_id is None:
-            self.class_id, self.n_docs = class_id, n_docs
-        self.end, self.n_docs = max(self.end, end), max(self.n_docs, n_docs)
-
-
-def stretches(units: Iterator[tuple[int, int, int, int, bool]], least_run: int) -> Iterator[tuple[int, int, int, int, bool]]:
-    """(first word, words, class_id, n_docs, kept) of one document's units (start, end, class_id, n_docs, kept), sorted
-    by start. Words of a kept unit are kept; the others' words that no kept unit has can be removed. Units that adjoin
-    or overlap are a run, which must have least_run words."""
-    kept, gone, at, run = _Side(), _Side(), 0, []
-
-    def upto(end: int) -> None:
-        nonlocal at
-        for side, flag in ((kept, True), (gone, False)):
-            if at < (to := min(side.end, end)):
-                if run and run[-1][4] == flag and run[-1][1] == at:
-                    run[-1] = (run[-1][0], to, run[-1][2], max(run[-1][3], side.n_docs), flag)
-                else:
-                    run.append((at, to, side.class_id, side.n_docs, flag))
-                at = to
-
-    def closed() -> list:
-        long = run and run[-1][1] - run[0][0] >= least_run
-        return [(a, b - a, c, n, k) for a, b, c, n, k in run] if long else []
-
-    for start, end, class_id, n_docs, flag in units:
-        while at < start and at < max(kept.end, gone.end):
-            upto(start)
-        if start > max(kept.end, gone.end):
-            yield from closed()
-            run.clear()
-        at = max(at, start)
-        (kept if flag else gone).meet(start, end, class_id, n_docs)
-    while at < max(kept.end, gone.end):
-        upto(max(kept.end, gone.end))
-    yield from closed()
+def _united(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The stretches that units, sorted by start, cover together, and the first unit of each."""
+    reach = np.maximum.accumulate(ends)
+    first = np.flatnonzero(np.concatenate(([True], starts[1:] > reach[:-1])))[: len(starts)]
+    return starts[first], reach[np.append(first[1:], len(starts)) - 1] if len(first) else ends[:0], first
+
+
+def stretches(docs: np.ndarray, starts: np.ndarray, ends: np.ndarray, class_ids: np.ndarray, n_docs: np.ndarray, kept: np.ndarray, least_run: int) -> tuple[np.ndarray, ...]:
+    """(document, first word, words, class_id, n_docs, kept) of units sorted by document and start. Words of a kept unit
+    are kept; the others' words that no kept unit has can be removed. Units that adjoin or overlap are a run, which must
+    have least_run words. A stretch has the first class, and the most documents, of the units of its kind that it is cut
+    from. All documents are laid out in one row, with a gap between them."""
+    new = np.concatenate(([True], docs[1:] != docs[:-1]))[: len(docs)]
+    begin = np.flatnonzero(new)
+    widest = np.maximum.reduceat(ends, begin) + 2 if len(begin) else np.zeros(0, np.int64)
+    shift = np.cumsum(widest) - widest
+    of = np.cumsum(new) - 1
+    a, b = starts + shift[of], ends + shift[of]
+    runs, runs_to, _ = _united(a, b)
+    long = runs_to - runs >= least_run
+    out = []
+    held, held_to, _ = _united(a[kept], b[kept])
+    for flag in (True, False):
+        own = np.flatnonzero(kept == flag)
+        if not len(own):
+            continue
+        side, _, first = _united(a[own], b[own])
+        if flag:
+            lo, hi = held, held_to
+        else:  # what lies between a run's beginning, its kept stretches and its end
+            lo, hi = np.sort(np.concatenate([runs, held_to])), np.sort(np.concatenate([held, runs_to]))
+            lo, hi = lo[hi > lo], hi[hi > lo]
+        in_long = long[np.searchsorted(runs, lo, "right") - 1]
+        lo, hi = lo[in_long], hi[in_long]
+        k = np.searchsorted(side, lo, "right") - 1
+        d = np.searchsorted(shift, lo, "right") - 1
+        out.append((docs[begin][d], lo - shift[d], hi - lo, class_ids[own][first][k], np.maximum.reduceat(n_docs[own], first)[k], np.full(len(lo), flag)))
+    return tuple(np.concatenate(x) for x in zip(*out)) if out else (np.zeros(0, np.int64),) * 5 + (np.zeros(0, bool),)
 
 
 def _swept(units: DataFrame, least_run: int, id_col: str) -> DataFrame:
-    """The stretches of all documents; a task reads its documents' units in order and holds one run."""
+    """The stretches of all documents; a task reads its documents' units in order, some whole documents at a time."""
     names, kinds = [id_col, "first_word", "n_words", "class_id", "n_docs", "kept"], [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.bool_()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = (row for batch in batches for row in zip(*(c.to_pylist() for c in batch.columns)))
-        out = []
-        for doc, own in itertools.groupby(rows, key=lambda r: r[0]):
-            out += [(doc, *s) for s in stretches((r[1:] for r in own), least_run)]
-            if len(out) >= 10_000:
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names)
-                out = []
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names)
+        open_, size = [], 0
+
+        def out(whole: list[np.ndarray]) -> pa.RecordBatch:
+            made = stretches(*(x.astype(np.int64) for x in whole[:5]), whole[5], least_run)
+            return pa.RecordBatch.from_arrays([pa.array(c).cast(k) for c, k in zip(made, kinds)], names)
 
-    dealt = units.repartition("doc").sortWithinPartitions("doc", "start", "end", "class_id", "kept")
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            open_.append([batch.column(i).to_numpy(zero_copy_only=False) for i in range(6)])
+            size += batch.num_rows
+            if size >= 50_000:
+                whole = [np.concatenate(c) for c in zip(*open_)]
+                cut = int(np.searchsorted(whole[0], whole[0][-1]))  # the last document may go on
+                if cut:
+                    yield out([c[:cut] for c in whole])
+                    whole = [c[cut:] for c in whole]
+                open_, size = [whole], 0 if cut else -len(whole[0])
+        if open_:
+            yield out([np.concatenate(c) for c in zip(*open_)])
+
+    dealt = units.select("doc", "start", "end", "class_id", "n_docs", "kept").repartition("doc").sortWithinPartitions("doc", "start", "end", "class_id", "kept")
     return dealt.mapInArrow(run, f"`{id_col}` long, first_word int, n_words int, class_id long, n_docs long, kept boolean")
 
 
@@ -520,7 +529,8 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
     A class's first place, by id and place, is kept. Words that only other places of classes cover can be removed
     (kept = false); what any first place covers is kept, so that every class still stands somewhere when all the others
-    are gone. Places that adjoin or overlap are a run; runs of fewer than least_run words are left out, the others are
+    are gone. (Near an edit a text may have a seed that an unedited one, which has the words too, does not; then the
+    edited text counts as the first, and a little more is kept than need be.) Places that adjoin or overlap are a run; runs of fewer than least_run words are left out, the others are
     cut where kept changes. class_id is the smallest id that has the first class of a stretch, n_docs the most rows
     that have one of its classes, counted exactly. Words are counted from 0 over the whole text; A-Z are lower-cased
     and white space evened out before words are compared.
@@ -534,19 +544,20 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     common.prepare(spark)
     texts = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), common.utf8(text_col).alias("t"))
     nodes, _ = common.written(connected_components(paragraph_links(texts, similarity)), "nodes")
-    places = _paragraph_places(texts, _filter(nodes.select("node"))).join(nodes, F.col("uh") == F.col("node")).select(F.col("component").alias("class"), "doc", "start", "n")
-    each = places.groupBy("class", "doc").agg(F.min("start").alias("start"))
-    first = F.min(F.struct("doc", "start")).alias("first")
-    classes, _ = common.written(each.groupBy("class").agg(first, F.max("doc").alias("last"), F.count(F.lit(1)).alias("n_docs")).where("first.doc <> last").select("class", "first", "n_docs"), "classes")
-    few = classes.count() * 40 <= common.BROADCAST_BYTES
-    near = places.join(F.broadcast(classes) if few else classes, "class").select("doc", "start", (F.col("start") + F.col("n")).alias("end"), F.col("first.doc").alias("class_id"), "n_docs", F.struct("doc", "start").eqNullSafe(F.col("first")).alias("kept"))
-
     seeds, place = common.written(_seeds(texts, least_run).groupBy("seed").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).where("lo <> hi").select("seed"), "seeds")
     common.release(spark)
-    found = _seed_places(texts, _filter(seeds), least_run)
+    found, _ = common.written(_places(texts, _filter(seeds), _filter(nodes.select("node")), least_run), "places")
     common.drop_folder(spark, place)
+
+    near = found.where("kind = 0").join(nodes, F.col("h") == F.col("node")).select(F.col("component").alias("class"), "doc", "start", "n")
+    each = near.groupBy("class", "doc").agg(F.min("start").alias("start"))
+    first = F.min(F.struct("doc", "start")).alias("first")
+    classes, _ = common.written(each.groupBy("class").agg(first, F.max("doc").alias("last"), F.count(F.lit(1)).alias("n_docs")).where("first.doc <> last").select("class", "first", "n_docs"), "classes")
+    near = near.join(classes, "class").select("doc", "start", (F.col("start") + F.col("n")).alias("end"), F.col("first.doc").alias("class_id"), "n_docs", F.struct("doc", "start").eqNullSafe(F.col("first")).alias("kept"))
+
+    found = found.where("kind = 1")
     first = F.min(F.struct("doc", "start", "before", "after")).alias("f")
-    firsts, _ = common.written(found.groupBy("seed").agg(first, F.max("doc").alias("last"), F.sum((~F.col("again")).cast("long")).alias("n_docs")).where("f.doc <> last").select(F.col("seed").alias("own"), F.col("f.doc").alias("first_doc"), F.col("f.start").alias("first_start"), "n_docs", F.col("f.before").alias("first_before"), F.col("f.after").alias("first_after")), "firsts")
+    firsts, _ = common.written(found.groupBy("h").agg(first, F.max("doc").alias("last"), F.sum((~F.col("again")).cast("long")).alias("n_docs")).where("f.doc <> last").select(F.col("h").alias("own"), F.col("f.doc").alias("first_doc"), F.col("f.start").alias("first_start"), "n_docs", F.col("f.before").alias("first_before"), F.col("f.after").alias("first_after")), "firsts")
     common.release(spark)
-    met = found.join(firsts.hint("merge"), F.col("seed") == F.col("own")).select("doc", "start", "first_doc", "first_start", "n_docs", "before", "after", "first_before", "first_after")
+    met = found.join(firsts.hint("merge"), F.col("h") == F.col("own")).select("doc", "start", "first_doc", "first_start", "n_docs", "before", "after", "first_before", "first_after")
     return _swept(near.unionByName(_extended(met, seed_words(least_run))), least_run, id_col)

@@ -91,7 +91,7 @@ def test_scores_are_those_of_a_plain_softmax(spark, monkeypatch):
     rows = [(i, t) for i, t in ROWS if i != 15] + [(400, prose(12)), (401, "a a a")]
     made = []
 
-    def random_model(parts, units, size, rounds):
+    def random_model(parts, n_parts, units, size, rounds):
         model = maxent.Model.new(units, size)
         model.weights[:] = np.random.default_rng(4).normal(size=model.weights.shape)
         made.append(model)

@@ -205,8 +205,13 @@ def test_stretches_keep_what_any_first_place_covers():
             elif run:
                 expected += [(x, state[x]) for x in run if len(run) >= 20]
                 run = []
-        got = [(w, kept) for a, n, _, _, kept in passages.stretches(iter(units), 20) for w in range(a, a + n)]
-        assert got == expected
+        columns = [np.array(c) for c in zip(*units)]
+        docs = np.repeat([3, 8], len(units))  # the same units in two documents
+        made = passages.stretches(docs, *(np.concatenate([c, c]) for c in columns), 20)
+        for doc in (3, 8):
+            got = sorted((w, bool(kept)) for d, a, n, _, m, kept in zip(*made) for w in range(a, a + n) if d == doc and m == 2)
+            assert got == expected
+    assert [len(x) for x in passages.stretches(*(np.zeros(0, np.int64),) * 5, np.zeros(0, bool), 20)] == [0] * 6
 
 
 def test_grammar():
