@@ -80,6 +80,12 @@ def map_arrow(df: DataFrame, each: Callable[[pa.RecordBatch], pa.RecordBatch | N
     return df.mapInArrow(run, schema)
 
 
+def free_names(columns: list[str], n: int) -> list[str]:
+    """n column names that differ from the columns', also but for case."""
+    used = {c.lower() for c in columns}
+    return [c for c in (f"_own{k}" for k in range(n + len(used))) if c not in used][:n]
+
+
 def without_ids(docs: DataFrame, gone: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """docs without the rows whose id is in gone (one column, named gone). The ids are counted: few are broadcast, for
     many both sides are shuffled. Rows with a null id stay."""

@@ -114,3 +114,24 @@ def test_pipeline_against_a_plain_version(spark, sf_dir):
     assert stages[3] == {i: t for i, t in stages[2].items() if not leaks(t)}
     assert {i: t.replace(META, " ") for i, t in stages[3].items()} == stages[4]
     assert {r["doc_id"] for r in p.run(spark, sf_dir).collect()} == set(stages[4])
+
+
+def test_stages_on_odd_tables(spark, sf_dir):
+    """Nulls, empty and very long texts, repeated ids, clashing names and empty tables."""
+    import corpus_pipeline as p
+    from test_llm_operators import COPY, LONG
+
+    line = "this very line is in all of these documents"
+    rows = [(1, None), (2, ""), (3, LONG), (3, "again " + line), (None, COPY), (None, None), (4, line + "\n" + COPY), (5, line), (6, line + "\n" + COPY), (7, " \n\t"), (8, line)]
+    schema = "doc_id long, text string, n_chars int, n_lines int, n_dropped int, gone long, _own0 int, drop string, score double, t string, fp long, page_id long"
+    docs = spark.createDataFrame([(*r, 0, 1, 2, r[0], 4, "x", 0.5, "t", 6, 7) for r in rows], schema)
+    for name, stage in p.STAGES[:-1]:
+        out = stage(spark, docs, sf_dir)
+        assert out.columns == docs.columns, name
+        assert stage(spark, docs.limit(0), sf_dir).count() == 0
+    dropped = p.dedup_lines(spark, docs, sf_dir).orderBy("doc_id").collect()
+    assert [(r["doc_id"], r["n_chars"]) for r in dropped if r["doc_id"] in (5, 8)] == [(5, 0), (8, len(line))] and all(r["n_lines"] == 1 for r in dropped)
+    ids = sorted(r["doc_id"] or 0 for r in p.dedup_documents(spark, docs, sf_dir).collect())
+    assert ids.count(0) == 2 and 3 in ids and 8 not in ids
+    assert p.encode(spark, docs, sf_dir).count() == len(rows)
+    assert p.encode(spark, docs.limit(0), sf_dir).count() == 0

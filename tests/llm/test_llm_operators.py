@@ -118,6 +118,11 @@ def test_lines_broadcast_and_routed(spark, odd, none, size, monkeypatch):
     rows += [(300 + k, "a line that all of these have\n" + prose(3)) for k in range(120)]
     found = line_dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), table_bytes=size)
     assert rows_of(found) == brute_lines(rows)
+    many = [(None if k % 3 else 7, "\n".join([pool[k % 5], pool[5 + k % 2], f"{k % 4}"])) for k in range(60)] + [(1000 + k, "\n".join(pool[:8])) for k in range(4)]
+    clashing = spark.createDataFrame([(*r, 1, 2, 3) for r in many], "doc_id long, text string, _own0 int, n_lines int, drop int").repartition(3)
+    same_columns = line_dedup(clashing, table_bytes=size, counts=None)
+    assert same_columns.columns == clashing.columns and rows_of(same_columns.select("doc_id", "text")) == sorted(((i, t) for i, t, _, _ in brute_lines(many)), key=repr)
+    assert rows_of(line_dedup(clashing, table_bytes=size).select("doc_id", "text", "n_lines", "n_dropped")) == brute_lines(many)
     kept = line_dedup(odd, table_bytes=size)
     assert kept.columns == ["doc_id", "text", "fp", "component_id", "score", "word", "n_lines", "n_dropped"]
     assert rows_of(kept.select("doc_id", "text", "n_lines", "n_dropped")) == brute_lines(ODD)
