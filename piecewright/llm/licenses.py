@@ -21,39 +21,32 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
     "Apache-2.0": (
         "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.",
         "Licensed under the Apache License, Version 2.0.",
-        "SPDX-License-Identifier: Apache-2.0",
     ),
     "MIT": (
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:",
         "Released under the MIT License.",
         "Licensed under the MIT License.",
         "This project is licensed under the terms of the MIT license.",
-        "SPDX-License-Identifier: MIT",
     ),
     "BSD-2-Clause": (
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
         "Licensed under the BSD 2-Clause License.",
-        "SPDX-License-Identifier: BSD-2-Clause",
     ),
     "BSD-3-Clause": (
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
         "Licensed under the BSD 3-Clause License.",
-        "SPDX-License-Identifier: BSD-3-Clause",
     ),
     "ISC": (
         "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
         "Licensed under the ISC License.",
-        "SPDX-License-Identifier: ISC",
     ),
     "GPL-2.0": (
         "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
         "This work is licensed under the GNU General Public License, version 2.",
-        "SPDX-License-Identifier: GPL-2.0-only",
     ),
     "GPL-3.0": (
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
         "This work is licensed under the GNU General Public License, version 3.",
-        "SPDX-License-Identifier: GPL-3.0-only",
     ),
     "LGPL-3.0": (
         "This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
@@ -66,7 +59,6 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
     "MPL-2.0": (
         "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.",
         "Licensed under the Mozilla Public License, Version 2.0.",
-        "SPDX-License-Identifier: MPL-2.0",
     ),
     "CC0-1.0": (
         "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work.",
@@ -78,23 +70,47 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
     "CC-BY-ND-4.0": ("This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License.", "Licensed under CC BY-ND 4.0."),
     "CC-BY-NC-SA-4.0": ("This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License.", "Licensed under CC BY-NC-SA 4.0."),
     "CC-BY-NC-ND-4.0": ("This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License.", "Licensed under CC BY-NC-ND 4.0."),
+    "LGPL-2.1": (
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
+        "This work is licensed under the GNU Lesser General Public License, version 2.1.",
+    ),
+    "EPL-2.0": ("This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/",),
+    "BSL-1.0": ("Distributed under the Boost Software License, Version 1.0.",),
+    "Zlib": ("This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software.",),
     "Unlicense": ("This is free and unencumbered software released into the public domain.",),
 }
+
+
+def spdx(license_: str) -> tuple[str, ...]:
+    """The identifier lines of a license."""
+    ends = ("", "-only", "-or-later") if "GPL" in license_ else ("",)
+    return tuple(f"SPDX-License-Identifier: {license_}{e}" for e in ends)
+
+
+TEMPLATES = {name: (*texts, *spdx(name)) for name, texts in TEMPLATES.items()}
 #: Words without which a stretch isn't a candidate.
-TRIGGER = re.compile(r"licen[sc]e|permission[\W_]+(?:is|to)|redistribut|public[\W_]+domain|waived[\W_]+all[\W_]+copyright", re.I)
+TRIGGER = re.compile(r"licen[sc]e|permission[\W_]+(?:is|to)|redistribut|public[\W_]+domain|waived[\W_]+all[\W_]+copyright|implied[\W_]+warrant", re.I)
 #: A winner's size must fall by this part, and this part of the template's words must be there in order.
 LEAST_GAIN, LEAST_WORDING = 0.25, 0.85
 _WORD = re.compile(r"[^\W_]+(?:[.'-][^\W_]+)*")
+#: A number that begins an item of a list, after a line's or a sentence's end; bullets aren't words anyway.
+_MARKER = re.compile(r"(?:[:.;,]\s+|(?:^|\n)[^\w\n]{0,8})\(?(\d{1,2})[.)]\s")
 #: Words that tell licenses apart: one that a template has and a block doesn't, or the reverse, rules the template out.
-TELLING = frozenset("2 3 1 4 2.0 3.0 1.0 4.0 lesser affero by-nc by-sa by-nd by-nc-sa by-nc-nd cc0 apache mit mozilla isc bsd 2-clause 3-clause noncommercial sharealike noderivatives attribution-noncommercial attribution-sharealike attribution-noderivatives attribution-noncommercial-sharealike attribution-noncommercial-noderivatives neither endorse".split())
+TELLING = frozenset("2 3 1 4 2.0 2.1 3.0 1.0 4.0 lesser affero by-nc by-sa by-nd by-nc-sa by-nc-nd cc0 apache mit mozilla isc bsd eclipse boost 2-clause 3-clause noncommercial sharealike noderivatives attribution-noncommercial attribution-sharealike attribution-noderivatives attribution-noncommercial-sharealike attribution-noncommercial-noderivatives neither endorse".split())
 
 
 def _even(text: str) -> str:
     return " ".join(w for w in text.lower().split() if _WORD.search(w))
 
 
+def word_spans(text: str) -> list[tuple[int, int]]:
+    """Where words begin and end, without the numbers of list items."""
+    markers = {m.start(1) for m in _MARKER.finditer(text)}
+    return [m.span() for m in _WORD.finditer(text) if m.start() not in markers]
+
+
 def words(text: str) -> list[str]:
-    return _WORD.findall(text.lower())
+    return [text[a:b].lower() for a, b in word_spans(text)]
 
 
 @dataclass(frozen=True)
@@ -118,7 +134,7 @@ class Template:
     @cached_property
     def places(self) -> list[int]:
         """The words at which triggers stand; any word, if there is none."""
-        starts = [m.start() for m in _WORD.finditer(self.text.lower())]
+        starts = [a for a, _ in word_spans(self.text)]
         return sorted({bisect.bisect_right(starts, hit.start()) - 1 for hit in TRIGGER.finditer(self.text)}) or list(range(len(starts)))
 
 
@@ -177,7 +193,7 @@ class Scanner:
         hits = [hit.start() for hit in TRIGGER.finditer(text)]
         if not hits:
             return
-        spans = [m.span() for m in _WORD.finditer(text)]
+        spans = word_spans(text)
         starts, own, free = [a for a, _ in spans], [text[a:b].lower() for a, b in spans], 0
         for at in dict.fromkeys(bisect.bisect_right(starts, hit) - 1 for hit in hits):
             if at < free:
@@ -202,8 +218,11 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     Words that any notice has give candidate blocks, which may begin and end anywhere in the text's lines (counted
     from 0). Each is compressed alone and with a template as a raw Zstandard dictionary; where that saves enough, the
     template is held against the block word by word: nearly all of the template's words must be there in order, and no
-    word that tells licenses apart may differ. `differences` lists the words missing (-) and added (+). Null, empty and other texts
-    without notices have no rows; null ids are kept; rows that repeat an id each give theirs; an empty table, none.
+    word that tells licenses apart may differ. `differences` lists the words missing (-) and added (+). All templates are tried
+    at each place; of those that fit, the one that covers most words is given, of equals the one that saves most, of
+    equals again the first in the list. Null, empty and other texts without notices have no rows; null ids are kept;
+    rows that repeat an id each give theirs; other columns are not read; an empty table gives none. Very long texts are
+    cut into words once; the work grows with the words that any notice has.
     """
     common.prepare(docs.sparkSession)
     known = templates or TEMPLATES
