@@ -19,8 +19,10 @@ from . import common
 SAMPLES = 128
 #: Characters of the texts whose words share one table of gamma draws.
 GROUP_CHARS = 1_500_000
-#: Words whose draws are made at a time.
-BLOCK = 2048
+#: Words whose draws are made at a time, and words of a group whose draws are kept; with more, each text's are made anew.
+BLOCK, MANY = 2048, 300_000
+#: Ranges of ids that rows are dealt into, at most; a range is sorted, with spilling, and read in groups.
+RANGES = 1 << 15
 EMPTY = "0" * (4 * SAMPLES)
 
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -66,7 +68,9 @@ class Words:
 
     def draw(self, often: np.ndarray) -> None:
         """Makes the draws: for weight 1 what sampling comes to, for the words in `often` also the draws themselves."""
-        hashes = np.fromiter((xxhash.xxh64_intdigest(w) for w in self.number), np.uint64, len(self.number))
+        hashes = self.hashes = np.fromiter((xxhash.xxh64_intdigest(w) for w in self.number), np.uint64, len(self.number))
+        if len(hashes) > MANY:
+            return
         self.once = np.empty((len(hashes), self.samples), np.float32)
         for at in range(0, len(hashes), BLOCK):
             r, c, beta = draws(hashes[at : at + BLOCK], self.samples)
@@ -80,6 +84,8 @@ class Words:
         t = floor(ln weight / r + beta); that value, which word, t and sample fix, is the sample's identity."""
         if not len(numbers):
             return None
+        if len(self.hashes) > MANY:
+            return _codes(self._low(numbers, counts))
         one = counts == 1
         low = self.once[numbers[one]].min(0) if one.any() else np.full(self.samples, np.inf, np.float32)
         if not one.all():
@@ -88,7 +94,20 @@ class Words:
             t = np.floor(np.log(counts[~one]).astype(np.float32)[:, None] / r + beta)
             # Where t is 0, the value must be the same number as the one for weight 1.
             low = np.minimum(low, np.where(t == 0, self.once[numbers[~one]], c - r * (t - beta + np.float32(1))).min(0))
-        return (_mix(low.view(np.uint32).astype(np.uint64)) & np.uint64(0xFFFF)).astype(">u2")
+        return _codes(low)
+
+    def _low(self, numbers: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        """The same least values, from draws that are made for BLOCK words at a time and not kept."""
+        low = np.full(self.samples, np.inf, np.float32)
+        for at in range(0, len(numbers), BLOCK):
+            r, c, beta = draws(self.hashes[numbers[at : at + BLOCK]], self.samples)
+            t = np.floor(np.log(counts[at : at + BLOCK]).astype(np.float32)[:, None] / r + beta)
+            low = np.minimum(low, np.where(t == 0, c - r * (np.float32(1) - beta), c - r * (t - beta + np.float32(1))).min(0))
+        return low
+
+
+def _codes(low: np.ndarray) -> np.ndarray:
+    return (_mix(low.view(np.uint32).astype(np.uint64)) & np.uint64(0xFFFF)).astype(">u2")
 
 
 def likeness(a: np.ndarray | None, b: np.ndarray | None) -> float:
@@ -130,8 +149,10 @@ def fingerprint_neighbours(docs: DataFrame, id_col: str = "doc_id", text_col: st
     in descending order of id, nulls last, equal ids by their texts; after the last comes the first. Null text counts
     as empty: no words, a fingerprint of zeros, like only other empty ones. A single row follows itself. No rows: none.
 
-    Ranges of about per_part ids, from quantiles of the ids alone, are each sorted in one task; into each also goes the
-    first row of the range after it, so that texts are shuffled once and no task or driver sees all rows.
+    Ranges of about per_part ids, RANGES at most, from quantiles of the ids alone, are each sorted in one task; into
+    each also goes the first row of the range after it, so that texts are shuffled once and no task or driver sees all
+    rows. Rows are compared GROUP_CHARS characters at a time; a very long text is a group, whose draws are made in
+    blocks. Other columns are not read.
     """
     spark = docs.sparkSession
     common.prepare(spark)
@@ -140,7 +161,7 @@ def fingerprint_neighbours(docs: DataFrame, id_col: str = "doc_id", text_col: st
     schema = f"`{id_col}` long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
     if not n:
         return spark.createDataFrame([], schema)
-    parts = -(-n // per_part)
+    parts = min(RANGES, -(-n // per_part))
     bounds = sorted(set(rows.approxQuantile("id", [i / parts for i in range(1, parts)], 0.25 / parts) if parts > 1 else []))
     bounds = [int(b) for b in bounds]
     found = rows.select("id", _range_of(bounds).alias("part")).groupBy("part").agg(F.max("id").alias("first")).orderBy(F.desc("part")).collect()

@@ -14,8 +14,9 @@ from . import common
 
 #: Edits that a match may have for each character of an item.
 RATE = 0.07
-#: Items of fewer characters match whole documents only, as short strings occur in any text.
-SHORT = 24
+#: Items of fewer characters are matched without edits: at word borders if they have so many words, else against whole
+#: documents, as a word or two occur in any text.
+SHORT, QUOTED_WORDS = 24, 3
 #: Characters of items whose pieces one automaton holds; more items are searched in as many passes as needed.
 BLOCK_CHARS = 1 << 20
 
@@ -81,6 +82,8 @@ class _Items:
         for i, (t, k) in enumerate(zip(self.texts, self.budgets)):
             if len(t) < SHORT:
                 self.short.setdefault(t, []).append(i)
+                if len(t.split()) >= QUOTED_WORDS:
+                    found.setdefault(t, []).append((i, 0))
             else:
                 for at, piece in pieces(t, k):
                     found.setdefault(piece, []).append((i, at))
@@ -101,25 +104,33 @@ class _Items:
             for i, at in where:
                 hits.setdefault(i, []).append(end + 1 - size - at)
         for i, starts in hits.items():
-            item, k = self.texts[i], self.budgets[i]
-            m, done, best = len(item), -1, out.get(i)
-            for start in sorted(set(starts)):
-                lo, hi = max(0, start - k), min(len(text), start + m + k)
-                if hi <= done or best is not None and best[0] == 0:
-                    continue
-                done = hi if lo <= done else done
-                if text.startswith(item, start) and start >= 0:
-                    best = (0, start, start + m)
-                    continue
-                hit = best_end(self.tables[i], m, text[lo:hi], k)
-                if hit and (best is None or hit[0] < best[0]):
-                    end = lo + hit[1]
-                    back = best_end(self.back[i], m, text[max(0, end - m - k) : end][::-1], k)
-                    best = (hit[0], end - (back[1] if back else m), end)
-            if best is not None:
+            if i not in out and (best := self._verified(i, sorted(set(starts)), text)):
                 out[i] = best
         return out
 
+    def _verified(self, i: int, starts: list[int], text: str) -> tuple[int, int, int] | None:
+        """The best match of an item where its pieces say that it may start. Surroundings that overlap are one stretch,
+        so that none of a text's characters is verified twice."""
+        item, k = self.texts[i], self.budgets[i]
+        m, best, stretches = len(item), None, []
+        for start in starts:
+            if start >= 0 and text.startswith(item, start):
+                end = start + m
+                if m >= SHORT or (not start or text[start - 1] == " ") and (end == len(text) or text[end] == " "):
+                    return 0, start, end
+            lo, hi = max(0, start - k), min(len(text), start + m + k)
+            if stretches and lo <= stretches[-1][1]:
+                stretches[-1][1] = hi
+            else:
+                stretches.append([lo, hi])
+        for lo, hi in stretches if m >= SHORT else ():
+            hit = best_end(self.tables[i], m, text[lo:hi], k)
+            if hit and (best is None or hit[0] < best[0]):
+                end = lo + hit[1]
+                back = best_end(self.back[i], m, text[max(0, end - m - k) : end][::-1], k)
+                best = hit[0], end - (back[1] if back else m), end
+        return best
+
 
 _BLOCKS: dict[str, _Items] = {}
 
@@ -130,11 +141,14 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
 
     Lower case and white space runs are evened out first, and places count in the text so changed. An item is split
     into budget + 1 pieces, of which budget edits leave one whole; all pieces of a block of items are sought at once in
-    each whole text, and each hit's surroundings are verified by Myers' bit-parallel distance. Items under SHORT
-    characters match documents that are equal to them. The items' size is measured: each block of at most about
+    each whole text, and the hits' surroundings, joined where they overlap, are verified by Myers' bit-parallel distance.
+    Items under SHORT characters are matched without edits, at word borders if they have QUOTED_WORDS words, else against
+    whole documents. Of places with equal distances the first counts; of an item's ids that have one text, each gives a
+    row. The items' size is measured: each block of at most about
     BLOCK_CHARS characters is broadcast and read against all documents, so that any number of items will do. Null or
     empty items match nothing, null texts count as empty, null ids are kept, and rows that repeat an id or an item id
-    each give rows. Either table empty: no rows.
+    each give rows. Very long texts are read once, in time that grows with their length. Other columns are not read.
+    Either table empty: no rows.
     """
     common.prepare(docs.sparkSession)
     sc = docs.sparkSession.sparkContext

@@ -20,8 +20,10 @@ DICTIONARY_MAGIC, EMPTY_MAGIC = 0x184D2A5D, 0x184D2A50
 ZSTD_MAGIC = 0xFD2FB528
 #: What Spark's text writer puts between records: an empty skippable frame, which readers of Zstandard pass over.
 GAP = struct.pack("<II", EMPTY_MAGIC, 0)
-#: Bytes of a dictionary, and of an archive's first records that it is built from.
+#: Bytes of a dictionary, and of the records, drawn from all by a hash, that it is built from.
 DICTIONARY_BYTES, SAMPLE_BYTES = 1 << 16, 4 << 20
+#: Bytes of frames that are written at a time, and how often in an archive: about 64 MB, or a few records more.
+BLOCK_BYTES, BLOCKS = 1 << 20, 64
 #: Equal payloads of at least so many bytes are archived once.
 LEAST_REVISIT = 100
 DATE = "1970-01-01T00:00:00Z"
@@ -74,67 +76,72 @@ def _dictionary(records: list[bytes]) -> bytes:
         return b"".join(records)[-DICTIONARY_BYTES:]
 
 
-def archive_frames(records: Iterator[bytes], level: int = 6) -> Iterator[bytes]:
-    """The frames of one archive: its dictionary in a skippable frame, then each record compressed on its own."""
-    first, size, packer = [], 0, None
-
-    def start() -> Iterator[bytes]:
-        nonlocal packer
-        raw = _dictionary(first)
-        packer = zstandard.ZstdCompressor(level=level, dict_data=zstandard.ZstdCompressionDict(raw) if raw else None, write_checksum=True, write_content_size=True)
-        yield struct.pack("<II", DICTIONARY_MAGIC, len(raw)) + raw
-        for r in first:
-            yield packer.compress(r)
-        first.clear()
-
+def archive_blocks(records: Iterator[bytes], dictionary: bytes, block_bytes: int = BLOCK_BYTES, each: int = BLOCKS, level: int = 6) -> Iterator[bytes]:
+    """The frames of archives, some together: `each` blocks begin with the dictionary in a skippable frame, and each
+    record is compressed on its own. No records: nothing."""
+    packer = zstandard.ZstdCompressor(level=level, dict_data=zstandard.ZstdCompressionDict(dictionary) if dictionary else None, write_checksum=True, write_content_size=True)
+    head = struct.pack("<II", DICTIONARY_MAGIC, len(dictionary)) + dictionary
+    held, size, blocks = [], 0, 0
     for record in records:
-        if packer is not None:
-            yield packer.compress(record)
-            continue
-        first.append(record)
-        size += len(record)
-        if size >= SAMPLE_BYTES:
-            yield from start()
-    if packer is None and first:
-        yield from start()
-
-
-def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least: int = LEAST_REVISIT) -> None:
-    """Writes a record for each page to archives (*.warc.zst) under path, one for each partition of pages.
+        if not held and blocks % each == 0:
+            held.append(head)
+        held.append(packer.compress(record))
+        size += len(held[-1])
+        if size >= block_bytes:
+            yield b"".join(held)
+            held, size, blocks = [], 0, blocks + 1
+    if held:
+        yield b"".join(held)
+
+
+def _sample(rows: DataFrame) -> list[bytes]:
+    """About SAMPLE_BYTES of response records, drawn from all rows by a hash of id and url."""
+    whole = rows.agg(F.sum(F.octet_length("payload")).alias("n")).first()["n"] or 0
+    share = min(1.0, SAMPLE_BYTES / max(whole, 1))
+    drawn = rows.where(F.pmod(F.xxhash64("id", "url"), F.lit(1 << 30)) < int(share * (1 << 30)) + 1)
+    out, size = [], 0
+    for r in drawn.select("id", "url", F.substring("payload", 1, SAMPLE_BYTES).alias("payload")).toLocalIterator():
+        out.append(warc_record(r["id"], r["url"], bytes(r["payload"]), None))
+        size += len(out[-1])
+        if size >= 2 * SAMPLE_BYTES:  # chance, or a few long records
+            break
+    return out
+
+
+def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least: int = LEAST_REVISIT, block_bytes: int = BLOCK_BYTES, blocks: int = BLOCKS) -> None:
+    """Writes a record for each page to archives (*.warc.zst) under path, of about 64 MB at most each, unless a single
+    record is longer. All carry one dictionary, built from a sample of all records.
 
     The payload is the html in UTF-8, null as empty. Of equal payloads of at least `least` bytes, the page with the
     smallest id gives a response record and the others revisit records that refer to it; rows that repeat that id are
     responses, and rows with a null id revisits. All others are responses. Only digests are compared over all pages;
     those that occur twice are counted, and broadcast only if they are few. Spark's own text writer puts the bytes into
-    any store and commits each archive once, whatever executors are lost; between two records it writes an empty
-    skippable frame. No pages: no archives.
+    any store and commits each archive once, whatever executors are lost; between two blocks of frames it writes an empty
+    skippable frame. Ids of equal rows are ties that need no order. Very long texts are one record each. Other columns are
+    not read. No pages: no archives.
     """
     spark = pages.sparkSession
     common.prepare(spark)
-    rows = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).cast("string").alias("url"), common.utf8(html_col).alias("payload")).withColumn("digest", F.unhex(F.sha2("payload", 256)))
+    rows = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).cast("string").alias("url"), common.utf8(html_col).alias("payload"))
+    raw = _dictionary(_sample(rows))
+    rows = rows.withColumn("digest", F.unhex(F.sha2("payload", 256)))
     twice, place = common.written(rows.where(F.octet_length("payload") >= least).groupBy(F.col("digest").alias("d")).agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("d", "first"), "payloads")
     few = twice.count() * 80 <= common.BROADCAST_BYTES
     rows = rows.join(F.broadcast(twice) if few else twice, (rows["digest"] == twice["d"]) & (F.octet_length("payload") >= least), "left")
     rows = rows.select("id", "url", "payload", F.when(~F.col("id").eqNullSafe(F.col("first")), F.col("first")).alias("refers"))
 
+
     def frames(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def records():
             for batch in batches:
                 for row in zip(*(batch.column(i) for i in range(4))):
                     yield warc_record(*(x.as_py() for x in row))
 
-        held, size = [], 0
-        for frame in archive_frames(records()):
-            held.append(frame)
-            size += len(frame)
-            if size >= 1 << 20:
-                yield pa.RecordBatch.from_arrays([pa.array(held, pa.binary())], ["frame"])
-                held, size = [], 0
-        if held:
-            yield pa.RecordBatch.from_arrays([pa.array(held, pa.binary())], ["frame"])
-
-    made = rows.mapInArrow(frames, "frame binary").select(F.col("frame").cast("string").alias("value"))
-    made.write.option("lineSep", GAP.decode("ascii")).option("compression", "none").text(path)
+        for block in archive_blocks(records(), raw, block_bytes, blocks):
+            yield pa.RecordBatch.from_arrays([pa.array([block], pa.binary())], ["frame"])
+
+    made = rows.select("id", "url", "payload", "refers").mapInArrow(frames, "frame binary").select(F.col("frame").cast("string").alias("value"))
+    made.write.option("lineSep", GAP.decode("ascii")).option("compression", "none").option("maxRecordsPerFile", blocks).text(path)
     _name(spark, path)
     common.drop_folder(spark, place)
 

@@ -1,6 +1,7 @@
 """The training-data operators on small tables with nulls, empty and long texts, ties, repeats and clashing columns."""
 
 import hashlib
+import os
 import random
 import re
 import zlib
@@ -144,6 +145,9 @@ def test_warc(spark, tmp_path):
     assert got == sorted(expected, key=repr)
     payloads = {r["page_id"]: r["payload"] for r in read.where("record_type = 'response' and page_id is not null").collect()}
     assert bytes(payloads[7]) == b"<p>" * 60_000 and bytes(payloads[6]) == b""
+    more = spark.range(50).selectExpr("id AS page_id", "'u' AS url", "repeat(cast(id AS string), 80) AS html").coalesce(1)
+    write_archives(more, str(tmp_path / "rolled"), block_bytes=1, blocks=2)
+    assert len([f for f in os.listdir(tmp_path / "rolled") if f.endswith(".warc.zst")]) > 1 and read_archives(spark, str(tmp_path / "rolled")).count() == 50
     write_archives(pages.limit(0), str(tmp_path / "none"))
     assert read_archives(spark, str(tmp_path / "none")).count() == 0
 

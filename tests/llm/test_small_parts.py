@@ -109,13 +109,64 @@ def test_archives_can_be_read_by_any_zstandard_reader():
     import zstandard
 
     records = [warc.warc_record(i, "http://a/" + "x" * 40, (f"<p>page {i} " + "text " * 200).encode(), None if i % 3 else 0) for i in range(300)]
-    data = warc.GAP.join(warc.archive_frames(iter(records))) + warc.GAP
+    data = warc.GAP.join(warc.archive_blocks(iter(records), warc._dictionary(records))) + warc.GAP
     assert [h["warc-type"] for h, _ in warc.archive_records(data)].count("revisit") == 100
     assert len(data) < sum(map(len, records)) / 4
-    assert list(warc.archive_frames(iter([]))) == []
+    assert list(warc.archive_blocks(iter([]), b"")) == [] and len(list(warc.archive_blocks(iter([b"x"]), b""))) == 1
     size = int.from_bytes(data[4:8], "little")
     reader = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(data[8 : 8 + size]))
-    assert reader.decompress(data[8 + size + len(warc.GAP) :], max_output_size=1 << 20) == records[0]
+    assert reader.decompress(data[8 + size :], max_output_size=1 << 20) == records[0]
+
+
+def test_every_so_many_blocks_begin_with_the_dictionary():
+    records = [warc.warc_record(i, "u", random.Random(i).randbytes(60 + i), None) for i in range(40)]
+    blocks = list(warc.archive_blocks(iter(records), b"raw dictionary bytes", 100, 3))
+    read = []
+    for at in range(0, len(blocks), 3):
+        assert int.from_bytes(blocks[at][:4], "little") == warc.DICTIONARY_MAGIC
+        read += [h["warc-record-id"] for h, _ in warc.archive_records(warc.GAP.join(blocks[at : at + 3]) + warc.GAP)]
+    assert read == [f"<{warc.record_id(i)}>" for i in range(40)] and len(blocks) > 9
+
+
+def test_repetitive_texts_are_verified_once(monkeypatch):
+    read = []
+    plain = decontaminate.best_end
+    monkeypatch.setattr(decontaminate, "best_end", lambda table, m, text, budget: read.append(len(text)) or plain(table, m, text, budget))
+    item = "abcdefgh " * 8 + "the end of it"
+    text = "abcdefgh " * 800
+    decontaminate._Items([1], [item], [5]).match(text)
+    assert sum(read) <= 2 * len(text)
+
+
+def test_short_items_are_matched_at_word_borders():
+    items = decontaminate._Items([1, 2, 3], ["the tiny quote", "word", "one two"], [0, 0, 0])
+    assert items.match("here is the tiny quote again") == {0: (0, 8, 22)} and items.match("the tiny quotes") == {} and items.match("bathe tiny quote") == {}
+    assert items.match("the tiny quote") == {0: (0, 0, 14)} and items.match("a word") == {} and items.match("word") == {1: (0, 0, 4)} and items.match("one two three") == {}
+
+
+def test_many_words_are_sampled_in_blocks(monkeypatch):
+    rng = random.Random(17)
+    texts = [" ".join(rng.choice("abcdefghij") * rng.randint(1, 40) for _ in range(n)) for n in (0, 3, 500, 700)]
+    kept = list(cws._compare(texts))
+    monkeypatch.setattr(cws, "MANY", 20)
+    monkeypatch.setattr(cws, "BLOCK", 7)
+    assert list(cws._compare(texts)) == kept
+
+
+def test_samples_are_the_least_of_all_words():
+    """Each sample against a loop over the words in plain arithmetic."""
+    words = cws.Words()
+    numbers, counts = words.count("to be or not to be that is the question to")
+    words.draw(numbers[counts > 1])
+    got = words.fingerprint(numbers, counts)
+    names = list(words.number)
+    r, c, beta = cws.draws(np.array([cws.xxhash.xxh64_intdigest(w) for w in names], np.uint64))
+    for k in range(cws.SAMPLES):
+        low = []
+        for n, weight in zip(numbers.tolist(), counts.tolist()):
+            t = np.floor(np.float32(np.log(weight)) / r[n, k] + beta[n, k])
+            low.append(c[n, k] - r[n, k] * (np.float32(1) - beta[n, k]) if t == 0 else c[n, k] - r[n, k] * (t - beta[n, k] + np.float32(1)))
+        assert cws._codes(np.array([min(low)], np.float32))[0] == got[k]
 
 
 def test_weighted_samples_estimate_generalised_jaccard():
