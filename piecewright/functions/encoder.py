@@ -40,9 +40,10 @@ def run_cuts_are_exact(model: Model) -> bool:
 
 
 class Encoder:
-    """A model's encoding of texts. Segments that were seen before are looked up; what is remembered is bounded."""
+    """A model's encoding of texts. Segments that were seen before are looked up; what is remembered is bounded, by
+    number and by characters, as a segment may be a whole text."""
 
-    REMEMBERED, LONGEST = 200_000, 64
+    REMEMBERED, REMEMBERED_CHARS, LONGEST = 200_000, 16 << 20, 64
 
     def __init__(self, model: Model, cut: bool = False):
         self.model, self.normalize, self.added = model, Normalizer(model), AddedTokens(model)
@@ -60,6 +61,7 @@ class Encoder:
     def _forget(self) -> None:
         self.number: defaultdict[str, int] = defaultdict()
         self.number.default_factory = self.number.__len__
+        self.chars = 0
         self.flat, self.offsets = np.zeros(0, np.int32), np.zeros(1, np.int64)
 
     def _learn(self) -> None:
@@ -67,6 +69,7 @@ class Encoder:
         new = list(islice(self.number, len(self.offsets) - 1, None))
         if not new:
             return
+        self.chars += sum(map(len, new))
         if self.many is not None:
             short = [w if len(w) <= self.LONGEST else "" for w in new]
             ids, offsets = self.many(short)
@@ -83,7 +86,7 @@ class Encoder:
     def batch(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts in a row, where each begins and the last ends), with a row of unknown ids as that many: for
         models with a pre-tokenizer and texts without added tokens, whose words are numbers into what is remembered."""
-        if len(self.number) > self.REMEMBERED:
+        if len(self.number) > self.REMEMBERED or self.chars > self.REMEMBERED_CHARS:
             self._forget()
         words = [self.pre(self.normalize(t)) if t else () for t in texts]
         numbers = [np.fromiter(map(self.number.__getitem__, w), np.int64, len(w)) for w in words]

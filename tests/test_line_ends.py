@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from piecewright.functions.normalize import Normalizer, normalize
 from piecewright.functions.unigram import Unigram, UnigramBatch
 from piecewright.operators import encode, encoding
-from piecewright.plans.queries import ADDED, UNIGRAM, _MAPPED
+from piecewright.plans.queries import _MAPPED, ADDED, METASPACE, UNIGRAM
 from piecewright.sources import samples
 from piecewright.sources.model import META, load_resource
 from piecewright.sources.text import explode_lines, golden_cases
@@ -128,3 +128,17 @@ def test_pieces_are_compared_and_not_only_their_hashes(monkeypatch):
 @pytest.mark.parametrize("text", ["b\r\r\n", "a\n\n"])
 def test_scanner_examples(spark, text):
     assert [r["line"] for r in explode_lines(spark.createDataFrame([(text,)], "text string")).collect()] == scanned(text)
+
+
+def test_an_encoder_remembers_a_bounded_number_of_characters():
+    from piecewright.functions.encoder import Encoder
+
+    encoder = Encoder(METASPACE)
+    for k in range(30):
+        encoder.batch([f"{k}" + "é" * 1_000])
+    few = encoder.REMEMBERED_CHARS
+    encoder.REMEMBERED_CHARS = 5_000
+    for k in range(30):
+        encoder.batch([f"n{k}" + "é" * 1_000])
+        assert encoder.chars <= 40_000
+    assert few > 1 << 20 and len(encoder.number) <= 7
