@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import uuid
+from array import array
 from collections import defaultdict
 from collections.abc import Callable, Iterator
 from itertools import islice
@@ -24,8 +25,10 @@ UNKNOWN_PENALTY = 10.0
 BLOCK = 256
 #: Words of a partition whose edges an aggregation holds in memory, at about 0.5 KB a word; beyond, it sorts and spills.
 IN_MEMORY = 1 << 18
-#: Words that a Python worker remembers.
-REMEMBERED = 400_000
+#: Words that a Python worker remembers, and their characters, as a word may be a whole text.
+REMEMBERED, REMEMBERED_CHARS = 400_000, 16 << 20
+#: Longer words are folded one by one, place by place, rather than all at once.
+LONG_WORD = 512
 
 
 def piece_scores(model: Model) -> dict[int, float]:
@@ -153,7 +156,8 @@ def _spread(flat: np.ndarray, offsets: np.ndarray, at: np.ndarray) -> tuple[np.n
 class LatticeBatch(UnigramBatch):
     """The lattice of many words at once in numpy: their substrings up to the longest piece, by place and length, are
     joined to the piece table by sorted hashes; the matches are the edges, and Viterbi is folded over their ends. The
-    same edges, double scores and order as encode_words, so the same result."""
+    same edges, double scores and order as encode_words, so the same result. Words of over LONG_WORD characters are
+    folded one by one in the same order."""
 
     FLOAT = np.float64
 
@@ -161,7 +165,40 @@ class LatticeBatch(UnigramBatch):
         self.model, scores = model, piece_scores(model)
         self.unknown = (min(scores.values()) if scores else 0.0) - UNKNOWN_PENALTY
         self.fallback: dict[int, tuple[float, list[int]]] = {}
-        self._tables({model.pieces[i]: (i, x) for i, x in scores.items()})
+        self.known = {model.pieces[i]: (i, x) for i, x in scores.items()}
+        self._tables(self.known)
+
+    def __call__(self, segments: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        long = [k for k, w in enumerate(segments) if len(w) > LONG_WORD]
+        if not long:
+            return super().__call__(segments)
+        short = list(segments)
+        for k in long:
+            short[k] = ""
+        ids, offsets = super().__call__(short)
+        parts = np.split(ids, offsets[1:-1])
+        for k in long:
+            parts[k] = self._alone(segments[k])
+        return np.concatenate(parts).astype(np.int32), np.concatenate(([0], np.cumsum([len(x) for x in parts])))
+
+    def _alone(self, text: str) -> np.ndarray:
+        n, known, longest = len(text), self.known, self.longest
+        best, came, ids = array("d", bytes(8 * (n + 1))), array("q", [-1]) * (n + 1), array("q", bytes(8 * (n + 1)))
+        for start in range(n):
+            here, alone = best[start], False
+            for end in range(start + 1, min(n, start + longest) + 1):
+                hit = known.get(text[start:end])
+                if hit is not None:
+                    alone = alone or end == start + 1
+                    if came[end] < 0 or here + hit[1] > best[end]:
+                        best[end], came[end], ids[end] = here + hit[1], start, hit[0]
+            if not alone and (came[start + 1] < 0 or here + self.unknown > best[start + 1]):
+                best[start + 1], came[start + 1], ids[start + 1] = here + self.unknown, start, -1 - ord(text[start])
+        out, at = [], n
+        while at:
+            out.append([ids[at]] if ids[at] >= 0 else self._uncovered(-1 - ids[at])[1])
+            at = came[at]
+        return np.array([i for own in reversed(out) for i in own], np.int32)
 
     def _uncovered(self, code: int) -> tuple[float, list[int]]:
         if code not in self.fallback:
@@ -180,15 +217,17 @@ class _Memory:
     def forget(self) -> None:
         self.number: defaultdict[str, int] = defaultdict()
         self.number.default_factory = self.number.__len__
+        self.chars = 0
         self.flat, self.offsets, self.back = np.zeros(0, np.int32), np.zeros(1, np.int64), []
 
     def numbers(self, texts: list[str]) -> list[np.ndarray]:
-        if len(self.number) > REMEMBERED:
+        if len(self.number) > REMEMBERED or self.chars > REMEMBERED_CHARS:
             self.forget()
         found = [self.split(t) for t in texts]
         out = [np.fromiter(map(self.number.__getitem__, w), np.int64, len(w)) for w in found]
         new = [k[1:] if k[:1] == JOINED else k if k[:1] == "\n" else META + k for k in islice(self.number, len(self.back), None)]
         if new:
+            self.chars += sum(map(len, new))
             ids, offsets = self.many(new)
             self.flat, self.offsets = np.concatenate([self.flat, ids]), np.concatenate([self.offsets, offsets[1:] + self.offsets[-1]])
             spelled = [self.bytes_of[i] if 0 <= i < len(self.bytes_of) else b"" for i in ids.tolist()]
@@ -207,8 +246,9 @@ def lattice_encode(docs: DataFrame, model: Model, id_col: str = "doc_id", text_c
     numbers, so nothing is shuffled. What a worker remembers is bounded; the model's size is that of its file.
     Uncovered characters become byte pieces, or the unknown piece (runs of which are one id); decoding turns ▁ into
     spaces and drops the one that the dummy prefix added, so that texts without ▁ of their own come back unchanged
-    under byte fallback. Null and empty texts: no ids, empty text. Null ids stay null, rows that repeat an id each give
-    a row, an empty table gives none.
+    under byte fallback. Of equal paths the one whose last piece is longest stays. Null and empty texts: no ids, empty
+    text. Null ids stay null, rows that repeat an id each give a row, an empty table gives none; other columns are not
+    read. Very long texts take memory in proportion to their length, words without an end too.
     """
     spark = docs.sparkSession
     common.prepare(spark)

@@ -86,6 +86,29 @@ def test_lattice_with_a_public_vocabulary(spark, sf_dir):
             assert got[r["doc_id"]]["ids"] == plain(model, r["text"])
 
 
+def test_long_words_are_folded_as_short_ones(monkeypatch):
+    rng = random.Random(6)
+    for fallback in (True, False):
+        model = proto_like(fallback)
+        words = [META + "".join(rng.choice("theandxé🚀") for _ in range(rng.randint(1, 90))) for _ in range(60)]
+        many = lattice.LatticeBatch(model)
+        expected = many(words)
+        monkeypatch.setattr(lattice, "LONG_WORD", 20)
+        got = many(words)
+        monkeypatch.undo()
+        assert got[0].tolist() == expected[0].tolist() and got[1].tolist() == expected[1].tolist()
+
+
+def test_texts_without_spaces(spark):
+    model, text = proto_like(True), "thé" * 150_000
+    rows = spark.createDataFrame([(k, text + str(k)) for k in range(3)], "doc_id long, text string")
+    assert [r["decoded"] == text + str(r["doc_id"]) for r in lattice.lattice_encode(rows, model).collect()] == [True] * 3
+    memory = lattice._Memory(model)
+    for k in range(40):
+        memory.numbers([f"{k}" + "x" * 600_000])
+    assert memory.chars <= lattice.REMEMBERED_CHARS + 600_100
+
+
 def test_pipeline_against_a_plain_version(spark, sf_dir):
     import corpus_pipeline as p
     from piecewright.llm.decontaminate import RATE, normal
