@@ -167,7 +167,7 @@ def part_of(piece: Piece, h32: np.ndarray, shapes: np.ndarray, counts: np.ndarra
 
 class Model:
     """Rows of `side` weights. A feature of a context is the word before, the word skipped to, or both; it has a row,
-    found by hashing, for the softmax over classes, and one for the softmax over the members of each class."""
+    found by hashing, for the softmax over classes, and the first two have one for that over each class's members."""
 
     def __init__(self, side: int, bias: tuple[np.ndarray, np.ndarray], weights: np.ndarray, calm: np.ndarray):
         self.side, self.bias, self.weights, self.calm = side, bias, weights, calm
@@ -178,10 +178,11 @@ class Model:
         return cls(units.side, units.bias(), np.zeros((rows, units.side), np.float32), np.full(rows, CALM, np.float32))
 
     def rows(self, one: np.ndarray, two: np.ndarray, node: np.ndarray | int) -> list[np.ndarray]:
-        """The rows of each context's features in the softmax of a node: 0 for classes, 1 + class for its members."""
+        """The rows of each context's features in the softmax of a node: 0 for classes, 1 + class for its members, an array."""
         out, shift = [], np.uint64(64 - (len(self.weights).bit_length() - 1))
         with np.errstate(over="ignore"):
-            for feature, x in enumerate((one, two, (one * _TURN) ^ (two + np.uint64(7)))):
+            both = ((one * _TURN) ^ (two + np.uint64(7)),) if isinstance(node, int) else ()
+            for feature, x in enumerate((one, two, *both)):
                 x = (x * np.uint64(4) + np.uint64(feature)) * _MIX + np.asarray(node, np.uint64) * _TURN
                 x = (x ^ (x >> np.uint64(31))) * _TURN
                 out.append((((x ^ (x >> np.uint64(29))) * _MIX) >> shift).astype(np.int64))
@@ -222,7 +223,7 @@ class Model:
 
 def summed(rows: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The different rows, and the sums of their values; rows that occur once are only copied."""
-    order = np.argsort(rows, kind="stable")
+    order = np.argsort(rows)
     found = rows[order]
     first = np.flatnonzero(np.concatenate(([True], found[1:] != found[:-1])))
     times = np.diff(np.append(first, len(found)))

@@ -69,7 +69,7 @@ def plain_scores(rows, model, side):
 
     def softmax(before, node, bias):
         x = bias.astype(float).copy()
-        for (r,) in model.rows(*(np.array([b], np.uint64) for b in before), np.array([node])):
+        for (r,) in model.rows(*(np.array([b], np.uint64) for b in before), np.array([node]) if node else 0):
             x += model.weights[r]
         return np.exp(x) / np.exp(x).sum()
 
