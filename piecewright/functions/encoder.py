@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import re
-import uuid
 from collections import defaultdict
 from collections.abc import Iterator
 from itertools import islice
@@ -203,11 +202,12 @@ def _encoder(token: str, sent, cut: bool) -> Encoder:
 def encoder_function(spark: SparkSession, model: Model, cut: bool = False, pieces: bool = True):
     """A function from a text column to struct<ids, pieces>. One call gives both, so that no text is encoded twice.
 
-    The model is broadcast once; each Python worker builds its encoder once and keeps what it has segmented. cut: texts
+    The model is broadcast once; each Python worker builds its encoder once, also for several queries, and keeps what it
+    has segmented. cut: texts
     of models without a pre-tokenizer are encoded stretch by stretch (see run_cuts_are_exact). pieces=False leaves the
     pieces null, which halves what returns from Python.
     """
-    sent, token = spark.sparkContext.broadcast(model), uuid.uuid4().hex
+    sent, token = spark.sparkContext.broadcast(model), f"{model.key} {cut}"
 
     @F.arrow_udf(TYPE)
     def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
@@ -220,7 +220,7 @@ def encoder_function(spark: SparkSession, model: Model, cut: bool = False, piece
 
 def batch_function(spark: SparkSession, model: Model, cut: bool = False):
     """The same for arrays of texts: array<array<int>>."""
-    sent, token = spark.sparkContext.broadcast(model), uuid.uuid4().hex
+    sent, token = spark.sparkContext.broadcast(model), f"{model.key} {cut}"
 
     @F.arrow_udf("array<array<int>>")
     def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:

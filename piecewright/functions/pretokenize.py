@@ -46,8 +46,8 @@ def metaspace_column(text: Column) -> Column:
 
 def whitespace_metaspace_column(text: Column) -> Column:
     """whitespace_metaspace() as an expression."""
-    words = F.filter(F.split(text, f"[{WHITE_SPACE}]+"), lambda w: w != "")
-    return F.transform(words, lambda w: F.concat(F.lit(META), w))
+    spaced = F.replace(F.translate(text, WHITE_SPACE, " " * len(WHITE_SPACE)), F.lit(" "), F.lit(" " + META))
+    return F.filter(F.split(F.concat(F.lit(META), spaced), " "), lambda w: w != META)
 
 
 class AddedTokens:

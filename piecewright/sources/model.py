@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import base64
 import binascii
+import hashlib
 import importlib.resources
 import json
 from dataclasses import dataclass, field, replace
+from dataclasses import fields as fields_of
 from functools import cached_property
 
 import numpy as np
@@ -74,6 +76,12 @@ class Model:
     skip_zero_scores: bool = False
     name: str = field(default="model")
 
+    @cached_property
+    def key(self) -> str:
+        """Names all that encoding and decoding depend on, so that workers know a model they have met before."""
+        known = [getattr(self, f.name) for f in fields_of(self) if f.name not in ("name", "scores", "types")]
+        return hashlib.sha256(repr(known).encode("utf-8", "surrogatepass") + self.scores.tobytes() + self.types.tobytes()).hexdigest()
+
     @cached_property
     def index(self) -> dict[str, int]:
         """piece -> id; of equal pieces the last. Ids that a JSON vocabulary leaves out have no piece to find."""
