@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import islice
 
 import numpy as np
@@ -12,10 +12,10 @@ import pyarrow as pa
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.model import BPE, META, UNUSED, USER_DEFINED, Model
+from ..sources.model import BPE, META, METASPACE, SPLIT_METASPACE, UNUSED, USER_DEFINED, Model
 from .bpe import Bpe
 from .normalize import Normalizer
-from .pretokenize import AddedTokens, pre_tokenizer
+from .pretokenize import AddedTokens, pre_tokenizer, split_words
 from .unigram import Unigram, UnigramBatch
 
 TYPE = "struct<ids: array<int>, pieces: array<string>>"
@@ -38,6 +38,10 @@ def run_cuts_are_exact(model: Model) -> bool:
     return not any(META in p.lstrip(META) for p in reach)
 
 
+#: Begins what is remembered as it is.
+WHOLE = "\x00"
+
+
 class Encoder:
     """A model's encoding of texts. Segments that were seen before are looked up; what is remembered is bounded, by
     number and by characters, as a segment may be a whole text."""
@@ -52,11 +56,30 @@ class Encoder:
             if not run_cuts_are_exact(model):
                 raise ValueError("pieces of this model cross word borders; texts can't be cut into words")
             self.pre = re.compile(f"{META}*[^{META}]+|{META}+", re.S).findall
+        self.keys = self._keys()
         self.seen: dict[str, list[tuple[int, str]]] = {}
         self.many = UnigramBatch(model) if self.pre is not None and model.kind != BPE else None
         self.names = pa.array(model.pieces, pa.string())
         self._forget()
 
+    def _keys(self) -> Callable[[str], list[str]]:
+        """Cuts a raw text into what its segments are remembered by: a word that stands for itself after ▁, or WHOLE and
+        a segment. Words are had by cutting at white space, without a string made for each."""
+        pre, normalize, m = self.pre, self.normalize, self.model
+        plain = not (m.add_dummy_prefix or m.remove_extra_whitespaces or m.escape_whitespaces or m.charsmap)
+        if m.pre_tokenizer == SPLIT_METASPACE and plain:
+            return lambda text: split_words(text) if WHOLE not in text else [WHOLE + META + w for w in split_words(text)]
+        if pre is None:
+            return lambda text: [WHOLE + normalize(text)]
+        spaced = m.pre_tokenizer not in (METASPACE, SPLIT_METASPACE) and m.add_dummy_prefix and m.escape_whitespaces and not (m.remove_extra_whitespaces or m.charsmap)
+
+        def cut(text: str) -> list[str]:
+            if spaced and "  " not in text and text[0] != " " and text[-1] != " " and META not in text and WHOLE not in text:
+                return text.split(" ")
+            return [WHOLE + s for s in pre(normalize(text))]
+
+        return cut
+
     def _forget(self) -> None:
         self.number: defaultdict[str, int] = defaultdict()
         self.number.default_factory = self.number.__len__
@@ -65,7 +88,7 @@ class Encoder:
 
     def _learn(self) -> None:
         """Segments what has got a number since the last time."""
-        new = list(islice(self.number, len(self.offsets) - 1, None))
+        new = [k[1:] if k[0] == WHOLE else META + k for k in islice(self.number, len(self.offsets) - 1, None)]
         if not new:
             return
         self.chars += sum(map(len, new))
@@ -87,7 +110,7 @@ class Encoder:
         models with a pre-tokenizer and texts without added tokens, whose words are numbers into what is remembered."""
         if len(self.number) > self.REMEMBERED or self.chars > self.REMEMBERED_CHARS:
             self._forget()
-        words = [self.pre(self.normalize(t)) if t else () for t in texts]
+        words = [self.keys(t) if t else () for t in texts]
         numbers = [np.fromiter(map(self.number.__getitem__, w), np.int64, len(w)) for w in words]
         self._learn()
         every = np.concatenate([*numbers, np.zeros(0, np.int64)])

@@ -29,8 +29,15 @@ def metaspace(text: str) -> list[str]:
     return split_keeping(text if text.startswith(META) or not text else META + text)
 
 
+def split_words(text: str) -> list[str]:
+    """The words of a text. Python's own notion of space has four characters more than Unicode's property."""
+    if any(c in text for c in "\x1c\x1d\x1e\x1f"):
+        return [w for w in _SPACES.split(text) if w]
+    return text.split()
+
+
 def whitespace_metaspace(text: str) -> list[str]:
-    return [META + w for w in _SPACES.split(text) if w]
+    return [META + w for w in split_words(text)]
 
 
 def pre_tokenizer(model: Model) -> Callable[[str], list[str]] | None:

@@ -76,7 +76,7 @@ class Unigram:
 class UnigramBatch:
     """Unigram for many segments at once: the same steps, in the same float32, with numpy over all segments.
 
-    Substrings are looked up by 64-bit rolling hashes of their code points among those of the pieces of each length,
+    Substrings that a table of hash bits doesn't rule out are looked up by 64-bit rolling hashes of their code points among those of the pieces of each length,
     which differ, and what is found is compared by code points. Steps go from place to place; at each, all segments that reach so far relax their edges by length.
     """
 
@@ -102,7 +102,9 @@ class UnigramBatch:
             order = np.argsort(hashes)
             if len(np.unique(hashes)) < len(pieces):
                 raise ValueError("two pieces have one hash")
-            self.tables[n] = hashes[order], np.array([i for _, i, _ in pieces], np.int64)[order], np.array([x for _, _, x in pieces], self.FLOAT)[order], codes[order]
+            marks = np.zeros(1 << (16 * len(pieces)).bit_length(), bool)
+            marks[(hashes & np.uint64(len(marks) - 1)).astype(np.int64)] = True
+            self.tables[n] = marks, hashes[order], np.array([i for _, i, _ in pieces], np.int64)[order], np.array([x for _, _, x in pieces], self.FLOAT)[order], codes[order]
         self.fallback: dict[int, tuple[float, list[int]]] = {}
 
     def _next(self, hashes: np.ndarray, codes: np.ndarray) -> np.ndarray:
@@ -136,13 +138,15 @@ class UnigramBatch:
         for k in range(1, min(self.longest, int(size[0]) if len(size) else 0) + 1):
             hashes = self._next(hashes[: n - k + 1], codes[k - 1 :])
             if k in self.tables:
-                table, ids, scores, spelled = self.tables[k]
-                at = np.minimum(np.searchsorted(table, hashes), len(table) - 1)
-                hit = table[at] == hashes
-                found = np.flatnonzero(hit)
+                marks, table, ids, scores, spelled = self.tables[k]
+                found = np.flatnonzero(marks[(hashes & np.uint64(len(marks) - 1)).astype(np.int64)])
+                at = np.minimum(np.searchsorted(table, hashes[found]), len(table) - 1)
+                hit = table[at] == hashes[found]
                 for j in range(k):
-                    hit[found] &= codes[found + j] == spelled[at[found], j]
-                pieces[k] = np.where(hit, ids[at], -1), scores[at]
+                    hit &= codes[found + j] == spelled[at, j]
+                found, at = found[hit], at[hit]
+                pieces[k] = np.full(len(hashes), -1, np.int64), np.zeros(len(hashes), self.FLOAT)
+                pieces[k][0][found], pieces[k][1][found] = ids[at], scores[at]
         alone = pieces[1][0] >= 0 if 1 in pieces else np.zeros(n, bool)
         missing = {c: self._uncovered(c) for c in np.unique(codes[~alone]).tolist()}
         cost = np.zeros(n, self.FLOAT)

@@ -2,6 +2,7 @@
 
 import json
 import sys
+from dataclasses import replace
 
 import pytest
 from hypothesis import given, settings
@@ -32,7 +33,6 @@ def test_the_expression_normalizes_as_the_kernel_does(spark, texts):
 
 
 def _with(dummy, lean, escape):
-    from dataclasses import replace
 
     return replace(UNIGRAM, add_dummy_prefix=dummy, remove_extra_whitespaces=lean, escape_whitespaces=escape)
 
@@ -115,12 +115,12 @@ def test_pieces_are_compared_and_not_only_their_hashes(monkeypatch):
     right, offsets = many(words)
     one = Unigram(UNIGRAM)
     assert [right[a:b].tolist() for a, b in zip(offsets, offsets[1:])] == [[i for i, _ in one(w)] for w in words]
-    for n, (table, ids, scores, codes) in list(many.tables.items()):
+    for n, (marks, table, ids, scores, codes) in list(many.tables.items()):
         if n == 3:  # a piece's hash is now that of another word
             k = int(ids.tolist().index(UNIGRAM.piece_to_id("the"))) if UNIGRAM.piece_to_id("the") in ids.tolist() else 0
             codes = codes.copy()
             codes[k] = [ord(c) for c in "q~q"]
-            many.tables[n] = table, ids, scores, codes
+            many.tables[n] = marks, table, ids, scores, codes
     changed, cuts = many(["the"])
     assert len(changed[cuts[0] : cuts[1]]) >= 1 and changed.tolist() != right[: offsets[1]].tolist() or UNIGRAM.piece_to_id("the") == UNIGRAM.unk_id
 
@@ -142,3 +142,18 @@ def test_an_encoder_remembers_a_bounded_number_of_characters():
         encoder.batch([f"n{k}" + "é" * 1_000])
         assert encoder.chars <= 40_000
     assert few > 1 << 20 and len(encoder.number) <= 7
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.text(alphabet=f"the \n\t\x1c\x85\xa0{META}é\x00", max_size=30), min_size=1, max_size=8))
+def test_batches_are_encoded_as_single_texts(texts):
+    import numpy as np
+
+    from piecewright.functions.encoder import Encoder
+
+    for model in (UNIGRAM, METASPACE, _with(True, False, True), _with(False, False, False)):
+        for encoder in (Encoder(model), Encoder(replace(model, pre_tokenizer="none"), cut=True)):
+            ids, cuts = encoder.batch(texts)
+            for k, t in enumerate(texts):
+                single = [i for s in (encoder.pre(encoder.normalize(t)) if t else ()) for i, _ in encoder.segment(s)]
+                assert ids[cuts[k] : cuts[k + 1]].astype(np.int64).tolist() == single
