@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -12,6 +14,8 @@ from . import common
 from .graph import connected_components
 
 _H = xxhash.xxh64_intdigest
+#: Fingerprints of one key beyond which its pairs aren't listed, and fingerprints that a task then compares at once.
+DENSE, BLOCK_PRINTS = 64, 2048
 #: Shingles hashed at a time, which bounds memory for very long texts.
 BLOCK = 1 << 16
 
@@ -62,7 +66,9 @@ def fingerprint_links(classes: DataFrame, budget: int = 3) -> DataFrame:
     is equal, the first two differ in at most one bit, the first three in at most two. The first two conditions are the
     equi-join's key: one side gives its 32 bits, the other these with none or one bit of the second segment turned.
     The third drops candidates before the full Hamming distance is taken. Keys have 32 bits, so that the candidates
-    per fingerprint grow with the number of fingerprints over 2^32.
+    per fingerprint grow with the number of fingerprints over 2^32. Keys that over DENSE fingerprints have, as in a ball
+    of near copies, are taken out of the join: their fingerprints are cut into blocks, each pair of blocks is a task's
+    share, and of the links found there a forest that joins the same fingerprints is kept, not all pairs.
     """
     if not 0 <= budget <= 3:
         raise ValueError("a ring of four segments covers budgets of 0 to 3 bits")
@@ -76,8 +82,58 @@ def fingerprint_links(classes: DataFrame, budget: int = 3) -> DataFrame:
     chain = F.lit(False)
     for i in range(4):
         chain = chain | ((F.col("i") == i) & (bits[i] + bits[(i + 1) % 4] + bits[(i + 2) % 4] <= 2))
-    met = probe.join(index.select("fp", "key"), "key").where((F.col("a") < fp) & chain & (F.bit_count(diff) <= budget))
-    return met.select("a", fp.alias("b")).distinct()
+    dense, _ = common.written(index.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > DENSE).select(F.col("key").alias("dense")), "dense")
+    n_dense = dense.count()
+    few = F.broadcast(dense) if n_dense * 32 <= common.BROADCAST_BYTES else dense
+    sparse = index.join(few, F.col("key") == F.col("dense"), "left_anti") if n_dense else index
+    met = probe.join(sparse.select("fp", "key"), "key").where((F.col("a") < fp) & chain & (F.bit_count(diff) <= budget))
+    out = met.select("a", fp.alias("b")).distinct()
+    if not n_dense:
+        return out
+    members = probe.select(F.col("a").alias("fp"), "key").union(index.select("fp", "key")).join(few, F.col("key") == F.col("dense"), "left_semi").distinct()
+    return out.union(_dense_links(members, budget))
+
+
+def near_forest(prints: np.ndarray, budget: int) -> list[tuple[int, int]]:
+    """Links that join whatever pairs of fingerprints with at most `budget` different bits join: each one is compared
+    with those not yet reached, so that there are fewer links than fingerprints."""
+    bits, open_, out = prints.view(np.uint64), np.ones(len(prints), bool), []
+    for seed in range(len(prints)):
+        stack = [seed] if open_[seed] else []
+        open_[seed] = False
+        while stack and open_.any():
+            at, left = stack.pop(), np.flatnonzero(open_)
+            near = left[np.bitwise_count(bits[left] ^ bits[at]) <= budget]
+            open_[near] = False
+            out += [(int(prints[at]), int(prints[k])) for k in near]
+            stack += near.tolist()
+    return out
+
+
+def _dense_links(members: DataFrame, budget: int) -> DataFrame:
+    """(a, b): a forest of the links among the fingerprints of each key of members(fp, key)."""
+    sizes = members.groupBy(F.col("key").alias("of")).agg(F.ceil(F.count(F.lit(1)) / BLOCK_PRINTS).cast("int").alias("blocks"))
+    own = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")
+    shares = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct("key", F.least(own, o).alias("lo"), F.greatest(own, o).alias("hi")))
+    dealt = members.join(sizes, F.col("key") == F.col("of")).select("fp", F.explode(shares).alias("s")).select("s.key", "s.lo", "s.hi", "fp")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def out(prints: list[int]) -> pa.RecordBatch:
+            links = [(min(x), max(x)) for x in near_forest(np.array(prints, np.int64), budget)]
+            return pa.RecordBatch.from_arrays([pa.array([x[i] for x in links], pa.int64()) for i in (0, 1)], ["a", "b"])
+
+        share, held = None, []
+        for batch in batches:
+            for row in zip(*(c.to_pylist() for c in batch.columns)):
+                if row[:3] != share:
+                    if len(held) > 1:
+                        yield out(held)
+                    share, held = row[:3], []
+                held.append(row[3])
+        if len(held) > 1:
+            yield out(held)
+
+    return dealt.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi").mapInArrow(run, "a long, b long").distinct()
 
 
 def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_each: int = 3, budget: int = 3) -> DataFrame:
@@ -86,7 +142,8 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     Equal fingerprints are one class, whose smallest id stands for it; links join classes only. Null text counts as
     empty, and texts without words are linked like any others. A null id belongs to its class, but names none: a class
-    of null ids alone has a null component. Rows that repeat an id each give a row. An empty table gives no rows.
+    of null ids alone has a null component. Rows that repeat an id each give a row. An empty table gives no rows. Very
+    long texts are hashed in blocks; other columns are not read, whatever their names.
     """
     common.prepare(docs.sparkSession)
     rows = fingerprints(docs, id_col, text_col, words_each).checkpoint()

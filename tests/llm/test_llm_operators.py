@@ -83,6 +83,32 @@ def brute_simhash(rows, budget=3):
     return sorted(((rows[k][0], f"{prints[k]:016x}", min(low[groups[k]], default=None)) for k in range(len(rows))), key=repr)
 
 
+def test_dense_balls_of_fingerprints(spark, monkeypatch):
+    """Fingerprints of which many share a key, against all pairs; links there are fewer than pairs."""
+    from piecewright.llm import simhash
+
+    rng, prints = random.Random(19), set()
+    for centre in (0, -1, rng.getrandbits(63)):
+        near = {centre}
+        while len(near) < 150:
+            own = rng.choice(sorted(near))
+            for _ in range(rng.randint(1, 3)):
+                own ^= 1 << rng.randrange(63)
+            near.add(own)
+        prints |= near
+    prints |= {rng.getrandbits(64) - (1 << 63) for _ in range(100)}
+    classes = spark.createDataFrame([(p, k) for k, p in enumerate(sorted(prints))], "fp long, rep long")
+    pairs = [(a, b) for a in prints for b in prints if a < b and ((a ^ b) & (1 << 64) - 1).bit_count() <= 3]
+    expected = components(pairs)
+    for dense, block in ((64, 2048), (4, 2048), (2, 5)):
+        monkeypatch.setattr(simhash, "DENSE", dense)
+        monkeypatch.setattr(simhash, "BLOCK_PRINTS", block)
+        links = [tuple(r) for r in simhash.fingerprint_links(classes).collect()]
+        assert components(links) == expected and set(links) <= set(pairs)
+    monkeypatch.setattr(simhash, "DENSE", 0)
+    assert len(simhash.fingerprint_links(classes).collect()) < len(pairs)
+
+
 def test_simhash(spark, odd, none, sf_dir):
     near = [(100 + k, re.sub(r"^\S+", f"w{k}", COPY)) for k in range(30)] + [(200 + k, prose(4)) for k in range(60)]
     more = spark.createDataFrame([*ODD, *near], "doc_id long, text string")
