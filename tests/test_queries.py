@@ -13,32 +13,39 @@ def test_query_against_sql(spark, sf_dir, duck, name):
 
 
 def test_added_tokens_against_brute_force(spark, sf_dir):
+    """Every token of every text: cut by hand at the added tokens, the parts encoded word by word."""
     from piecewright.functions.unigram import Unigram
+    from piecewright.operators import encode as operators
 
-    m, rows = queries.ADDED, {r["k"]: r["n_tokens"] for r in queries.encode_added(spark, sf_dir).collect()}
-    tokens, encode = sorted((t.content for t in m.matched_added_tokens), key=len, reverse=True), Unigram(m)
-    for r in spark.read.parquet(f"{sf_dir}/documents.parquet").limit(40).collect():
-        ids, text, plain = [], r["text"], ""
+    m, ids_of = queries.ADDED, {t.content: t.id for t in queries.ADDED.matched_added_tokens}
+    tokens, encode = sorted(ids_of, key=len, reverse=True), Unigram(m)
 
-        def flush(plain):
-            if plain:
-                marked = plain.replace(" ", "▁")
-                marked = marked if marked.startswith("▁") else "▁" + marked
-                for part in marked.split("▁")[1:]:
-                    ids.extend(i for i, _ in encode("▁" + part))
+    def regular(plain):
+        marked = plain.replace(" ", "▁")
+        marked = marked if marked.startswith("▁") else "▁" + marked
+        return [x for part in marked.split("▁")[1:] for x in encode("▁" + part)] if plain else []
 
-        while text:
-            hit = next((t for t in tokens if text.startswith(t)), None)
+    def plain_tokens(text):
+        out, at, begin = [], 0, 0
+        while at < len(text):
+            hit = next((t for t in tokens if text.startswith(t, at)), None)
             if hit:
-                flush(plain)
-                plain = ""
-                ids.append(-1)
-                text = text[len(hit) :]
+                out += [*regular(text[begin:at]), (ids_of[hit], hit)]
+                at = begin = at + len(hit)
             else:
-                plain, text = plain + text[0], text[1:]
-        flush(plain)
-        runs = sum(1 for a, b in zip([None, *ids], ids) if not (a == 0 and b == 0))
-        assert rows[r["doc_id"]] == runs
+                at += 1
+        out += regular(text[begin:])
+        merged = []
+        for i, p in out:
+            if merged and i == m.unk_id == merged[-1][0]:
+                merged[-1] = (i, merged[-1][1] + p)
+            else:
+                merged.append((i, p))
+        return merged
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    for r in operators.encode(docs, m, "text", "e").collect():
+        assert list(zip(r["e"]["ids"], r["e"]["pieces"])) == plain_tokens(r["text"])
 
 
 def test_entry_and_registration():
