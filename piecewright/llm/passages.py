@@ -394,6 +394,11 @@ def paragraph_links(docs: DataFrame, similarity: float = SIMILARITY, recall: flo
     is a task's share, so that any two members meet and no task holds more than two blocks. What comes out joins a
     share's members without listing all pairs.
     """
+    return _linked(docs, similarity, recall)[0]
+
+
+def _linked(docs: DataFrame, similarity: float, recall: float = 0.99) -> tuple[DataFrame, str]:
+    """paragraph_links as a table, and its place."""
     spark = docs.sparkSession
     bands, rows = tuned_bands(similarity, recall)
     shared, place = common.written(_band_rows(docs, bands, rows).groupBy("key").agg(F.min("uh").alias("lo"), F.max("uh").alias("hi")).where("lo <> hi").select("key"), "buckets")
@@ -409,11 +414,11 @@ def paragraph_links(docs: DataFrame, similarity: float = SIMILARITY, recall: flo
     own = F.pmod(F.xxhash64("uh"), F.col("blocks")).cast("int")
     shares = F.when(F.col("blocks").isNull(), F.array("key")).otherwise(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.xxhash64("key", F.least(own, o), F.greatest(own, o))))
     met = met.join(large, F.col("key") == F.col("large"), "left").select("uh", F.explode(shares).alias("key"), "shingles")
-    out, _ = common.written(_verified(met.select("key", "uh", "shingles").repartition("key").sortWithinPartitions("key", "uh"), similarity), "links")
+    out, links = common.written(_verified(met.select("key", "uh", "shingles").repartition("key").sortWithinPartitions("key", "uh"), similarity), "links")
     for used in (place, path):
         common.drop_folder(spark, used)
     common.release(spark)
-    return out
+    return out, links
 
 
 def _extended(met: DataFrame, size: int) -> DataFrame:
@@ -543,7 +548,9 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     spark = docs.sparkSession
     common.prepare(spark)
     texts = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), common.utf8(text_col).alias("t"))
-    nodes, _ = common.written(connected_components(paragraph_links(texts, similarity)), "nodes")
+    links, place = _linked(texts, similarity)
+    nodes, _ = common.written(connected_components(links), "nodes")
+    common.drop_folder(spark, place)
     seeds, place = common.written(_seeds(texts, least_run).groupBy("seed").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).where("lo <> hi").select("seed"), "seeds")
     common.release(spark)
     found, _ = common.written(_places(texts, _filter(seeds), _filter(nodes.select("node")), least_run), "places")
