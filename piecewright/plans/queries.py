@@ -319,9 +319,24 @@ _SPLIT = "string_split(regexp_replace(text, '(\\[CLS\\]x|there|and|the|\\. )', c
 _ADDED_PARTS = f"parts AS (SELECT k, generate_subscripts(ps, 1) AS part, unnest(ps) AS text FROM (SELECT k, {_SPLIT} AS ps FROM src))"
 
 
+_ADDED_SEGMENTS = f"seg AS (SELECT k, part * 1000000 + generate_subscripts(s, 1) AS sp, unnest(s) AS w FROM (SELECT k, part, {oracle.METASPACE.format(text='text')} AS s FROM parts WHERE part % 2 = 1 AND text <> ''))"
+
+
+@query(
+    f"WITH src AS ({DOCUMENTS}),\n{_ADDED_PARTS},\n{_ADDED_SEGMENTS}\n"
+    "SELECT k, count(*) AS segments, count(*) FILTER (WHERE added) AS added, md5(string_agg(w, '|' ORDER BY sp)) AS digest "
+    "FROM (SELECT k, sp, w, false AS added FROM seg UNION ALL SELECT k, part * 1000000, text, true FROM parts WHERE part % 2 = 0) GROUP BY k"
+)
+def segments(spark, sf_dir):
+    """Added tokens and pre-tokenized segments of each text, in order."""
+    rows = encode.segments(_documents(spark, sf_dir).select("k", "text"), ADDED)
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seg_pos", "segment"))), lambda x: x["segment"]), "|")
+    return rows.groupBy("k").agg(F.count(F.lit(1)).alias("segments"), F.count("added_id").alias("added"), _md5(joined).alias("digest"))
+
+
 @query(
     f"WITH RECURSIVE src AS ({DOCUMENTS}),\n{_ADDED_PARTS},\n"
-    f"seg AS (SELECT k, part * 1000000 + generate_subscripts(s, 1) AS sp, unnest(s) AS w FROM (SELECT k, part, {oracle.METASPACE.format(text='text')} AS s FROM parts WHERE part % 2 = 1 AND text <> '')),\n"
+    f"{_ADDED_SEGMENTS},\n"
     f"words AS (SELECT DISTINCT w FROM seg),\n{oracle.unigram_ctes(ADDED)},\n"
     + oracle.token_ctes(ADDED).replace("FROM seg JOIN enc USING (w))", "FROM seg JOIN enc USING (w) UNION ALL SELECT k, part * 1000000, 1, v.id, p.text FROM parts p JOIN vocab v ON v.piece = p.text WHERE part % 2 = 0)")
     + f"\n{_DIGEST}"
