@@ -20,7 +20,7 @@ LEAST_WORDS, LEAST_RUN = 10, 20
 #: places to either side.
 LONG_LINE, REACH = 100, 24
 #: Distinct paragraphs of a bucket that a task compares at once; larger buckets are dealt over pairs of such blocks.
-BUCKET = 4096
+BUCKET = 256
 #: Bits of a filter, and bytes of a filter that are merged in one place.
 FILTER_BITS, SEGMENT = 1 << 28, 1 << 16
 #: Bytes of texts that are worked on at a time; a longer text is one group.
