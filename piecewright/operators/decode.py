@@ -10,7 +10,8 @@ from ..sources.model import Model
 
 def decode_tokens(token_rows: DataFrame, model: Model, *keys: str) -> DataFrame:
     """(keys, text, bytes) of token rows (keys, pos, id): each id's bytes in order, one leading space off if the model
-    says so. Ids that the vocabulary lacks add nothing. Bytes that aren't UTF-8 become U+FFFD in text."""
+    says so. Ids that the vocabulary lacks add nothing. Bytes that aren't UTF-8 become U+FFFD in text. The tokens of a key
+    come together in one row, so a key should be a text."""
     vocab = F.broadcast(model.vocab(token_rows.sparkSession).select("id", "piece_bytes"))
     met = token_rows.join(vocab, "id", "left")
     ordered = F.transform(F.array_sort(F.collect_list(F.struct("pos", F.coalesce("piece_bytes", F.lit(b"")).alias("b")))), lambda x: x["b"])

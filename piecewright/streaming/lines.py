@@ -7,14 +7,15 @@ from pyspark.sql import functions as F
 
 from ..operators.analytics import line_stats, totals
 from ..sources.model import Model
+from ..sources.text import without_return
 
 
 def stream_lines(spark: SparkSession, path: str, files_per_trigger: int | None = None) -> DataFrame:
-    """(line) of text files as they arrive."""
-    reader = spark.readStream.format("text")
+    """(line) of text files as they arrive, cut as read_lines cuts them."""
+    reader = spark.readStream.format("text").option("lineSep", "\n")
     if files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)
-    return reader.load(path).select(F.col("value").alias("line"))
+    return reader.load(path).select(without_return(F.col("value")).alias("line"))
 
 
 def stream_stats(lines: DataFrame, model: Model) -> DataFrame:

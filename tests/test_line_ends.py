@@ -157,3 +157,16 @@ def test_batches_are_encoded_as_single_texts(texts):
             for k, t in enumerate(texts):
                 single = [i for s in (encoder.pre(encoder.normalize(t)) if t else ()) for i, _ in encoder.segment(s)]
                 assert ids[cuts[k] : cuts[k + 1]].astype(np.int64).tolist() == single
+
+
+def test_files_and_streams_are_cut_at_line_feeds_alone(spark, tmp_path):
+    from piecewright.sources.text import read_lines
+    from piecewright.streaming.lines import stream_lines
+
+    (tmp_path / "in").mkdir()
+    text = "a\rb\r\n\nc\r\r\n\u2028d \n"
+    (tmp_path / "in" / "x.txt").write_bytes(text.encode())
+    assert [r["line"] for r in read_lines(spark, str(tmp_path / "in")).collect()] == scanned(text)
+    query = stream_lines(spark, str(tmp_path / "in")).writeStream.format("memory").queryName("lines_seen").trigger(availableNow=True).start()
+    query.awaitTermination(60)
+    assert sorted(r["line"] for r in spark.table("lines_seen").collect()) == sorted(scanned(text))
