@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,6 +26,8 @@ BUCKET = 256
 FILTER_BITS, SEGMENT = 1 << 28, 1 << 16
 #: Bytes of texts that are worked on at a time; a longer text is one group.
 GROUP_BYTES = 1 << 21
+#: Bytes of a text whose words are hashed at a time.
+WORD_BYTES = 1 << 22
 
 _ODD = np.random.default_rng(20).integers(1, 1 << 62, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _POWER, _INVERSE = np.uint64(0x9E3779B97F4A7C15), np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -47,7 +50,7 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 
 _BYTES = np.random.default_rng(21).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_IS_SPACE = np.zeros(256, bool)
+_SPACE, _IS_SPACE = re.compile(rb"[\t-\r ]"), np.zeros(256, bool)
 _IS_SPACE[[9, 10, 11, 12, 13, 32]] = True
 _POWERS = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
@@ -61,6 +64,18 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS[0][:n], _POWERS[1][:n]
 
 
+def _words(buffer: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The words of some bytes that end with a word or white space: where they begin, in which line, and their hashes."""
+    space = np.concatenate([_IS_SPACE[buffer], [True]])
+    before = np.concatenate([[True], space[:-1]])
+    starts, ends = np.flatnonzero(before & ~space), np.flatnonzero(space & ~before)
+    with np.errstate(over="ignore"):
+        powers, inverse = _powers(len(buffer) + 1)
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_BYTES[buffer] * powers[: len(buffer)], dtype=np.uint64)])
+        hashes = _mix((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
+    return starts, np.searchsorted(np.flatnonzero(buffer == 10), starts), hashes
+
+
 class Texts:
     """The words of a batch of texts in a row, as hashes, and their paragraphs (lines) and parts.
 
@@ -70,22 +85,23 @@ class Texts:
 
     def __init__(self, texts: list[bytes]):
         joined = b"\n".join(texts).lower()
-        buffer = np.frombuffer(joined, np.uint8)
-        space = np.concatenate([_IS_SPACE[buffer], [True]])
-        before = np.concatenate([[True], space[:-1]])
-        starts, ends = np.flatnonzero(before & ~space), np.flatnonzero(space & ~before)
+        found, lines_before, at = [], 0, 0
+        while at < len(joined):
+            cut = _SPACE.search(joined, at + WORD_BYTES)
+            to = cut.end() if cut else len(joined)
+            starts, line, words = _words(np.frombuffer(joined, np.uint8, to - at, at))
+            found.append((starts + at, line + lines_before, words))
+            lines_before += joined.count(b"\n", at, to)
+            at = to
+        starts, line, self.words = (np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64))
         ends_of = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)) + 1) - 1
         begins = np.concatenate(([0], ends_of[:-1] + 1)) if len(texts) else np.zeros(0, np.int64)
         self.docs = np.stack([np.searchsorted(starts, begins), np.searchsorted(starts, ends_of)], axis=1) if len(texts) else np.zeros((0, 2), np.int64)
-        line = np.searchsorted(np.flatnonzero(buffer == 10), starts)
         n = len(starts)
         self.line_starts = np.flatnonzero(np.concatenate(([True], line[1:] != line[:-1]))) if n else np.zeros(0, np.int64)
         self.line_ends = np.append(self.line_starts[1:], n)
         with np.errstate(over="ignore"):
-            powers, inverse = _powers(max(len(buffer), n) + 1)
-            sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_BYTES[buffer] * powers[: len(buffer)], dtype=np.uint64)])
-            self.words = _mix((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
-            self.inverse = inverse
+            powers, self.inverse = _powers(n + 1)
             self.sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_mix(self.words) * powers[:n], dtype=np.uint64)])
             shingles = np.zeros(max(n - SHINGLE + 1, 0), np.uint64)
             for k in range(SHINGLE):
@@ -541,8 +557,8 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     and white space evened out before words are compared.
 
     Null and empty texts and rows with a null id have no stretches. Rows that repeat an id are laid over one another,
-    and a class needs two different ids. Very long texts take memory in proportion to their own length, about 40 bytes
-    a byte. Other columns are not read. Documents that share nothing aren't in the result, which is empty for an empty
+    and a class needs two different ids. Very long texts take memory in proportion to their own words, about 100 bytes
+    a word. Other columns are not read. Documents that share nothing aren't in the result, which is empty for an empty
     table.
     """
     spark = docs.sparkSession

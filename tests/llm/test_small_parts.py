@@ -241,6 +241,18 @@ def test_minima_and_seeds_are_those_of_plain_loops():
         assert t.seeds(run)[0].tolist() == sorted(expected)
 
 
+def test_words_of_long_texts_are_those_of_short_blocks(monkeypatch):
+    rng = random.Random(15)
+    texts = ["".join(rng.choice("ab \n\t\r\x0bZ") * rng.randint(1, 4) for _ in range(rng.randint(0, 300))).encode() for _ in range(12)] + [b"", b" ", b"x" * 500]
+    whole = passages.Texts(texts)
+    monkeypatch.setattr(passages, "WORD_BYTES", 7)
+    short = passages.Texts(texts)
+    for name in ("words", "docs", "line_starts", "line_ends", "sums", "shingles"):
+        assert (getattr(whole, name) == getattr(short, name)).all(), name
+    assert len(whole.words) == sum(len(t.split()) for t in texts)
+    assert [int(b - a) for a, b in whole.docs] == [len(t.split()) for t in texts]
+
+
 def test_stretches_keep_what_any_first_place_covers():
     rng = random.Random(10)
     for _ in range(300):
