@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from ..functions.pretokenize import WHITE_SPACE
-from ..sources.model import BYTE, META, Model, byte_value
+from ..sources.model import BPE, BYTE, META, UNUSED, Model, byte_value
 
 
 def text(value: str) -> str:
@@ -68,6 +68,32 @@ single AS (SELECT w, generate_subscripts(pieces, 1) AS n, unnest(pieces) AS piec
 enc AS (SELECT w, list(CAST(coalesce(v.id, {model.unk_id}) AS BIGINT) ORDER BY n) AS out, list(s.piece ORDER BY n) AS pieces FROM single s LEFT JOIN vocab v ON v.piece = s.piece GROUP BY w)"""
 
 
+def bpe_unused_ctes(model: Model) -> str:
+    """The same where some pieces are unused: each is taken apart into the pair that was last offered for it in its
+    word, again and again. Pairs are offered from left to right at first, then on the left and the right of a merge."""
+    rows = values([(p, i, float(model.scores[i]), int(model.types[i] == UNUSED)) for p, i in model.index.items()])
+    return f"""vocab(piece, id, score, unused) AS (SELECT column0, column1, CAST(column2 AS FLOAT), column3 = 1 FROM (VALUES {rows}) AS t(column0, column1, column2, column3)),
+merged AS (
+  SELECT w, string_split(w, '') AS sy, 0 AS step, CAST(0 AS BIGINT) AS here FROM words
+  UNION ALL
+  SELECT w, list_concat(list_concat(sy[1 : i - 1], [sy[i] || sy[i + 1]]), sy[i + 2 : len(sy)]), step + 1, i
+  FROM (SELECT w, any_value(sy) AS sy, step, -max({{'s': v.score, 'n': -i}}).n AS i
+        FROM (SELECT w, sy, step, unnest(range(1, len(sy))) AS i FROM merged WHERE len(sy) > 1) m JOIN vocab v ON v.piece = m.sy[m.i] || m.sy[m.i + 1]
+        GROUP BY w, step)),
+offered AS (
+  SELECT w, step, i AS turn, sy[i] AS l, sy[i + 1] AS r FROM (SELECT w, step, sy, unnest(range(1, len(sy))) AS i FROM merged WHERE step = 0)
+  UNION ALL SELECT w, step, 1, sy[here - 1], sy[here] FROM merged WHERE step > 0 AND here > 1
+  UNION ALL SELECT w, step, 2, sy[here], sy[here + 1] FROM merged WHERE step > 0 AND here < len(sy)),
+apart AS (SELECT w, v.piece, arg_max([l, r], step * 1000000 + turn) AS parts FROM offered JOIN vocab v ON v.piece = l || r WHERE v.unused GROUP BY w, v.piece),
+last AS (SELECT w, arg_max(sy, step) AS pieces FROM merged GROUP BY w),
+single AS (
+  SELECT w, generate_subscripts(pieces, 1) AS n, '' AS path, unnest(pieces) AS piece FROM last
+  UNION ALL
+  SELECT w, n, path || k, parts[k] FROM (SELECT s.w, s.n, s.path, a.parts, unnest([1, 2]) AS k FROM single s JOIN apart a ON a.w = s.w AND a.piece = s.piece)),
+leaf AS (SELECT s.w, s.n, s.path, s.piece FROM single s LEFT JOIN apart a ON a.w = s.w AND a.piece = s.piece WHERE a.w IS NULL),
+enc AS (SELECT w, list(CAST(CASE WHEN v.id IS NULL OR v.unused THEN {model.unk_id} ELSE v.id END AS BIGINT) ORDER BY n, path) AS out, list(s.piece ORDER BY n, path) AS pieces FROM leaf s LEFT JOIN vocab v ON v.piece = s.piece GROUP BY w)"""
+
+
 def token_ctes(model: Model) -> str:
     """tok(k, pos, id, piece) from seg and enc: bytes of uncovered characters, or unknown runs merged, pos from 0."""
     raw = """raw AS (SELECT k, sp, generate_subscripts(out, 1) AS tp, unnest(out) AS id, unnest(pieces) AS piece FROM seg JOIN enc USING (w))"""
@@ -85,6 +111,5 @@ tok AS (SELECT k, CAST(run - 1 AS BIGINT) AS pos, min(id) AS id, string_agg(piec
 
 def encoded(model: Model, source: str, final: str, cut: str = WORDS) -> str:
     """A query over tok and src."""
-    from ..sources.model import BPE
-
-    return f"WITH RECURSIVE {segment_ctes(source, cut)},\n{bpe_ctes(model) if model.kind == BPE else unigram_ctes(model)},\n{token_ctes(model)}\n{final}"
+    steps = unigram_ctes if model.kind != BPE else bpe_unused_ctes if (model.types == UNUSED).any() else bpe_ctes
+    return f"WITH RECURSIVE {segment_ctes(source, cut)},\n{steps(model)},\n{token_ctes(model)}\n{final}"
