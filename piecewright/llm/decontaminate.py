@@ -17,8 +17,9 @@ RATE = 0.07
 #: Items of fewer characters are matched without edits: at word borders if they have so many words, else against whole
 #: documents, as a word or two occur in any text.
 SHORT, QUOTED_WORDS = 24, 3
-#: Characters of items whose pieces one automaton holds; more items are searched in as many passes as needed.
-BLOCK_CHARS = 1 << 20
+#: Characters of items whose pieces one automaton holds, at about 65 bytes a character; more items are searched in as
+#: many readings of the texts as needed.
+BLOCK_CHARS = 4 << 20
 
 
 def normal(text: str) -> str:
