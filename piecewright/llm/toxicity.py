@@ -17,7 +17,9 @@ from .grammar import HEADS, INSULT, NEGATION, OTHER, QUOTE, REPORT, WORDS, Gramm
 
 _WORD = re.compile(r"[^\W\d_]+")
 _TOKEN = re.compile(r"[^\W\d_]+|[\"“”„«»]")
-_CLAUSE = re.compile(r"[.!?;\n]+")
+_CLAUSE = re.compile(r"[.!?;]+")
+#: What parts the cells of a table, and how many of these make a line one of a table.
+BAR, TABLE = "|", 3
 _QUOTES = set('"“”„«»')
 #: Word beginnings of these lengths, and whole words, may become entries of the insult lexicon.
 STEMS = (4, 5, 6)
@@ -41,14 +43,22 @@ def _features(word: str) -> list[str]:
 
 def clauses(text: str) -> list[list[str]]:
     """The words and quotation marks of each clause, lower-cased, with English contractions spelled out. What has under
-    three words is no clause by itself and belongs to the one that follows."""
-    low, out, open_ = text.lower().replace("\u2019", "'").replace("n't", " not").replace("'ll", " will"), [], []
-    for part in _CLAUSE.split(low):
-        open_ += _TOKEN.findall(part)
-        if len(open_) >= 3:
-            out.append(open_)
-            open_ = []
-    return out + [open_] if open_ else out
+    three words is no clause by itself and belongs to the one that follows. Lines of a table that follow one another are
+    one list, which begins with a bar."""
+    low, out, open_, table = text.lower().replace("\u2019", "'").replace("n't", " not").replace("'ll", " will"), [], [], []
+    for line in low.split("\n"):
+        if line.count(BAR) >= TABLE:
+            table += _TOKEN.findall(line)
+            continue
+        if table:
+            out.append([BAR, *table])
+            table = []
+        for part in _CLAUSE.split(line):
+            open_ += _TOKEN.findall(part)
+            if len(open_) >= 3:
+                out.append(open_)
+                open_ = []
+    return out + [x for x in (open_, [BAR, *table] if table else []) if x]
 
 
 _FIXED = {w: k for k, words in reversed(WORDS.items()) if k != INSULT for w in words.split()}
@@ -89,6 +99,8 @@ def clause_scores(text: str, lexicon: Lexicon, grammar: Grammar) -> tuple[np.nda
     for clause in clauses(text):
         total += 1
         read = [look(t) for t in clause]
+        if clause[0] == BAR:  # the words of a table build no clause, but insults may stand beside others
+            read = [r if r[0] == INSULT else (OTHER, 1.0) for r in read]
         found = grammar.matches([c for c, _ in read])
         if not found:
             continue
@@ -114,7 +126,7 @@ def spoken_words(text: str) -> set[str]:
         if NEGATION in kinds:
             clause = [w for i, w in enumerate(clause) if NEGATION not in kinds[max(0, i - 3) : i]]
         out.update(clause)
-    return out - _QUOTES
+    return out - _QUOTES - {BAR}
 
 
 @dataclass

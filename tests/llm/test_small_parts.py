@@ -306,6 +306,11 @@ def test_the_composed_machine_does_what_its_transducers_do():
 
 def test_clauses():
     assert toxicity.clauses("You aren\u2019t it. No! I'll go now;\nA B C") == [["you", "are", "not", "it"], ["no", "i", "will", "go", "now"], ["a", "b", "c"]]
+    table = "Before it all.\na | b | the. | x\nc | d | e | f\nAfter it all"
+    assert toxicity.clauses(table) == [["before", "it", "all"], ["|", "a", "b", "the", "x", "c", "d", "e", "f"], ["after", "it", "all"]]
+    lexicon, found = toxicity.Lexicon({"zorg": 1.0}), grammar.Grammar()
+    assert toxicity.clause_scores("the | zorg | of | you", lexicon, found)[1] == 0 and toxicity.clause_scores("the | zorg | of\n | zorg | x | y", lexicon, found)[1] <= 1
+    assert toxicity.clause_scores("the | zorg | of | x\na | zorg | x | y", lexicon, found)[1] == 1
     assert toxicity.clauses("") == [] and toxicity.clauses("x") == [["x"]] and toxicity.clauses("A!! B!! C!!") == [["a", "b", "c"]]
     assert toxicity.spoken_words("You are not the idiot we saw today. He said scum is there") >= {"you", "today", "he"}
     assert not toxicity.spoken_words("You are not the idiot we saw today. He said scum is there") & {"idiot", "scum", "said"}
