@@ -10,8 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of an Arrow batch between the JVM and Python. Texts may be long, so batches are short.
-ARROW_ROWS = 512
+#: Rows and bytes of an Arrow batch between the JVM and Python. Texts may be long, so batches are short.
+ARROW_ROWS, ARROW_BYTES = 512, 8 << 20
 #: A table is broadcast only if it has been counted and takes at most so many bytes.
 BROADCAST_BYTES = 32 << 20
 
@@ -19,6 +19,7 @@ BROADCAST_BYTES = 32 << 20
 def prepare(spark: SparkSession) -> None:
     """Settings that the operators rely on; called by each of them."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
     shared_dir(spark)
 
 
