@@ -61,6 +61,12 @@ def written(df: DataFrame, kind: str = "table") -> tuple[DataFrame, str]:
     return spark.read.schema(df.schema).parquet(path), path
 
 
+def gathered(df: DataFrame, most: int, file_rows: int) -> DataFrame:
+    """df, which has at most `most` rows, in no more partitions than these take at file_rows each. Where AQE doesn't
+    merge small partitions, a table of a few rows else gets a file for each."""
+    return df.coalesce(max(1, -(-most // file_rows)))
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,8 +23,10 @@ LEAST_WORDS, LEAST_RUN = 10, 20
 LONG_LINE, REACH = 100, 24
 #: Distinct paragraphs of a bucket that a task compares at once; larger buckets are dealt over pairs of such blocks.
 BUCKET = 256
-#: Bits of a filter, and bytes of a filter that are merged in one place.
-FILTER_BITS, SEGMENT = 1 << 28, 1 << 16
+#: Bits of a filter, bytes of a filter that are merged in one place, and bytes that the driver fetches at a time.
+FILTER_BITS, SEGMENT, FETCH_BYTES = 1 << 28, 1 << 16, 1 << 22
+#: Rows a file of small intermediate tables, of pairs of hashes and of first places.
+PAIR_ROWS, PLACE_ROWS = 1 << 10, 1 << 14
 #: Bytes of texts that are worked on at a time; a longer text is one group.
 GROUP_BYTES = 1 << 21
 #: Bytes of a text whose words are hashed at a time.
@@ -298,7 +301,8 @@ def _passed(uh: np.ndarray, bits: np.ndarray) -> np.ndarray:
 
 def _filter(found: DataFrame) -> np.ndarray:
     """A bit filter of the hashes in found's one column, which is counted; its size is bounded, and false hits only cost
-    time. Tasks make bits in packed form, and these are merged on the executors, a SEGMENT in one place."""
+    time. Tasks make bits in packed form, and these are merged on the executors, a SEGMENT in one place; the driver
+    fetches FETCH_BYTES with a job, however many partitions there are."""
     bits = min(FILTER_BITS, max(SEGMENT * 8, 1 << (16 * found.count()).bit_length()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -319,7 +323,8 @@ def _filter(found: DataFrame) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([part.tobytes()], pa.binary())], ["at", "bits"])
 
     out = np.zeros(bits // 8, np.uint8)
-    for row in found.mapInArrow(run, "at int, bits binary").repartition("at").mapInArrow(merge, "at int, bits binary").toLocalIterator():
+    merged = found.mapInArrow(run, "at int, bits binary").repartition("at").mapInArrow(merge, "at int, bits binary")
+    for row in merged.repartition(-(-len(out) // FETCH_BYTES)).toLocalIterator():
         out[row["at"] : row["at"] + SEGMENT] = np.frombuffer(row["bits"], np.uint8)
     return out
 
@@ -417,22 +422,28 @@ def _linked(docs: DataFrame, similarity: float, recall: float = 0.99) -> tuple[D
     """paragraph_links as a table, and its place."""
     spark = docs.sparkSession
     bands, rows = tuned_bands(similarity, recall)
-    shared, place = common.written(_band_rows(docs, bands, rows).groupBy("key").agg(F.min("uh").alias("lo"), F.max("uh").alias("hi")).where("lo <> hi").select("key"), "buckets")
+    shared = _band_rows(docs, bands, rows).groupBy("key").agg(F.min("uh").alias("lo"), F.max("uh").alias("hi")).where("lo <> hi").select("key").persist(StorageLevel.DISK_ONLY)
+    bits = _filter(shared)
+    shared.unpersist()
+    del shared
     common.release(spark)
-    found, path = common.written(_candidates(docs, _filter(shared), bands, rows), "paragraphs")
-    common.drop_folder(spark, place)
+    found, path = common.written(_candidates(docs, bits, bands, rows), "paragraphs")
     common.release(spark)
     met = found.select("uh", "shingles", F.explode("keys").alias("key"))
     large = met.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > BUCKET).select(F.col("key").alias("large"), F.ceil(F.col("n") / BUCKET).cast("int").alias("blocks"))
-    large, place = common.written(large, "large")
-    if large.count() * 32 <= common.BROADCAST_BYTES:
-        large = F.broadcast(large)
+    counted, used = large.persist(StorageLevel.DISK_ONLY), [path]
+    if counted.count() * 32 <= common.BROADCAST_BYTES:
+        large = F.broadcast(counted)
+    else:  # as a table, both sides of the join are shuffled, and AQE can split a large bucket
+        large, place = common.written(counted, "large")
+        used.append(place)
     own = F.pmod(F.xxhash64("uh"), F.col("blocks")).cast("int")
     shares = F.when(F.col("blocks").isNull(), F.array("key")).otherwise(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.xxhash64("key", F.least(own, o), F.greatest(own, o))))
     met = met.join(large, F.col("key") == F.col("large"), "left").select("uh", F.explode(shares).alias("key"), "shingles")
     out, links = common.written(_verified(met.select("key", "uh", "shingles").repartition("key").sortWithinPartitions("key", "uh"), similarity), "links")
-    for used in (place, path):
-        common.drop_folder(spark, used)
+    counted.unpersist()
+    for place in used:
+        common.drop_folder(spark, place)
     common.release(spark)
     return out, links
 
@@ -565,22 +576,26 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     common.prepare(spark)
     texts = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), common.utf8(text_col).alias("t"))
     links, place = _linked(texts, similarity)
-    nodes, _ = common.written(connected_components(links), "nodes")
+    nodes, _ = common.written(connected_components(links, file_rows=PAIR_ROWS), "nodes")
     common.drop_folder(spark, place)
-    seeds, place = common.written(_seeds(texts, least_run).groupBy("seed").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).where("lo <> hi").select("seed"), "seeds")
+    seeds = _seeds(texts, least_run).groupBy("seed").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).where("lo <> hi").select("seed").persist(StorageLevel.DISK_ONLY)
+    n_seeds, bits = seeds.count(), _filter(seeds)
+    seeds.unpersist()
+    del seeds
     common.release(spark)
-    found, _ = common.written(_places(texts, _filter(seeds), _filter(nodes.select("node")), least_run), "places")
-    common.drop_folder(spark, place)
+    found, _ = common.written(_places(texts, bits, _filter(nodes.select("node")), least_run), "places")
 
     near = found.where("kind = 0").join(nodes, F.col("h") == F.col("node")).select(F.col("component").alias("class"), "doc", "start", "n")
     each = near.groupBy("class", "doc").agg(F.min("start").alias("start"))
     first = F.min(F.struct("doc", "start")).alias("first")
-    classes, _ = common.written(each.groupBy("class").agg(first, F.max("doc").alias("last"), F.count(F.lit(1)).alias("n_docs")).where("first.doc <> last").select("class", "first", "n_docs"), "classes")
+    classes = each.groupBy("class").agg(first, F.max("doc").alias("last"), F.count(F.lit(1)).alias("n_docs")).where("first.doc <> last").select("class", "first", "n_docs")
+    classes, _ = common.written(common.gathered(classes, nodes.count(), PAIR_ROWS), "classes")
     near = near.join(classes, "class").select("doc", "start", (F.col("start") + F.col("n")).alias("end"), F.col("first.doc").alias("class_id"), "n_docs", F.struct("doc", "start").eqNullSafe(F.col("first")).alias("kept"))
 
     found = found.where("kind = 1")
     first = F.min(F.struct("doc", "start", "before", "after")).alias("f")
-    firsts, _ = common.written(found.groupBy("h").agg(first, F.max("doc").alias("last"), F.sum((~F.col("again")).cast("long")).alias("n_docs")).where("f.doc <> last").select(F.col("h").alias("own"), F.col("f.doc").alias("first_doc"), F.col("f.start").alias("first_start"), "n_docs", F.col("f.before").alias("first_before"), F.col("f.after").alias("first_after")), "firsts")
+    firsts = found.groupBy("h").agg(first, F.max("doc").alias("last"), F.sum((~F.col("again")).cast("long")).alias("n_docs")).where("f.doc <> last").select(F.col("h").alias("own"), F.col("f.doc").alias("first_doc"), F.col("f.start").alias("first_start"), "n_docs", F.col("f.before").alias("first_before"), F.col("f.after").alias("first_after"))
+    firsts, _ = common.written(common.gathered(firsts, n_seeds, PLACE_ROWS), "firsts")
     common.release(spark)
     met = found.join(firsts.hint("merge"), F.col("h") == F.col("own")).select("doc", "start", "first_doc", "first_start", "n_docs", "before", "after", "first_before", "first_after")
     return _swept(near.unionByName(_extended(met, seed_words(least_run))), least_run, id_col)

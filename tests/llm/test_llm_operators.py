@@ -6,12 +6,15 @@ import random
 import re
 import zlib
 from collections import defaultdict
+from pathlib import Path
 
+import numpy as np
 import pytest
 from conftest import same
+from pyspark.sql import functions as F
 from test_small_parts import simple_fingerprint
 
-from piecewright.llm import common
+from piecewright.llm import common, passages
 from piecewright.llm.cws import EMPTY, fingerprint_neighbours
 from piecewright.llm.decontaminate import contamination
 from piecewright.llm.graph import connected_components
@@ -405,6 +408,60 @@ def test_weighted_sampling(spark, odd, none):
     assert alone["near_next"] == 1.0
 
 
+@pytest.fixture
+def many_partitions(spark):
+    """40 shuffle partitions that AQE doesn't merge."""
+    held = {"spark.sql.shuffle.partitions": "40", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in held}
+    for k, v in held.items():
+        spark.conf.set(k, v)
+    yield
+    for k, v in before.items():
+        spark.conf.set(k, v)
+
+
+def test_a_filter_of_many_partitions_takes_few_jobs(spark, many_partitions, monkeypatch):
+    jobs = spark.sparkContext._jsc.sc().dagScheduler().numTotalJobs
+    for fetch in (passages.SEGMENT, 1 << 22):
+        monkeypatch.setattr(passages, "FETCH_BYTES", fetch, raising=False)
+        found = spark.range(100_000).select(F.xxhash64("id").alias("h")).repartition("h")
+        before = jobs()
+        bits = passages._filter(found)
+        assert jobs() - before < 20
+        held, others = (np.array([r["h"] for r in x.collect()]).view(np.uint64) for x in (found, spark.range(100_000, 200_000).select(F.xxhash64("id").alias("h"))))
+        assert passages._passed(held, bits).all() and passages._passed(others, bits).mean() < 0.05
+
+
+def test_passages_leave_few_files_of_small_tables(spark, many_partitions, monkeypatch):
+    rng, files = random.Random(8), {}
+    texts = [prose(60, rng) for _ in range(60)]
+    near = [" ".join([*t.split()[:-1], "other"]) for t in texts]
+    docs = spark.createDataFrame(list(enumerate(texts + near)), "doc_id long, text string").repartition(3)
+
+    def counted(df, kind="table", written=common.written):
+        table, path = written(df, kind)
+        files[kind] = len(list(Path(path.removeprefix("file:")).glob("part-*")))
+        return table, path
+
+    folder = Path(spark._jsc.sc().getCheckpointDir().get().removeprefix("file:"))
+    before = len(list(folder.glob("rdd-*/part-*")))
+    monkeypatch.setattr(common, "written", counted)
+    got = repeated_passages(docs).collect()
+    assert len({r["doc_id"] for r in got}) == len(texts + near)
+    assert len(list(folder.glob("rdd-*/part-*"))) - before < 40
+    assert sum(files[k] for k in ("nodes", "classes", "firsts")) < 10 and not {"buckets", "large", "seeds"} & set(files)
+
+
+def test_components_gathered_in_few_partitions(spark, many_partitions):
+    rng = random.Random(6)
+    links = [(rng.randint(0, 300), rng.randint(0, 300)) for _ in range(200)] + [(1000 + k, 1001 + k) for k in range(60)]
+    df = spark.createDataFrame([*links, (None, 3), (4, 4)], "a long, b long")
+    for rows in (50, 10_000):
+        assert rows_of(connected_components(df, file_rows=rows)) == rows_of(connected_components(df))
+    assert connected_components(df, file_rows=10_000).rdd.getNumPartitions() == 1
+    assert connected_components(spark.createDataFrame([], "a long, b long"), file_rows=50).count() == 0
+
+
 def test_shared_folder_must_be_named(spark, monkeypatch):
     assert common.shared_dir(spark)
 
