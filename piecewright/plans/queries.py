@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.normalize import normalize, read_charsmap
-from ..functions.pretokenize import metaspace_column, whitespace_metaspace_column
+from ..functions.pretokenize import WHITE_SPACE, metaspace_column, whitespace_metaspace_column
 from ..operators import analytics, decode, encode, encoding, vocabulary
 from ..sources import samples
 from ..sources.model import META, Model
@@ -311,7 +311,8 @@ _FEW = samples.unigram(accented=False)
 @query(oracle.encoded(_FEW, DOCUMENTS, "SELECT k, count(*) FILTER (WHERE id = 0) AS unknown, md5(string_agg(piece, ' ' ORDER BY pos)) AS digest FROM tok GROUP BY k"))
 def merge_unk(spark, sf_dir):
     """Runs of unknown pieces as one, by a model that lacks accented letters."""
-    made = _ids(_documents(spark, sf_dir), _FEW).where(F.size("e.ids") > 0)
+    # Texts with a word; a filter on the ids would have each text encoded twice.
+    made = _ids(_documents(spark, sf_dir).where(F.col("text").rlike(f"[^{WHITE_SPACE}]")), _FEW)
     return made.select("k", F.size(F.filter("e.ids", lambda i: i == 0)).cast("long").alias("unknown"), _md5(_joined(F.col("e.pieces"))).alias("digest"))
 
 
