@@ -271,7 +271,8 @@ def encode_ids(spark, sf_dir):
 
 @query(oracle.encoded(METASPACE, "SELECT k, text FROM (" + TURNS + ")", "SELECT k, string_agg(piece, ' ' ORDER BY pos) AS pieces FROM tok GROUP BY k", oracle.METASPACE))
 def encode_pieces(spark, sf_dir):
-    return _ids(_turns(spark, sf_dir), METASPACE).select("k", _joined(F.col("e.pieces")).alias("pieces")).where("pieces <> ''")
+    # A filter on the pieces would have each text encoded twice; every other text has one.
+    return _ids(_turns(spark, sf_dir).where("text <> ''"), METASPACE).select("k", _joined(F.col("e.pieces")).alias("pieces"))
 
 
 @query(oracle.encoded(UNIGRAM, TURNS, "SELECT conv_id, string_agg(ids, '|' ORDER BY turn) AS ids FROM (SELECT k, conv_id, turn, coalesce(string_agg(id, ' ' ORDER BY pos), '') AS ids FROM src LEFT JOIN tok USING (k) GROUP BY ALL) GROUP BY conv_id"))

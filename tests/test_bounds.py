@@ -73,7 +73,7 @@ def test_unknown_pieces_of_several_characters():
     assert encode_arrow(one, pa.array(texts)).to_pylist() == [{"ids": [i for i, _ in one(t)], "pieces": [p for _, p in one(t)]} for t in texts]
 
 
-@pytest.mark.parametrize("name", ["merge_unk", "byte_fallback", "roundtrip", "line_token_stats", "encode_added"])
+@pytest.mark.parametrize("name", ["encode_pieces", "merge_unk", "byte_fallback", "roundtrip", "line_token_stats", "encode_added"])
 def test_texts_are_encoded_once(spark, sf_dir, name):
     plan = queries.QUERIES[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("ArrowEvalPython") == 1
