@@ -67,21 +67,31 @@ def segments(df: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """df's other columns with (seg_pos, segment, added_id): added tokens found in the raw text, and what the
     pre-tokenizer makes of the texts between them, numbered from 0 within each row."""
     rest = [c for c in df.columns if c != text_col]
-    parts = df.select(*rest, added_segments_column(F.col(text_col), model).alias("_parts"))
     if model.charsmap:
+        parts = df.select(*rest, added_segments_column(F.col(text_col), model).alias("_parts"))
         sent = df.sparkSession.sparkContext.broadcast(model)
         parts = parts.withColumn("_own", charsmap_array_function(sent)(F.col("_parts.segment")))
+        flat = F.flatten(F.zip_with("_parts", "_own", lambda part, own: _pieces(part, own, model)))
     else:
-        parts = parts.withColumn("_own", F.transform("_parts", lambda p: normalize(p["segment"], model.add_dummy_prefix, model.remove_extra_whitespaces, model.escape_whitespaces)))
-    cut = {METASPACE: metaspace_column, SPLIT_METASPACE: whitespace_metaspace_column}.get(model.pre_tokenizer, F.array)
+        parts, flat = df, segments_column(F.col(text_col), model)
+    return parts.select(*rest, F.posexplode(flat).alias("seg_pos", "s")).select(*rest, "seg_pos", "s.segment", "s.added_id")
 
-    def pieces(part: Column, own: Column) -> Column:
-        none = F.lit(None).cast("int")
-        regular = F.transform(cut(own), lambda s: F.struct(s.alias("segment"), none.alias("added_id")))
-        return F.when(part["added_id"].isNotNull(), F.array(part)).otherwise(F.filter(regular, lambda s: s["segment"] != ""))
 
-    flat = F.flatten(F.zip_with("_parts", "_own", pieces))
-    return parts.select(*rest, F.posexplode(flat).alias("seg_pos", "s")).select(*rest, "seg_pos", "s.segment", "s.added_id")
+def segments_column(text: Column, model: Model) -> Column:
+    """array<struct<segment, added_id>> of a text, as an expression: what segments() has a row for each of. For models
+    without a character map."""
+    if model.charsmap:
+        raise ValueError("a character map is not an expression; use segments()")
+    own = lambda p: normalize(p["segment"], model.add_dummy_prefix, model.remove_extra_whitespaces, model.escape_whitespaces)
+    return F.flatten(F.transform(added_segments_column(text, model), lambda p: _pieces(p, own(p), model)))
+
+
+def _pieces(part: Column, own: Column, model: Model) -> Column:
+    """The segments of a part of a text, given the part's normalized text."""
+    cut = {METASPACE: metaspace_column, SPLIT_METASPACE: whitespace_metaspace_column}.get(model.pre_tokenizer, F.array)
+    none = F.lit(None).cast("int")
+    regular = F.transform(cut(own), lambda s: F.struct(s.alias("segment"), none.alias("added_id")))
+    return F.when(part["added_id"].isNotNull(), F.array(part)).otherwise(F.filter(regular, lambda s: s["segment"] != ""))
 
 
 def merge_unknown(token_rows: DataFrame, unk_id: int, *keys: str) -> DataFrame:

@@ -331,9 +331,14 @@ _ADDED_SEGMENTS = f"seg AS (SELECT k, part * 1000000 + generate_subscripts(s, 1)
 )
 def segments(spark, sf_dir):
     """Added tokens and pre-tokenized segments of each text, in order."""
-    rows = encode.segments(_documents(spark, sf_dir).select("k", "text"), ADDED)
-    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seg_pos", "segment"))), lambda x: x["segment"]), "|")
-    return rows.groupBy("k").agg(F.count(F.lit(1)).alias("segments"), F.count("added_id").alias("added"), _md5(joined).alias("digest"))
+    # Texts are shuffled rather than their segments; a key that has several texts has the segments of all, by place.
+    texts = _documents(spark, sf_dir).where("text <> ''").select("k", "text").repartition("k").groupBy("k").agg(F.collect_list("text").alias("texts"))
+    rows = texts.select("k", F.transform("texts", lambda t: encode.segments_column(t, ADDED)).alias("each"))
+    placed = F.flatten(F.transform("each", lambda e: F.transform(e, lambda s, i: F.struct(i.alias("seg_pos"), s["segment"].alias("segment")))))
+    by_place = F.when(F.size("each") > 1, F.transform(F.array_sort(placed), lambda x: x["segment"])).otherwise(F.get("each", F.lit(0))["segment"])
+    added = F.aggregate("each", F.lit(0), lambda n, e: n + F.size(F.filter(e, lambda s: s["added_id"].isNotNull())))
+    total = F.aggregate("each", F.lit(0), lambda n, e: n + F.size(e))
+    return rows.select("k", total.cast("long").alias("segments"), added.cast("long").alias("added"), _md5(F.array_join(by_place, "|")).alias("digest"))
 
 
 @query(

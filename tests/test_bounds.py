@@ -77,3 +77,22 @@ def test_unknown_pieces_of_several_characters():
 def test_texts_are_encoded_once(spark, sf_dir, name):
     plan = queries.QUERIES[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("ArrowEvalPython") == 1
+
+
+def test_segments_shuffle_texts_alone(spark, sf_dir):
+    plan = queries.segments(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange ") == 1 and "Generate" not in plan
+
+
+def test_segments_of_keys_with_several_texts(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from piecewright.operators import encode
+
+    rows = [(1, "the end. And there"), (1, "x the y and"), (2, ""), (3, None), (4, " "), (4, None), (4, ""), (None, "a the"), (None, "b"), (5, "a|b. c")]
+    docs = spark.createDataFrame([(k, t, "en", "s") for k, t in rows], "doc_id long, text string, lang string, source string")
+    docs.repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    each = encode.segments(docs.select(F.col("doc_id").alias("k"), "text"), queries.ADDED)
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seg_pos", "segment"))), lambda x: x["segment"]), "|")
+    want = each.groupBy("k").agg(F.count(F.lit(1)).alias("segments"), F.count("added_id").alias("added"), F.md5(joined.cast("binary")).alias("digest"))
+    assert sorted(map(tuple, queries.segments(spark, str(tmp_path)).collect()), key=str) == sorted(map(tuple, want.collect()), key=str)
